@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row.
+
+    An array that a lambda reads at many places must be bound like this: as a plain column, the optimizer may fold
+    its expression into the lambda, which then builds the array anew for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id written as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.common import ascii_lower, cut
+from tidemark.llm.common import ascii_lower, cut, let
 
 #: Between words: all ASCII but digits and letters (upper case is gone by then).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,24 +28,37 @@ def pair_hash(span: Column) -> list[Column]:
     return [F.xxhash64(span).alias("w1"), F.xxhash64(F.lit(29), span).alias("w2")]
 
 
-def _with_grams(df: DataFrame) -> DataFrame:
-    """Adds ``grams``: the hash of the K = 4 words from each place on; the last K - 1 entries are not full ones."""
-    df = df.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("_h", F.transform("_h", lambda h, i: F.xxhash64(h, F.get("_h", i + 1))))
-    return df.withColumn("grams", F.transform("_h", lambda h, i: F.xxhash64(h, F.get("_h", i + 2)))).drop("_h")
+def _grams(words: Column, body) -> Column:
+    """``body`` of the array of hashes of the K = 4 words from each place on; its last K - 1 entries are not full ones."""
 
+    def rolled(h: Column) -> Column:
+        return F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3)))
 
-def fingerprints(df: DataFrame, window: int) -> DataFrame:
-    """Adds ``prints``, the distinct winnowed hashes of ``words``; documents shorter than a window have none."""
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(rolled(h), body))
+
+
+def fingerprints(words: Column, window: int) -> Column:
+    """The distinct winnowed hashes of an array of words; fewer words than a window have none."""
     wide = window - K + 1
-    df = _with_grams(df).withColumn("_m", F.col("grams"))
-    have = 1
-    while have < wide:  # the least of ``have`` neighbours becomes that of up to twice as many
+
+    def least(m: Column, have: int) -> Column:  # the least of ``have`` neighbours becomes that of up to twice as many
+        if have == wide:
+            return F.array_distinct(F.slice(m, 1, F.greatest(F.size(m) - window + 1, F.lit(0))))
         step = min(have, wide - have)
-        df = df.withColumn("_m", F.transform("_m", lambda m, i: F.least(m, F.get("_m", i + step))))  # noqa: B023
-        have += step
-    full = F.greatest(F.size("words") - window + 1, F.lit(0))
-    return df.withColumn("prints", F.array_distinct(F.slice("_m", 1, full))).drop("_m")
+        return let(F.transform(m, lambda x, i: F.least(x, F.get(m, i + step))), lambda x: least(x, have + step))
+
+    return _grams(words, lambda g: least(g, 1))
+
+
+def _starts(words: Column, found: Column, window: int) -> Column:
+    """Places of ``words`` at which a window may start that holds a k-gram in ``found``."""
+
+    def around(g: Column) -> Column:
+        last = F.size(g) - window
+        places = F.filter(F.sequence(F.lit(0), F.size(g) - K), lambda i: F.array_contains(found, F.get(g, i)))
+        return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(p - (window - K), F.lit(0)), F.least(p, last)))))
+
+    return _grams(words, around)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: float = 0.05) -> DataFrame:
@@ -56,29 +70,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     id are left out.  Other columns are ignored; empty tables give no rows or no hits.
     """
     parts = round(1 / share)
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    words = words_of(F.col("text"))
     bench = cut(items.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") > 0))
-    seen = cut(fingerprints(base, window).select("doc_id", F.size("words").alias("n_words"), "prints"))
     spans = bench.select("item", F.least(F.size("words"), F.lit(window)).alias("len"), "words")
     spans = spans.select("item", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1), lambda i: F.slice("words", i, F.col("len")))).alias("span"))
     spans = cut(spans.select("item", "len", *pair_hash(F.col("span"))).distinct())
 
-    test = fingerprints(bench, window).select(F.explode("prints").alias("print")).distinct()
-    found = seen.select("doc_id", F.explode("prints").alias("print")).join(test, "print").groupBy("doc_id").agg(F.collect_set("print").alias("found"))
-    near = _with_grams(base.join(found, "doc_id"))
-    last = F.size("words") - window
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - K), lambda i: F.array_contains("found", F.get("grams", i.cast("int"))))
-    starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(p - (window - K), F.lit(0)), F.least(p, last)))))
-    rows = near.select("doc_id", "words", F.explode(starts).alias("pos")).select("doc_id", "pos", F.lit(window).alias("len"), F.slice("words", F.col("pos") + 1, window).alias("span"))
+    seen = cut(base.select("doc_id", let(words, lambda w: F.struct(F.size(w).alias("n"), fingerprints(w, window).alias("prints"))).alias("d")).select("doc_id", "d.n", "d.prints"))
+    test = bench.select(F.explode(fingerprints(F.col("words"), window)).alias("print")).distinct()
+    found = cut(seen.select("doc_id", F.explode("prints").alias("print")).join(test, "print").groupBy("doc_id").agg(F.collect_set("print").alias("found")))
+    near = base.join(found, "doc_id").select("doc_id", let(words, lambda w: let(_starts(w, F.col("found"), window), lambda s: F.transform(s, lambda p: F.struct(p.alias("pos"), *pair_hash(F.slice(w, p + 1, window)))))).alias("c"))
+    keyed = near.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.pos", F.lit(window).alias("len"), "c.w1", "c.w2")
     short = [r[0] for r in spans.where(F.col("len") < window).select("len").distinct().collect()]  # below ``window`` values
     for n in sorted(short):
-        all_of = base.where(F.size("words") >= n).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("pos"))
-        rows = rows.unionByName(all_of.select("doc_id", "pos", F.lit(n).alias("len"), F.slice("words", F.col("pos") + 1, n).alias("span")))
-    keyed = rows.select("doc_id", "pos", "len", *pair_hash(F.col("span")))
+        every = let(words, lambda w: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)), lambda p: F.struct(p.alias("pos"), *pair_hash(F.slice(w, p + 1, n)))))  # noqa: B023
+        keyed = keyed.unionByName(base.select("doc_id", F.explode(every).alias("c")).select("doc_id", "c.pos", F.lit(n).alias("len"), "c.w1", "c.w2"))
     hits = cut(keyed.join(spans, ["len", "w1", "w2"]).select("doc_id", "pos", "len", "item"))
-    words_hit = hits.select("doc_id", F.explode(F.sequence("pos", F.col("pos") + F.col("len") - 1)).alias("at")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
+    in_order = Window.partitionBy("doc_id").orderBy("pos", "len")
+    ends = hits.groupBy("doc_id", "pos").agg(F.max("len").alias("len"))
+    ends = ends.withColumn("from", F.greatest("pos", F.coalesce(F.max(F.col("pos") + F.col("len")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.col("pos"))))
+    words_hit = ends.groupBy("doc_id").agg(F.sum(F.greatest(F.col("pos") + F.col("len") - F.col("from"), F.lit(0))).alias("n_hit"))
     named = hits.select("doc_id", "item").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    size = seen.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"))
+    size = seen.groupBy("doc_id").agg(F.sum("n").alias("n_words"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     out = size.join(words_hit.join(named, "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((hit > 0) & (hit * parts >= F.col("n_words"))).alias("contaminated")).withColumn("n_items", F.size("items").cast("long"))

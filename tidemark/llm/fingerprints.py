@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, let
 
 SAMPLES = 16
 WORDS = 5
@@ -24,17 +24,19 @@ def terms(df: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
 
     Words are what white space leaves; a text with fewer than ``words`` words, but some, has one term.
     """
-    df = df.withColumn("_w", F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", -1), "")).drop(text_col)
-    df = df.withColumn("_w", F.transform("_w", lambda w: F.xxhash64(w)))
-    n = F.size("_w")
-    ahead = [lambda i, k=k: F.get("_w", i + k) for k in range(1, words)]
-    grams = F.transform("_w", lambda w, i: F.xxhash64(w, *[a(i) for a in ahead]))
-    df = df.withColumn("_g", F.sort_array(F.slice(grams, 1, F.greatest(n - words + 1, F.least(n, F.lit(1)))))).drop("_w")
-    last = F.size("_g") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.get("_g", i) != F.get("_g", i + 1)))
-    df = df.withColumn("_e", F.when(last >= 0, ends).otherwise(F.array().cast("array<int>")))
-    cells = F.transform("_e", lambda e, j: F.struct(F.get("_g", e).alias("term"), (e - F.coalesce(F.get("_e", j - 1), F.lit(-1))).alias("weight")))
-    return df.withColumn("terms", cells).drop("_g", "_e")
+    split = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
+
+    def shingles(h: Column) -> Column:
+        rolled = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, words)]))
+        n = F.size(h)
+        return F.sort_array(F.slice(rolled, 1, F.greatest(n - words + 1, F.least(n, F.lit(1)))))
+
+    def weighed(g: Column) -> Column:  # equal hashes stand together: the place where a run ends tells its length
+        ends = F.filter(F.transform(g, lambda x, i: F.when(x.eqNullSafe(F.get(g, i + 1)), F.lit(-1)).otherwise(i)), lambda e: e >= 0)
+        return let(ends, lambda e: F.transform(e, lambda x, j: F.struct(F.get(g, x).alias("term"), (x - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("weight"))))
+
+    cells = let(F.transform(split, lambda w: F.xxhash64(w)), lambda h: let(shingles(h), weighed))
+    return df.withColumn("terms", cells).drop(text_col)
 
 
 def _sample(k: int) -> Column:
