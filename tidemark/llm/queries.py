@@ -10,6 +10,7 @@ from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.fingerprints import as_text, fingerprint_documents, likeness
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.packing import pack
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.url_filter import filter_urls
 
@@ -18,6 +19,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -45,7 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op6_line_dedup, op7_url_filter, op8_sharding, op9_decontamination, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op3_near_dedup, op5_packing, op6_line_dedup, op7_url_filter, op8_sharding, op9_decontamination, op10_fingerprints)}
 
 #: The words of a text as these operators see them, in RE2.
 WORDS_9 = r"list_filter(regexp_split_to_array(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
