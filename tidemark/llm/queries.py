@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import fold_of, table
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.fingerprints import as_text, fingerprint_documents, likeness
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.sharding import shard_documents
+from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 from tidemark.llm.url_filter import filter_urls
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(F.col("doc_id"), 3) == 1
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of(F.col("doc_id"), 4) == 2
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +64,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_near_dedup, op5_packing, op6_line_dedup, op7_url_filter, op8_sharding, op9_decontamination, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_near_dedup, op5_packing, op6_line_dedup, op7_url_filter, op8_sharding, op9_decontamination, op10_fingerprints)}
 
 #: The words of a text as these operators see them, in RE2.
 WORDS_9 = r"list_filter(regexp_split_to_array(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
