@@ -111,6 +111,6 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     edited = base.join(head, "id").select("id", F.length("text").cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - k)"), "head").alias("edited"))
     a = cut(fingerprint(base, "id", "text", samples))
     b = fingerprint(edited, "id", "edited", samples).select("id", F.col("print").alias("edited_print"))
-    out = edited.join(order, "id").join(a, "id", "left").join(b, "id", "left")
-    out = out.join(a.select(F.col("id").alias("next"), F.col("print").alias("next_print")), "next", "left")
+    following = order.join(a.select(F.col("id").alias("next"), F.col("print").alias("next_print")), "next", "left").drop("next")
+    out = edited.join(following, "id").join(a, "id", "left").join(b, "id", "left")  # all by id: the texts move no more
     return out.select(F.col("id").alias("doc_id"), "n_chars", "edited", "print", "edited_print", "next_print")

@@ -11,6 +11,7 @@ from tidemark.llm.fingerprints import as_text, fingerprint_documents, likeness
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import KINDS, find_personal_data
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
@@ -33,6 +34,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.regexp_count("exact", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return out.select("doc_id", *counts, F.sha2(F.col("exact").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -64,7 +71,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_near_dedup, op5_packing, op6_line_dedup, op7_url_filter, op8_sharding, op9_decontamination, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_near_dedup, op4_pii, op5_packing, op6_line_dedup, op7_url_filter, op8_sharding, op9_decontamination, op10_fingerprints)}
 
 #: The words of a text as these operators see them, in RE2.
 WORDS_9 = r"list_filter(regexp_split_to_array(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
