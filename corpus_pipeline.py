@@ -5,25 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import fold_of, scratch, table
 from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.packing import pack
+from tidemark.llm.toxicity import fit_toxicity, score_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go; it learns from the same labels as the operator's query."""
+    labels = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2)
+    toxic = score_toxicity(docs, fit_toxicity(docs, labels)).where("predicted = 1").select("doc_id")
+    return docs.join(toxic, "doc_id", "left_anti").select(COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; n_chars follows the text that stays."""
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that five-word shingles link at 0.8 or more the one with the least id stays."""
+    copies = near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
     return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
 
 
-STAGES = [("line_dedup", line_dedup), ("decontamination", decontamination)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of training sequences."""
+    return pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+#: Scores learned from labels, and tokens, are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
