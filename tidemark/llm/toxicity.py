@@ -141,7 +141,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     n = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     part = F.when(F.col("y") == 1, min(1.0, sample / 4 / max(1, n.get(1, 0)))).otherwise(min(1.0, sample * 3 / 4 / max(1, n.get(0, 0))))
     marked = marked.where(unit_hash(F.lit("toxicity"), F.col("id")) < part)
-    train = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marked, "id")
+    train = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(marked), "id")  # ``sample`` bounds it
     seeds = {s + END: SEED_WEIGHT for s in SEEDS}
     if not n.get(1) or not n.get(0):
         return seeds, [-4.0, 2.0, 1.0]
