@@ -101,7 +101,7 @@ def date_in(text: Column) -> Column:
 
 def label_values(text: Column) -> Column:
     """Bullets ``label – total (+delta)`` as rows of (label, total, delta); a missing delta is 0."""
-    bullet = r"([^\n–:;]+?) – ([0-9][0-9 ]*)(?: \(\+([0-9]+)\))?"
+    bullet = r"([^\n–:;]+?) – ([0-9]+(?: [0-9]{3})*)(?: \(\+([0-9]+)\))?"
     parts = F.regexp_extract_all(text, F.lit(bullet), F.lit(0))
     return F.transform(
         parts,

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tidemark.plans import guards, metrics, series, texts, versions
+from tidemark.plans.registry import ORACLE, QUERIES, Tables
+
+__all__ = ["ORACLE", "QUERIES", "flagship", "guards", "metrics", "series", "texts", "versions"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
+    return series.flagship_rows(Tables(spark, sf_dir))
