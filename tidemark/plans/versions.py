@@ -13,41 +13,44 @@ from tidemark.plans.registry import Tables, dec, long, query, total
 
 KEYS = ("l_orderkey", "l_linenumber")
 #: Rows that are alike in all but these have no order among them.
-REST = [F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")]
+REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 FIRST = "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus)"
-SHOWN = ("l_orderkey", long("l_linenumber").alias("l_linenumber"), "l_quantity", F.to_date("l_shipdate").alias("version"))
 SHOWN_SQL = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS version"
 CUT = dt.datetime(1999, 1, 1)
 STORED_SQL = f"SELECT * FROM (SELECT *, {FIRST} AS rn FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01') WHERE rn = 1"
 INCOMING_SQL = f"SELECT * FROM (SELECT *, {FIRST} AS rn FROM lineitem) WHERE rn = 1"
 
 
+def shown(df: DataFrame) -> DataFrame:
+    return df.select("l_orderkey", long("l_linenumber").alias("l_linenumber"), "l_quantity", F.to_date("l_shipdate").alias("version"))
+
+
 def table(t: Tables) -> v.VersionedTable:
     return v.VersionedTable(t.lineitem, KEYS, "l_shipdate")
 
 
 def stored(t: Tables) -> DataFrame:
     """The latest row of each key before CUT."""
-    return v.VersionedTable(t.lineitem.where(F.col("l_shipdate") < F.lit(CUT)), KEYS, "l_shipdate").latest("one", REST)
+    return v.VersionedTable(t.lineitem.where(F.col("l_shipdate") < F.lit(CUT)), KEYS, "l_shipdate").latest("one", list(map(F.col, REST)))
 
 
 def incoming(t: Tables) -> DataFrame:
-    return table(t).latest("one", REST)
+    return table(t).latest("one", list(map(F.col, REST)))
 
 
 @query(f"SELECT {SHOWN_SQL} FROM lineitem l JOIN (SELECT l_orderkey AS k, l_linenumber AS n, max(l_shipdate) AS m FROM lineitem GROUP BY 1, 2) x ON x.k = l_orderkey AND x.n = l_linenumber AND x.m = l_shipdate")
 def latest_version_keep_ties(t: Tables) -> DataFrame:
-    return table(t).latest().select(*SHOWN)
+    return shown(table(t).latest())
 
 
 @query(f"SELECT {SHOWN_SQL} FROM lineitem p WHERE NOT EXISTS (SELECT 1 FROM lineitem n WHERE n.l_orderkey = p.l_orderkey AND n.l_linenumber = p.l_linenumber AND n.l_shipdate > p.l_shipdate)")
 def latest_version_not_exists(t: Tables) -> DataFrame:
-    return table(t).latest(null_versions=True).select(*SHOWN)
+    return shown(table(t).latest(null_versions=True))
 
 
 @query(f"SELECT {SHOWN_SQL} FROM ({INCOMING_SQL})")
 def latest_version_one(t: Tables) -> DataFrame:
-    return incoming(t).select(*SHOWN)
+    return shown(incoming(t))
 
 
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(DISTINCT l_shipdate) AS versions, CAST(min(l_shipdate) AS DATE) AS first_version, CAST(max(l_shipdate) AS DATE) AS last_version FROM lineitem GROUP BY 1, 2")
