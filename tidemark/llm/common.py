@@ -26,9 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, with its lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once and written as a table in the shared folder, which cuts its lineage.
+
+    A table rather than a checkpoint: its size is known, so that small ones are broadcast; a checkpoint goes on with
+    the estimate of the plan it replaces, and in a loop these estimates multiply until planning takes all the time.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
