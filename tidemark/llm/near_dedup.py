@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected_components, cut
-from tidemark.llm.shingles import WordHashes, mix, shingle_set
+from tidemark.llm.shingles import WordHashes, in_parts, mix, shingle_set
 
 KEYED, MORE = 80, 375  # symbols of 8 and of 4 bits; the latter 15 to a long
 _SYMBOLS = KEYED + MORE
@@ -83,7 +83,7 @@ def sketch(shingles: np.ndarray, scheme: Scheme) -> np.ndarray:
 def _signed(size: int, scheme: Scheme):
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for b in batches:
+        for b in in_parts(batches):
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 s = shingle_set(text, size, hashes)
@@ -98,7 +98,7 @@ def _signed(size: int, scheme: Scheme):
 def _sets(size: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for b in batches:
+        for b in in_parts(batches):
             yield pd.DataFrame({"rep": b["rep"], "shingles": [shingle_set(t, size, hashes).view(np.int64) for t in b["text"]]})
 
     return sets

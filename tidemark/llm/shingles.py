@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 MUL1, MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -18,10 +20,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S31)
 
 
+def in_parts(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Batches in parts of at most ``rows`` rows, so that what is made of them stays small."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]
+
+
 class WordHashes(dict):
     """Hashes of words (bytes); those of the first ``limit`` different ones are kept."""
 
-    limit = 1 << 18
+    limit = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
