@@ -133,12 +133,8 @@ def _first_shared(a: Column, b: Column, scheme: Scheme, chunk: Column, left_out:
     return (first == chunk) & ((left_out == 0) | (F.get(a, chunk) != F.get(b, chunk)))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole shingle sets are alike enough."""
-    pairs = cut(pairs)
-    involved = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = docs.join(involved, docs["doc_id"] == involved["rep"]).select("rep", "text")
-    sets = cut(texts.mapInPandas(_sets(size), "rep long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -161,9 +157,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         base = cut(base.groupBy("doc_id").agg(F.max("text").alias("text")))
         signed = cut(base.mapInPandas(_signed(size, scheme), signed.schema))
     one = ["h1", "h2", "n_shingles"]
-    sets = signed.where("n_shingles > 0")
-    classes = sets.groupBy(*one).agg(F.min("doc_id").alias("rep"))
-    reps = cut(sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "sketch"))
+    worded = signed.where("n_shingles > 0")
+    classes = worded.groupBy(*one).agg(F.min("doc_id").alias("rep"))
+    reps = cut(worded.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "sketch"))
 
     keys = reps.select("rep", F.posexplode(buckets_of(F.col("sketch"), scheme)).alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1").drop("members")
@@ -174,7 +170,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     near = sizes & (hamming(a, b, scheme, range(len(scheme.chunks))) <= scheme.near) & (hamming(a, b, scheme, range(scheme.longs)) <= scheme.near_all)
     stars = stars.join(parts["a"], "a").join(parts["b"], "b").where(near).select("a", "b")
-    links = cut(_linked(stars, base, size, percent))
+    met = members.select("rep").distinct()  # grows with the input, hence never broadcast; texts move here only
+    sets = cut(base.join(met.hint("merge"), base["doc_id"] == met["rep"]).select("rep", "text").mapInPandas(_sets(size), "rep long, shingles array<long>"))
+    links = cut(_linked(stars, sets, percent))
     first = connected_components(links)
 
     placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -184,7 +182,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     side = {k: open_.select("key", F.col("rep").alias(k), F.col("component").alias(f"c_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"), "chunk", "left_out") for k in "ab"}
     apart = (side["a"]["key"] == side["b"]["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
     rest = side["a"].join(side["b"], apart & near & _first_shared(a, b, scheme, side["a"]["chunk"], side["a"]["left_out"]))
-    more = cut(_linked(rest.select("a", "b"), base, size, percent))
+    more = cut(_linked(rest.select("a", "b"), sets, percent))
     if more.isEmpty():
         final = first
     else:
