@@ -120,15 +120,25 @@ def _differing(x: Column, bits: int) -> Column:
     return F.bit_count((x.bitwiseAND(F.lit(low)) + F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(top)))
 
 
-def hamming(a: Column, b: Column, scheme: Scheme, longs: range) -> Column:
-    return sum((_differing(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))), 8 if i < len(scheme.chunks) else 4) for i in longs), F.lit(0))
+def hamming(a: Column, b: Column, chunks: range) -> Column:
+    """Differing symbols of some chunks."""
+    return sum((_differing(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))), 8) for i in chunks), F.lit(0))
+
+
+def hamming_tail(a: Column, b: Column, scheme: Scheme) -> Column:
+    """Differing symbols of the longs after the chunks; a short expression, for what the chunks leave over.
+
+    Written out, it would make the join's generated method too large for the JVM to compile.
+    """
+    counts = F.zip_with(F.slice(a, len(scheme.chunks) + 1, _TAIL), F.slice(b, len(scheme.chunks) + 1, _TAIL), lambda x, y: _differing(x.bitwiseXOR(y), 4))
+    return F.aggregate(counts, F.lit(0), lambda s, x: s + x)
 
 
 def _first_shared(a: Column, b: Column, scheme: Scheme, chunk: Column, left_out: Column) -> Column:
     """True at one only of the buckets that the two share: the first chunk that agrees, and there the first symbol left out."""
     first = None
     for c in range(len(scheme.chunks)):
-        agrees = hamming(a, b, scheme, range(c, c + 1)) <= 1
+        agrees = hamming(a, b, range(c, c + 1)) <= 1
         first = F.when(agrees, F.lit(c)) if first is None else first.when(agrees, F.lit(c))
     return (first == chunk) & ((left_out == 0) | (F.get(a, chunk) != F.get(b, chunk)))
 
@@ -168,7 +178,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = {k: reps.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab"}
     a, b = F.col("s_a"), F.col("s_b")
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    near = sizes & (hamming(a, b, scheme, range(len(scheme.chunks))) <= scheme.near) & (hamming(a, b, scheme, range(scheme.longs)) <= scheme.near_all)
+    keyed = hamming(a, b, range(len(scheme.chunks)))
+    near = sizes & (keyed <= scheme.near) & (keyed + hamming_tail(a, b, scheme) <= scheme.near_all)
     stars = stars.join(parts["a"], "a").join(parts["b"], "b").where(near).select("a", "b")
     met = members.select("rep").distinct()  # grows with the input, hence never broadcast; texts move here only
     sets = cut(base.join(met.hint("merge"), base["doc_id"] == met["rep"]).select("rep", "text").mapInPandas(_sets(size), "rep long, shingles array<long>"))
