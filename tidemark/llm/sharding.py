@@ -17,6 +17,8 @@ from tidemark.llm.common import cut, unit_hash
 
 #: Documents above this part of a shard are dealt one by one, largest first: fewer than shards * BIG of them exist.
 BIG = 200
+#: While documents move, shards may hold this part of the quota above it; the end brings all below it again.
+SLACK = 10
 #: Rows that one bucket of the running sums holds, about.
 BUCKET_ROWS = 20_000
 
@@ -45,7 +47,7 @@ def _pick(values: list, by: Column) -> Column:
 def propagate(state: DataFrame, links: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
     """Moves of ``state(rid, size, shard)`` along ``links(rid, key)`` until the rounds are over or nobody moves."""
     for step in range(rounds):
-        free = [max(0, quota - load) for load in _loads(state, shards)]
+        free = [max(0, quota + quota // SLACK - load) for load in _loads(state, shards)]
         member = links.join(state, "rid")
         votes = member.groupBy("key", "shard").agg(F.sum("size").alias("bytes"))
         votes = votes.withColumn("rank", F.struct("bytes", F.xxhash64("key", "shard").alias("tie"), "shard"))
@@ -85,7 +87,7 @@ def shard_documents(docs: DataFrame, links: DataFrame | None = None, *, id_col:
     keyed = cut(keyed)
     # a group larger than a shard starts on as many shards as it needs, not on all of them
     spread = F.greatest(F.lit(1), F.least(F.lit(shards), F.ceil(F.col("bytes") / (0.9 * quota)))).cast("int")
-    span = F.when(spread > 1, F.pmod(F.xxhash64("key"), F.lit(shards)) + F.pmod(F.xxhash64("rid"), spread)).otherwise(F.pmod(F.xxhash64("rid"), F.lit(shards)))
+    span = F.when(spread > 1, F.pmod(F.xxhash64("key"), F.lit(shards)) + F.pmod(F.xxhash64("rid"), spread)).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))  # a document's heaviest key seeds its shard
     first = keyed.groupBy("rid").agg(F.max(F.struct("bytes", F.pmod(span, F.lit(shards)).cast("int").alias("shard")))["shard"].alias("shard"))
     whole = base.groupBy("rid").agg(F.sum("size").alias("size"))
     state = cut(whole.join(first, "rid").select("rid", "size", "shard"))
