@@ -216,3 +216,41 @@ def test_report_windows(spark):
     report = one(spark, x.parse_report(text, posted, "drone"))
     assert report["count"] == 11 and [tuple(p) for p in report["parts"]] == [("north", 6), ("south", 5)] and report["report_date"] == D(2024, 1, 2)
     assert one(spark, x.parse_report(F.lit("nothing"), posted, "drone")) is None
+
+
+def test_report_headers(spark):
+    from tidemark.functions import reports as r
+
+    posted = F.lit("2026-05-09 20:10:00").cast("timestamp")
+    a = one(spark, r.snapshot_of(F.lit("Станом на 22:00 9 травня 2026 року"), posted))
+    assert (a.report_date, a.snapshot_at, a.note) == (D(2026, 5, 9), dt.datetime(2026, 5, 9, 22), None)
+    b = one(spark, r.snapshot_of(F.lit("станом на 08.00 10.05.2026: минулої доби"), F.lit("2026-05-10 05:30:00").cast("timestamp")))
+    assert b.report_date == D(2026, 5, 9)
+    c = one(spark, r.snapshot_of(F.lit("станом на 22:00 08.05.2026, від початку доби"), posted))
+    assert (c.report_date, c.note) == (D(2026, 5, 9), "header said 2026-05-08")
+    assert one(spark, r.snapshot_of(F.lit("нічого"), posted)) is None
+
+
+def test_report_numbers(spark):
+    from tidemark.functions import reports as r
+
+    assert one(spark, r.spelt_number(F.lit("сорок чотири"))) == 44 and one(spark, r.spelt_number(F.lit("1 234"))) == 1234
+    assert one(spark, r.spelt_number(F.lit("окупанти шість"))) == 6 and one(spark, r.spelt_number(F.lit("шість разом"))) is None
+    assert one(spark, r.first_known(F.lit("a 0 b 7"), [r"a (\d)", r"b (\d)"])) == 7 and one(spark, r.first_known(F.lit("x"), [r"a (\d)"])) is None
+    assert one(spark, r.tally(F.lit("Сили оборони уразили 12 районів, дві гармати, склад боєприпасів та озброєння."))) == 15
+    assert one(spark, r.tally(F.lit("тихо"))) is None
+    s = one(spark, r.parse_summary(F.lit("відбулося 94 боєзіткнення"), {"fights": [r"(\d+) боєзіткнен"]}))
+    assert (s.fights, s.part) == (94, None)
+    assert one(spark, r.parse_summary(F.lit("Частина 2. 94 боєзіткнення"), {"fights": [r"(\d+) боєзіткнен"]})).fights is None
+
+
+def test_report_places(spark):
+    from tidemark.functions import reports as r
+
+    text = (
+        "На Покровському напрямку ворог здійснив 17 атак, дві атаки тривають. На Лиманському та Північно-Слобожанському напрямках відбулося шість боєзіткнень, агресор сім разів атакував. "
+        "На Херсонському напрямку ворог активних дій не проводив. На цьому напрямку 5 атак. На Покровському напрямку 99 атак."
+    )
+    out = [tuple(x) for x in one(spark, r.place_reports(F.lit(text)))]
+    assert out == [("покровському", 17, 2, 1, None), ("лиманському", 7, None, 2, 1), ("північнослобожанському", 7, None, 2, 1), ("херсонському", None, None, 1, None)]
+    assert one(spark, r.place_reports(F.lit(""))) == []
