@@ -15,7 +15,7 @@ from tidemark.llm.pii import KINDS, find_personal_data
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
-from tidemark.llm.url_filter import filter_urls
+from tidemark.llm.url_filter import RULES, filter_urls
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,39 @@ QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_near_dedup, op
 WORDS_9 = r"list_filter(regexp_split_to_array(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 LINE_KEY = "translate(trim({x}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+REST = "CASE WHEN contains(coalesce({u}, ''), '://') THEN substr({u}, strpos({u}, '://') + 3) ELSE '' END"
+RULE_ROWS = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in RULES)
+FORM = (
+    "CASE WHEN h = '' THEN NULL ELSE h || regexp_replace(p, '/$', '') || CASE WHEN len(qs) > 0 THEN '?' || array_to_string(qs, '&') ELSE '' END END"
+)
+PARTS = "translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS p, list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_full_match(x, '(utm_[^=]*|ref|fbclid|gclid)(=.*)?')) AS qs"
+
 ORACLE: dict[str, str] = {
+    "op3_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS g FROM d),
+ n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * both_have >= 85 * (nx.k + ny.k - both_have)),
+ e AS (SELECT x AS src, y AS dst FROM l UNION ALL SELECT y, x FROM l),
+ r(node, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reach),
+ m AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(k, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m ON m.node = doc_id LEFT JOIN n USING (doc_id)""",
+    "op7_url_filter": f"""
+WITH RECURSIVE b AS (SELECT page_id, html, {REST.format(u='url')} AS rest FROM pages),
+ f AS (SELECT page_id, html, {PARTS} FROM b),
+ g AS (SELECT page_id, html, h AS host, p AS path, {FORM} AS form FROM f),
+ t AS (SELECT form, regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\\b[^>]*\\b(?:canonical|refresh)\\b[^>]*>')), '(?i)(?:href\\s*=\\s*["'']?|url\\s*=\\s*[''"]?)([^"''>\\s]+)', 1) AS target FROM g WHERE form IS NOT NULL),
+ tf AS (SELECT form, {PARTS} FROM (SELECT form, {REST.format(u='target')} AS rest FROM t)),
+ e1 AS (SELECT DISTINCT form AS src, {FORM} AS dst FROM tf),
+ e AS (SELECT src, dst FROM e1 WHERE dst IS NOT NULL UNION SELECT dst, src FROM e1 WHERE dst IS NOT NULL),
+ r(node, reach) AS (SELECT form, form FROM (SELECT DISTINCT form FROM g WHERE form IS NOT NULL) UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.reach),
+ c AS (SELECT node, min(reach) AS alias FROM r GROUP BY 1),
+ rules(verdict, rh, rp) AS (VALUES {RULE_ROWS}),
+ w AS (SELECT page_id, verdict, rh || rp AS rule FROM (SELECT page_id, verdict, rh, rp, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS n FROM g JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) WHERE n = 1),
+ said AS (SELECT alias, bool_or(verdict = 'allow') AS allow FROM g JOIN w USING (page_id) JOIN c ON c.node = g.form GROUP BY 1)
+SELECT g.page_id, host, path, w.rule, coalesce(w.verdict, CASE WHEN NOT coalesce(said.allow, true) THEN 'block' ELSE 'allow' END) AS verdict
+FROM g LEFT JOIN w USING (page_id) LEFT JOIN c ON c.node = g.form LEFT JOIN said ON said.alias = c.alias""",
     "op6_line_dedup": f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
  l AS (SELECT doc_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS pos FROM d),
