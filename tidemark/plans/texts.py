@@ -84,18 +84,21 @@ def unmatched_items(t: Tables) -> DataFrame:
     return items.where(~F.col("item").rlike("^(4|555)"))
 
 
-@query()
+WORD_ROWS = ", ".join("('{}', {})".format(w.replace("'", "''"), n) for w, n in x.NUMBER_WORDS.items())
+
+
+@query(f"SELECT word, CAST(value AS BIGINT) AS value FROM (VALUES {WORD_ROWS}, ('17', 17), ('many', NULL)) v(word, value)")
 def word_number_parse(t: Tables) -> DataFrame:
     words = t.spark.range(1).select(F.explode(F.array(*map(F.lit, [*x.NUMBER_WORDS, "17", "many"]))).alias("word"))
     return words.select("word", x.number_word(F.col("word")).alias("value"))
 
 
-@query()
+@query("SELECT doc_id, CAST(list_sum(list_transform(list_filter(list_transform(string_split(split_part(text, '.', 1), ','), lambda x: trim(x)), lambda x: length(x) > 0), lambda x: coalesce(TRY_CAST(regexp_extract(x, '([0-9]{1,9})', 1) AS BIGINT), 1))) AS BIGINT) AS total FROM documents")
 def list_item_sum(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", x.list_sum(F.substring_index("text", ".", 1)).alias("total"))
 
 
-@query()
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS name, CAST(p_size AS BIGINT) AS count FROM part")
 def distribute_count(t: Tables) -> DataFrame:
     text = F.concat(F.col("p_size").cast("string"), F.lit(" over "), F.replace("p_name", F.lit(" "), F.lit(" and ")))
     return t.part.select("p_partkey", F.explode(x.distributed(text)).alias("d")).select("p_partkey", "d.name", "d.count")
@@ -115,7 +118,7 @@ def slug_filter_new(t: Tables) -> DataFrame:
     return new_slugs(t.pages, "url", "page_id", SLUG, t.pages.where("page_id % 4 = 0"))
 
 
-@query()
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS date FROM orders")
 def date_from_text(t: Tables) -> DataFrame:
     day = F.to_date("o_orderdate")
     text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("as of "), F.date_format(day, "dd.MM.yyyy"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("on "), F.date_format(day, "d MMMM yyyy"))).otherwise("no day")

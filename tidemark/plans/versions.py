@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import versioned as v
-from tidemark.operators.writers import blank_columns
+from tidemark.operators import writers
 from tidemark.plans.registry import Tables, dec, long, query, total
 
 KEYS = ("l_orderkey", "l_linenumber")
@@ -153,8 +153,8 @@ def updated_at_changed(t: Tables) -> DataFrame:
 
 
 @query("SELECT doc_id, CAST(NULL AS VARCHAR) AS text, source, n_chars FROM documents")
-def blank_columns_copy(t: Tables) -> DataFrame:
-    return blank_columns(t.documents, ["text"]).select("doc_id", "text", "source", "n_chars")
+def blank_columns(t: Tables) -> DataFrame:
+    return writers.blank_columns(t.documents, ["text"]).select("doc_id", "text", "source", "n_chars")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND o_totalprice > (SELECT avg(p.o_totalprice) FROM orders p WHERE p.o_orderpriority = orders.o_orderpriority)")
