@@ -122,7 +122,7 @@ class Lexicon:
         return math.log1p(total), math.log1p(100 * total / (20 + folded.count(" ") + folded.count("\n"))) if total else 0.0
 
 
-def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Logistic regression by Newton steps; the intercept comes first."""
     x = np.column_stack([np.ones(len(x)), x])
     beta, penalty = np.zeros(x.shape[1]), ridge * np.diag([1e-3] + [1.0] * (x.shape[1] - 1))
