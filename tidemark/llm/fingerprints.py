@@ -41,11 +41,14 @@ def terms(df: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
 
 def _sample(k: int) -> Column:
     """The race value of this row's (term, lw) for sample k, with the winner's name, as one long."""
-    h = [F.xxhash64(F.lit(8 * k + j), F.col("term")) for j in range(3)]
-    unit = lambda x, shift: (F.shiftrightunsigned(x, shift).bitwiseAND(0x7FFFFFFF) + 1) / 2147483649.0  # noqa: E731  in (0, 1)
-    r = -F.log(unit(h[0], 1) * unit(h[0], 33))
-    c = -F.log(unit(h[1], 1) * unit(h[1], 33))
-    b = unit(h[2], 33)
+    one, two = (F.xxhash64(F.lit(2 * k + j), F.col("term")) for j in range(2))
+
+    def unit(h: Column, shift: int, bits: int) -> Column:  # in (0, 1)
+        return (F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1) + 1) / float((1 << bits) + 1)
+
+    r = -F.log(unit(one, 0, 32) * unit(one, 32, 32))
+    c = -F.log(unit(two, 0, 21) * unit(two, 21, 21))
+    b = unit(two, 42, 22)
     t = F.floor(F.col("lw") / r + b)
     race = F.log(c) - r * (t - b + 1)
     name = F.xxhash64(F.col("term"), t).bitwiseAND(0xFFFFFFFF)
