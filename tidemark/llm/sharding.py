@@ -52,7 +52,7 @@ def propagate(state: DataFrame, links: DataFrame, shards: int, quota: int, round
         votes = member.groupBy("key", "shard").agg(F.sum("size").alias("bytes"))
         votes = votes.withColumn("rank", F.struct("bytes", F.xxhash64("key", "shard").alias("tie"), "shard"))
         best = votes.where(_pick(free, F.col("shard")) > 0).groupBy("key").agg(F.max("rank").alias("best"))
-        moves = votes.join(best, "key").where(F.col("best") > F.col("rank")).select("key", "shard", F.col("best.shard").alias("to"), F.col("best.bytes").alias("gain"))
+        moves = cut(votes.join(best, "key").where(F.col("best") > F.col("rank")).select("key", "shard", F.col("best.shard").alias("to"), F.col("best.bytes").alias("gain")))
         wish = member.join(moves, ["key", "shard"]).groupBy("rid").agg(F.max(F.struct("gain", "to"))["to"].alias("to"), F.max("size").alias("size"))
         wish = cut(wish)
         asked = {r[0]: r[1] for r in wish.groupBy("to").agg(F.sum("size")).collect()}  # one row a shard
@@ -78,12 +78,12 @@ def shard_documents(docs: DataFrame, links: DataFrame | None = None, *, id_col:
     n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     quota = max(1, -(-total // shards))
     if links is None:
-        groups = base.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+        groups = cut(base.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"))  # as a table, so that a join on large groups can be split
         keyed = base.join(groups, ["t1", "t2"]).select("rid", F.struct("t1", "t2").alias("key"), "bytes").distinct()
     else:
         keyed = links.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("rid"), F.struct(F.xxhash64("key"), F.xxhash64(F.lit(7), "key")).alias("key")).distinct()
         keyed = keyed.join(base.groupBy("rid").agg(F.sum("size").alias("size")), "rid")
-        keyed = keyed.join(keyed.groupBy("key").agg(F.sum("size").alias("bytes")), "key").select("rid", "key", "bytes")
+        keyed = keyed.join(cut(keyed.groupBy("key").agg(F.sum("size").alias("bytes"))), "key").select("rid", "key", "bytes")
     keyed = cut(keyed)
     # a group larger than a shard starts on as many shards as it needs, not on all of them
     spread = F.greatest(F.lit(1), F.least(F.lit(shards), F.ceil(F.col("bytes") / (0.9 * quota)))).cast("int")
