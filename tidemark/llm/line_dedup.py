@@ -98,10 +98,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     for b in range(batches):
         part = lines.where(F.col("batch") == b)
         runs.add(part.groupBy(*KEYS).agg(F.count_distinct("id").alias("n"), F.max("id").alias("owner")))
-    often = runs.totals().where(F.col("n") >= min_docs).select(*KEYS, "owner")
-    hits = lines.select("id", "pos", *KEYS).join(often, KEYS).where("id <> owner")
+    often = cut(runs.totals().where(F.col("n") >= min_docs).select(*KEYS, "owner"))  # as a table, so that a join on frequent lines can be split; it grows with the input
+    hits = lines.select("id", "pos", *KEYS).join(often.hint("merge"), KEYS).where("id <> owner")
     gone = cut(hits.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
-    out = plain.join(gone.withColumnRenamed("id", "_line_doc"), F.col(id_col) == F.col("_line_doc"), "left")
+    out = plain.join(gone.withColumnRenamed("id", "_line_doc").hint("merge"), F.col(id_col) == F.col("_line_doc"), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     n = F.size("gone")
 
