@@ -80,7 +80,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     seen = cut(base.select("doc_id", let(words, lambda w: F.struct(F.size(w).alias("n"), fingerprints(w, window).alias("prints"))).alias("d")).select("doc_id", "d.n", "d.prints"))
     test = bench.select(F.explode(fingerprints(F.col("words"), window)).alias("print")).distinct()
     found = cut(seen.select("doc_id", F.explode("prints").alias("print")).join(test, "print").groupBy("doc_id").agg(F.collect_set("print").alias("found")))
-    near = base.join(found, "doc_id").select("doc_id", let(words, lambda w: let(_starts(w, F.col("found"), window), lambda s: F.transform(s, lambda p: F.struct(p.alias("pos"), *pair_hash(F.slice(w, p + 1, window)))))).alias("c"))
+    near = base.join(found.hint("merge"), "doc_id").select("doc_id", let(words, lambda w: let(_starts(w, F.col("found"), window), lambda s: F.transform(s, lambda p: F.struct(p.alias("pos"), *pair_hash(F.slice(w, p + 1, window)))))).alias("c"))
     keyed = near.select("doc_id", F.explode("c").alias("c")).select("doc_id", "c.pos", F.lit(window).alias("len"), "c.w1", "c.w2")
     short = [r[0] for r in spans.where(F.col("len") < window).select("len").distinct().collect()]  # below ``window`` values
     for n in sorted(short):
