@@ -168,8 +168,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         signed = cut(base.mapInPandas(_signed(size, scheme), signed.schema))
     one = ["h1", "h2", "n_shingles"]
     worded = signed.where("n_shingles > 0")
-    classes = worded.groupBy(*one).agg(F.min("doc_id").alias("rep"))
-    reps = cut(worded.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "sketch"))
+    classes = cut(worded.groupBy(*one).agg(F.min("doc_id").alias("rep")))  # as a table, so that a join on large classes can be split
+    reps = cut(worded.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), "sketch"))
 
     keys = reps.select("rep", F.posexplode(buckets_of(F.col("sketch"), scheme)).alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1").drop("members")
@@ -199,6 +199,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     else:
         kept = first.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
         final = connected_components(kept.unionByName(more))
-    named = signed.join(classes, one, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    named = signed.join(classes.hint("merge"), one, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = named.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
