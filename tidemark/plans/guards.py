@@ -45,12 +45,12 @@ def guard_mismatch(t: Tables) -> DataFrame:
     return out.withColumn("children", F.col("children").cast("double"))
 
 
-BUSY = "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE event_type = 'error' AND value > 60 AND user_id % 11 = 0"
+BUSY = "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE event_type = 'error' AND value > 220"
 
 
 @query(f"SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-29', INTERVAL 1 DAY)) AS d) WHERE d NOT IN (SELECT date FROM ({BUSY})) AND day(d) % 10 <> 5")
 def gap_days(t: Tables) -> DataFrame:
-    busy = t.readings.where((F.col("event_type") == "error") & (F.col("value") > 60) & (F.col("user_id") % 11 == 0))
+    busy = t.readings.where((F.col("event_type") == "error") & (F.col("value") > 220))
     audited = c.spine(t.spark, dt.date(2024, 1, 1), AS_OF).where(F.dayofmonth("date") % 10 == 5)
     return g.gap_days(busy, "date", dt.date(2024, 1, 1), AS_OF - dt.timedelta(days=1), audited)
 
@@ -154,31 +154,31 @@ def last_snapshot_join(t: Tables) -> DataFrame:
     return a.last_snapshot(t.readings, ["user_id", "event_type"], "date").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-DAILY = "SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_type = '{0}' AND user_id % {1} = 0 GROUP BY 1"
+DAILY = "SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_type = '{0}' AND value > {1} GROUP BY 1"
 
 
-def daily(t: Tables, kind: str, part: int) -> DataFrame:
-    return t.readings.where((F.col("event_type") == kind) & (F.col("user_id") % part == 0)).groupBy("date").agg(F.count("*").alias("n"))
+def daily(t: Tables, kind: str, least: int) -> DataFrame:
+    return t.readings.where((F.col("event_type") == kind) & (F.col("value") > least)).groupBy("date").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT coalesce(a.date, b.date) AS date, a.n AS clicks, b.n AS views FROM ({DAILY.format('click', 13)}) a FULL JOIN ({DAILY.format('view', 17)}) b ON a.date = b.date")
+@query(f"SELECT coalesce(a.date, b.date) AS date, a.n AS clicks, b.n AS views FROM ({DAILY.format('click', 200)}) a FULL JOIN ({DAILY.format('view', 210)}) b ON a.date = b.date")
 def full_outer_series(t: Tables) -> DataFrame:
-    return daily(t, "click", 13).withColumnRenamed("n", "clicks").join(daily(t, "view", 17).withColumnRenamed("n", "views"), "date", "full")
+    return daily(t, "click", 200).withColumnRenamed("n", "clicks").join(daily(t, "view", 210).withColumnRenamed("n", "views"), "date", "full")
 
 
-@query(f"SELECT date, max(CASE WHEN k = 'click' THEN n END) AS click, max(CASE WHEN k = 'view' THEN n END) AS view, max(CASE WHEN k = 'error' THEN n END) AS error FROM (SELECT 'click' AS k, * FROM ({DAILY.format('click', 13)}) UNION ALL SELECT 'view', * FROM ({DAILY.format('view', 17)}) UNION ALL SELECT 'error', * FROM ({DAILY.format('error', 19)})) GROUP BY 1")
+@query(f"SELECT date, max(CASE WHEN k = 'click' THEN n END) AS click, max(CASE WHEN k = 'view' THEN n END) AS view, max(CASE WHEN k = 'error' THEN n END) AS error FROM (SELECT 'click' AS k, * FROM ({DAILY.format('click', 200)}) UNION ALL SELECT 'view', * FROM ({DAILY.format('view', 210)}) UNION ALL SELECT 'error', * FROM ({DAILY.format('error', 190)})) GROUP BY 1")
 def point_series_full_outer(t: Tables) -> DataFrame:
-    series = [daily(t, k, p).withColumn("k", F.lit(k)) for k, p in (("click", 13), ("view", 17), ("error", 19))]
+    series = [daily(t, k, p).withColumn("k", F.lit(k)) for k, p in (("click", 200), ("view", 210), ("error", 190))]
     return series[0].unionByName(series[1]).unionByName(series[2]).groupBy("date").pivot("k", ["click", "view", "error"]).agg(F.max("n"))
 
 
 SPINE = "SELECT CAST(unnest(generate_series(DATE '2024-01-10', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date"
 
 
-@query(f"SELECT s.date, a.n AS left_value, b.n AS right_value FROM ({SPINE}) s LEFT JOIN ({DAILY.format('click', 29)}) a ON a.date = s.date LEFT JOIN ({DAILY.format('view', 31)}) b ON b.date = s.date")
+@query(f"SELECT s.date, a.n AS left_value, b.n AS right_value FROM ({SPINE}) s LEFT JOIN ({DAILY.format('click', 180)}) a ON a.date = s.date LEFT JOIN ({DAILY.format('view', 195)}) b ON b.date = s.date")
 def paired_series(t: Tables) -> DataFrame:
-    left = c.fill_days(daily(t, "click", 29), "date", dt.date(2024, 1, 10), AS_OF).withColumnRenamed("n", "left_value")
-    return left.join(daily(t, "view", 31).withColumnRenamed("n", "right_value"), "date", "left")
+    left = c.fill_days(daily(t, "click", 180), "date", dt.date(2024, 1, 10), AS_OF).withColumnRenamed("n", "left_value")
+    return left.join(daily(t, "view", 195).withColumnRenamed("n", "right_value"), "date", "left")
 
 
 @query("SELECT o_orderkey, coalesce(r, 0) AS returned, CASE WHEN k IS NULL THEN o_totalprice ELSE 0 END AS unsplit FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON k = o_orderkey")
@@ -188,7 +188,7 @@ def left_default_split(t: Tables) -> DataFrame:
     return out.select("o_orderkey", F.coalesce("r", F.lit(0)).alias("returned"), F.when(F.col("r").isNull(), F.col("o_totalprice")).otherwise(0.0).alias("unsplit"))
 
 
-@query(f"SELECT date, n, 'primary' AS source FROM ({DAILY.format('click', 23)}) UNION ALL SELECT date, n, 'supplement' FROM ({DAILY.format('view', 7)}) v WHERE NOT EXISTS (SELECT 1 FROM ({DAILY.format('click', 23)}) p WHERE p.date = v.date)")
+@query(f"SELECT date, n, 'primary' AS source FROM ({DAILY.format('click', 205)}) UNION ALL SELECT date, n, 'supplement' FROM ({DAILY.format('view', 100)}) v WHERE NOT EXISTS (SELECT 1 FROM ({DAILY.format('click', 205)}) p WHERE p.date = v.date)")
 def supplement_union(t: Tables) -> DataFrame:
-    first = daily(t, "click", 23).withColumn("source", F.lit("primary"))
-    return first.unionByName(daily(t, "view", 7).join(first.select("date"), "date", "left_anti").withColumn("source", F.lit("supplement")))
+    first = daily(t, "click", 205).withColumn("source", F.lit("primary"))
+    return first.unionByName(daily(t, "view", 100).join(first.select("date"), "date", "left_anti").withColumn("source", F.lit("supplement")))

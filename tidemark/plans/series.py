@@ -167,9 +167,9 @@ def normalized_series(t: Tables) -> DataFrame:
     return projection.normalized(days, "n", ["event_type"]).select("event_type", "date", F.round("normalized", 6).alias("normalized"))
 
 
-@query("SELECT date, CASE WHEN n > 1 THEN round(log10(n - 1), 6) END AS log_value FROM (SELECT CAST(ts AS DATE) AS date, count(*) FILTER (WHERE user_id % 50 = 0) AS n FROM events GROUP BY 1)")
+@query("SELECT date, CASE WHEN n > 1 THEN round(log10(n - 1), 6) END AS log_value FROM (SELECT CAST(ts AS DATE) AS date, count(*) FILTER (WHERE value > 40) AS n FROM events GROUP BY 1)")
 def log_series(t: Tables) -> DataFrame:
-    days = t.readings.groupBy("date").agg(F.count(F.when(F.col("user_id") % 50 == 0, 1)).alias("n"))
+    days = t.readings.groupBy("date").agg(F.count(F.when(F.col("value") > 40, 1)).alias("n"))
     return days.select("date", F.round(log_or_null((F.col("n") - 1).cast("double")), 6).alias("log_value"))
 
 
@@ -209,9 +209,9 @@ def withheld_breakdown(t: Tables) -> DataFrame:
     return rows.select("month", "category", "launched", (F.col("hidden") > 0).alias("undisclosed"), long(place).alias("place"))
 
 
-@query("SELECT d.date, CASE WHEN x.hidden IS NULL THEN 0 ELSE x.value END AS value, coalesce(x.hidden, 0) AS hidden FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) d LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, round(sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END), 4) AS value, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS hidden FROM orders WHERE o_orderpriority = '2-HIGH' AND o_custkey % 5 = 0 GROUP BY 1) x ON x.date = d.date")
+@query("SELECT d.date, CASE WHEN x.hidden IS NULL THEN 0 ELSE x.value END AS value, coalesce(x.hidden, 0) AS hidden FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) d LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, round(sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END), 4) AS value, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS hidden FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice > 350000 GROUP BY 1) x ON x.date = d.date")
 def dense_model_daily(t: Tables) -> DataFrame:
-    chosen = (F.col("o_orderpriority") == "2-HIGH") & (F.col("o_custkey") % 5 == 0)
+    chosen = (F.col("o_orderpriority") == "2-HIGH") & (F.col("o_totalprice") > 350000)
     return disclosure.dense_daily(t.days, "date", chosen, F.col("o_orderstatus") == "P", F.col("o_totalprice")).withColumn("value", F.round("value", 4))
 
 
@@ -226,12 +226,12 @@ def conditional_split_sums(t: Tables) -> DataFrame:
     return rows.groupBy("date").agg(F.count(F.when(night, 1)).alias("night"), F.count(F.when(~night, 1)).alias("rest"), F.count(F.when(F.col("k").isin("day", "other"), 1)).alias("known_rest"))
 
 
-NOTES = "SELECT CAST(ts AS DATE) AS date, string_agg(CAST(event_id AS VARCHAR) || ':' || event_type, ', ' ORDER BY event_id) AS notes FROM events WHERE value > 90 AND user_id % 7 = 0 GROUP BY 1"
+NOTES = "SELECT CAST(ts AS DATE) AS date, string_agg(CAST(event_id AS VARCHAR) || ':' || event_type, ', ' ORDER BY event_id) AS notes FROM events WHERE value > 40 GROUP BY 1"
 
 
 @query(NOTES)
 def overlap_notes_listagg(t: Tables) -> DataFrame:
-    t.readings.where("value > 90 and user_id % 7 = 0").createOrReplaceTempView("tm_notes")
+    t.readings.where("value > 40").createOrReplaceTempView("tm_notes")
     return t.spark.sql("SELECT date, listagg(CAST(event_id AS STRING) || ':' || event_type, ', ') WITHIN GROUP (ORDER BY event_id) AS notes FROM tm_notes GROUP BY date")
 
 
@@ -307,9 +307,9 @@ def week_buckets_anchored(t: Tables) -> DataFrame:
     return folds.bucket_sums(days, "date", F.lit(dt.date(2024, 1, 2)), "n")
 
 
-@query("SELECT strftime(w, '%Y-%m') AS month, CAST(floor(sum(v) + 0.5) AS BIGINT) AS total FROM (SELECT date_trunc('week', o_orderdate) AS w, round(sum(CASE WHEN o_orderstatus = 'F' AND o_custkey % 200 = 0 THEN o_totalprice END), 4) AS v FROM orders GROUP BY 1) GROUP BY 1")
+@query("SELECT strftime(w, '%Y-%m') AS month, CAST(floor(sum(v) + 0.5) AS BIGINT) AS total FROM (SELECT date_trunc('week', o_orderdate) AS w, round(sum(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 499000 THEN o_totalprice END), 4) AS v FROM orders GROUP BY 1) GROUP BY 1")
 def week_to_month(t: Tables) -> DataFrame:
-    value = F.when((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 200 == 0), F.col("o_totalprice"))
+    value = F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 499000), F.col("o_totalprice"))
     weeks = t.days.groupBy(c.monday_week(F.col("date")).alias("w")).agg(F.round(F.sum(value), 4).alias("v"))
     return weeks.groupBy(c.month_of(F.col("w")).alias("month")).agg(F.sum("v").alias("v")).select("month", round_half_up(F.col("v")).alias("total"))
 
@@ -422,9 +422,9 @@ def literal_filters(t: Tables) -> DataFrame:
     return t.orders.where(wanted).select("o_orderkey")
 
 
-@query("SELECT s.date, coalesce(x.v, 0) AS value FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-26', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date) s LEFT JOIN (SELECT CAST(ts AS DATE) AS date, arg_max(value, event_id) AS v FROM events WHERE event_type = 'signup' AND user_id % 100 = 3 GROUP BY 1) x ON x.date = s.date")
+@query("SELECT s.date, coalesce(x.v, 0) AS value FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-26', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date) s LEFT JOIN (SELECT CAST(ts AS DATE) AS date, arg_max(value, event_id) AS v FROM events WHERE event_type = 'signup' AND value > 60 GROUP BY 1) x ON x.date = s.date")
 def long_category_window(t: Tables) -> DataFrame:
-    rows = t.readings.where("event_type = 'signup' and user_id % 100 = 3").groupBy("date").agg(F.max_by("value", "event_id").alias("value"))
+    rows = t.readings.where("event_type = 'signup' and value > 60").groupBy("date").agg(F.max_by("value", "event_id").alias("value"))
     return c.fill_days(rows, "date", AS_OF - dt.timedelta(days=4), AS_OF).fillna(0.0, ["value"])
 
 
@@ -484,11 +484,11 @@ def subset_rate(t: Tables) -> DataFrame:
     return days.select("date", F.round(share(F.col("r"), F.col("n")), 4).alias("rate"))
 
 
-@query("SELECT month, round(sum(CASE WHEN p = '1' THEN v END), 4) AS urgent, round(sum(CASE WHEN p = '2' THEN v END), 4) AS high, round(coalesce(sum(CASE WHEN p = '1' THEN v END), 0) + coalesce(sum(CASE WHEN p = '2' THEN v END), 0), 4) AS both_sum FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, substr(o_orderpriority, 1, 1) AS p, o_totalprice AS v FROM orders WHERE o_custkey % 10 = 0) GROUP BY 1 HAVING sum(CASE WHEN p IN ('1', '2') THEN v END) IS NOT NULL")
+@query("SELECT month, round(sum(CASE WHEN p = '1' THEN v END), 4) AS urgent, round(sum(CASE WHEN p = '2' THEN v END), 4) AS high, round(coalesce(sum(CASE WHEN p = '1' THEN v END), 0) + coalesce(sum(CASE WHEN p = '2' THEN v END), 0), 4) AS both_sum FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, substr(o_orderpriority, 1, 1) AS p, o_totalprice AS v FROM orders WHERE o_totalprice > 480000) GROUP BY 1 HAVING sum(CASE WHEN p IN ('1', '2') THEN v END) IS NOT NULL")
 def sum_of_known(t: Tables) -> DataFrame:
     p = F.substring("o_orderpriority", 1, 1)
     of = lambda x: F.sum(F.when(p == x, F.col("o_totalprice")))
-    months = t.days.where("o_custkey % 10 = 0").groupBy("month").agg(of("1").alias("urgent"), of("2").alias("high"))
+    months = t.days.where("o_totalprice > 480000").groupBy("month").agg(of("1").alias("urgent"), of("2").alias("high"))
     months = months.withColumn("both_sum", sum_or_null(F.col("urgent"), F.col("high"))).where("both_sum is not null")
     return months.select("month", *[F.round(x, 4).alias(x) for x in ("urgent", "high", "both_sum")])
 

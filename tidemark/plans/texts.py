@@ -113,9 +113,9 @@ def token_and_search(t: Tables) -> DataFrame:
 SLUG = r"/en/[0-9]+/?$"
 
 
-@query("SELECT url, min(page_id) AS page_id FROM pages WHERE regexp_matches(url, '/en/[0-9]+/?$') AND url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0) GROUP BY 1")
+@query("SELECT url, min(page_id) AS page_id FROM pages WHERE regexp_matches(url, '/en/[0-9]+/?$') AND url NOT IN (SELECT url FROM pages WHERE url LIKE 'https://m.%') GROUP BY 1")
 def slug_filter_new(t: Tables) -> DataFrame:
-    return new_slugs(t.pages, "url", "page_id", SLUG, t.pages.where("page_id % 4 = 0"))
+    return new_slugs(t.pages, "url", "page_id", SLUG, t.pages.where("url like 'https://m.%'"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS date FROM orders")
