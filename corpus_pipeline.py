@@ -10,7 +10,8 @@ from tidemark.llm.decontaminate import decontaminate
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
-from tidemark.llm.toxicity import fit_toxicity, score_toxicity
+from tidemark.llm.toxicity import fit_toxicity
+from tidemark.llm.toxicity import toxicity as score
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,8 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go; it learns from the same labels as the operator's query."""
     labels = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2)
-    toxic = score_toxicity(docs, fit_toxicity(docs, labels)).where("predicted = 1").select("doc_id")
-    return docs.join(toxic, "doc_id", "left_anti").select(COLUMNS)
+    return docs.where(score(F.col("text"), fit_toxicity(docs, labels)) < 0.3).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
