@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, unit_hash
@@ -183,20 +183,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return entries, calibrated(seen[["total", "density"]].to_numpy(), seen["y"].to_numpy()).tolist()
 
 
+def toxicity(text: Column, model: tuple[dict[str, float], list[float]]) -> Column:
+    """The score (0 to 1) of a text column, in Arrow batches; null and empty texts get that of a text without hits."""
+    entries, beta = model
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon(entries)
+        for texts in batches:
+            x = np.array([(1.0, *lexicon.features(t)) for t in texts]).reshape(-1, 3)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(beta), -30, 30))))
+
+    return scored(text)
+
+
 def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Per row: ``doc_id``, ``score`` (0 to 1), ``predicted`` and ``n_hits``.
+    """Per row: ``doc_id``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
     Null and empty texts have no hits and the score of a clean text.  Repeated ids and null ids are kept as they are;
     other columns are ignored; an empty table gives no rows.
     """
-    entries, beta = model
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(entries)
-        for b in batches:
-            x = np.array([(1.0, *lexicon.features(t)) for t in b["text"]]).reshape(-1, 3)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(x @ np.array(beta), -30, 30)))})
-
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = base.mapInPandas(scored, "doc_id long, score double")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), toxicity(F.col(text_col), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
