@@ -124,7 +124,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": [statistics(t) for t in b["text"]]})
 
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id")
+    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")  # ``sample`` bounds it
     rows = train.mapInPandas(measured, "id long, y int, x array<double>").toPandas().sort_values("id")  # about ``sample`` rows of statistics
     y = rows["y"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 20:
