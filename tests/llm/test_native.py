@@ -100,6 +100,29 @@ def test_urls(spark):
     assert filter_urls(pages.unionByName(pages)).count() == 2 * len(urls)
 
 
+def test_urls_take_the_decision_of_targets_outside_the_table(spark):
+    link, refresh = '<link rel="canonical" href="{}">', "<meta http-equiv=refresh content=\"0; url='{}'\">"
+    pages = [  # url, html, verdict
+        ("http://c.org/p", link.format("http://b.org/es/2"), "block"),
+        ("http://c.org/q", link.format("http://b.org/es/5") + link.format("http://example.com/en/7x"), "allow"),
+        ("http://d.org/x/y", link.format("/es/2"), "block"),
+        ("http://e.info/p", refresh.format("//b.org/es/3"), "block"),
+        ("http://f.org/es2/x?y=/", refresh.format("../es/./3"), "block"),
+        ("http://g.org", link.format("es/4"), "block"),
+        ("http://h.org/es", link.format("?es"), "allow"),
+        ("http://i.org/es", link.format("/es/"), "block"),
+        ("http://j.org/x", '<base href="/es/">' + link.format("a"), "block"),
+        ("http://k.org/x", '<link rel=stylesheet href="/es/canonical.css"><link rel="canonical" href="mailto:a@b.org"><meta http-equiv="refresh" content="5">', "allow"),
+        ("http://l.org/x", link.format("/y"), "block"),
+        ("http://l.org/z", link.format("http://l.org/y") + link.format("/a/../es/9"), "block"),
+        ("http://m.org/x", link.format("/go/../en?to=http://b.org/es/2"), "allow"),
+        ("no scheme", link.format("/es/2"), "allow"),
+        (None, link.format("http://b.org/es/2"), "allow"),
+    ]
+    got = filter_urls(spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert [(u, v) for u, _, v in pages] == [(pages[r.page_id][0], r.verdict) for r in sorted(got, key=lambda r: r.page_id)]
+
+
 def test_shards(spark):
     rnd = random.Random(9)
     docs = [(i, " ".join(words(rnd, rnd.choice([3, 30, 60])))) for i in range(3000)]

@@ -2,7 +2,8 @@
 
 A rule names a host with its subdomains and the start of a path; the longest fitting rule decides.  URLs that no
 rule fits take the decision of their aliases: URLs with the same canonical form, and those joined by canonical links
-or refresh redirects in the pages, by distributed connected components.
+or refresh redirects in the pages, by distributed connected components.  Rules judge the targets of links too, whether
+they are pages of the table or not.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, connected_components
+from tidemark.llm.common import LOWER, UPPER, connected_components, cut, let
 
 #: (verdict, host, path)
 RULES = [
@@ -20,6 +21,9 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+#: A tag whose attribute says that its target is an alias.
+ALIAS = r"""(?i)(?<![\w-])(?:rel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)|http-equiv\s*=\s*["']?\s*refresh\b)"""
 #: Query parameters that don't change what is shown.
 TRACKING = r"[?&](utm_[^=&#]*|ref|fbclid|gclid)(=[^&#]*)?(?=[&#]|$)"
 
@@ -50,27 +54,62 @@ def canonical(url: Column) -> Column:
     return F.when(host == "", F.lit(None).cast("string")).otherwise(F.concat(host, F.regexp_replace(path, r"/$", ""), query))
 
 
-def page_links(html: Column) -> Column:
-    """Targets of canonical links and refresh redirects, whatever the order of a tag's attributes."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>"), F.lit(0))
-    target = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)(?:href\s*=\s*[\"']?|url\s*=\s*['\"]?)([^\"'>\s]+)", 1))
-    return F.filter(target, lambda t: F.instr(t, "://") > 0)
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/`` without its ``.`` and ``..`` parts."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda s, p: F.when(p == ".", s).when(p == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(1)))).otherwise(F.concat(s, F.array(p))))
+    return F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """``target`` as an absolute URL, a relative one seen from ``base``; null if blank or of a scheme without ``//``."""
+    root, path = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), url_parts(base)[1]
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    full = F.when(target.startswith("/"), target).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), target))
+    joined = F.concat(root, without_dots(F.regexp_extract(full, r"^([^?#]*)", 1)), F.regexp_extract(full, r"(?s)^[^?#]*(.*)$", 1))
+    return (
+        F.when(target.rlike(SCHEME + "//"), target).when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), target))
+        .when((target == "") | target.rlike(SCHEME), F.lit(None).cast("string")).when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("#"), base).otherwise(joined)
+    )
+
+
+def page_links(html: Column, url: Column) -> Column:
+    """Targets of canonical links and refresh redirects as absolute URLs, whatever the order of a tag's attributes.
+
+    Relative targets are seen from the page's ``base``, else from its URL.  They count only where the attribute says
+    canonical or refresh, so that a style sheet ``/canonical.css`` does not join all pages of a site.
+    """
+    html = F.coalesce(html, F.lit(""))
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>"), F.lit(0))
+    named = F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1)
+
+    def absolute(tag: Column) -> Column:
+        target = F.regexp_extract(tag, r"(?i)(?:href\s*=\s*[\"']?|url\s*=\s*['\"]?)([^\"'>\s]+)", 1)
+        seen = let(F.coalesce(resolved(named, url), url), lambda base: let(target, lambda t: resolved(t, base)))
+        return F.when(target.rlike(SCHEME + "//"), target).when(tag.rlike(ALIAS), seen)
+
+    return F.filter(F.transform(tags, absolute), lambda t: t.isNotNull())
 
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """Per row: ``page_id``, ``host``, ``path``, ``rule`` and ``verdict``.
 
-    Without a fitting rule the verdict is the aliases': allow if any alias is allowed by a rule, else block if any is
-    blocked, else allow.  Null URLs and such without ``://`` have empty host and path, no aliases and are allowed.
+    Without a fitting rule the verdict is the aliases', pages or mere targets of links: allow if any alias is allowed
+    by a rule, else block if any is blocked, else allow.  Null URLs and such without ``://`` have empty host and path, no aliases and are allowed.
     Repeated rows are kept; other columns are ignored; null html has no links; an empty table gives no rows.
     """
     host, path = url_parts(F.col(url_col))
-    links = page_links(F.col(html_col)) if html_col in pages.columns else F.array().cast("array<string>")
+    links = page_links(F.col(html_col), F.col(url_col)) if html_col in pages.columns else F.array().cast("array<string>")
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), canonical(F.col(url_col)).alias("form"), links.alias("links"))
     base = base.withColumn("hit", best_rule(F.col("host"), F.col("path"), rules))
-    edges = base.where("form is not null and size(links) > 0").select(F.col("form").alias("src"), F.explode("links").alias("to")).select("src", canonical(F.col("to")).alias("dst"))
-    groups = connected_components(edges.where("src <> dst"))
-    told = base.where("form is not null and hit is not null").groupBy("form").agg(F.max(F.col("hit.verdict") == "allow").alias("allow"))
+    targets = base.where("form is not null and size(links) > 0").select(F.col("form").alias("src"), F.explode("links").alias("to"))
+    edges = targets.select("src", canonical(F.col("to")).alias("dst"), best_rule(*url_parts(F.col("to")), rules)["verdict"].alias("verdict"))
+    edges = cut(edges.where("dst is not null and (src <> dst or verdict is not null)").distinct())
+    groups = connected_components(edges.where("src <> dst").select("src", "dst"))
+    told = base.where("form is not null and hit is not null").select("form", F.col("hit.verdict").alias("verdict"))
+    told = told.unionByName(edges.where("verdict is not null").select(F.col("dst").alias("form"), "verdict"))
+    told = told.groupBy("form").agg(F.max(F.col("verdict") == "allow").alias("allow"))
     told = told.join(groups.select(F.col("node").alias("form"), "component"), "form", "left").select(F.coalesce("component", "form").alias("alias"), "allow")
     told = told.groupBy("alias").agg(F.max("allow").alias("allow"))
     rows = base.drop("links").join(groups.select(F.col("node").alias("form"), "component"), "form", "left").withColumn("alias", F.coalesce("component", "form"))
