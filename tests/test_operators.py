@@ -254,3 +254,18 @@ def test_report_places(spark):
     out = [tuple(x) for x in one(spark, r.place_reports(F.lit(text)))]
     assert out == [("покровському", 17, 2, 1, None), ("лиманському", 7, None, 2, 1), ("північнослобожанському", 7, None, 2, 1), ("херсонському", None, None, 1, None)]
     assert one(spark, r.place_reports(F.lit(""))) == []
+
+
+def test_report_places_read_whole_sections_and_leading_counts(spark):
+    from tidemark.functions import reports as r
+
+    def places(text):
+        return [(x.place, x.attacks, x.ongoing) for x in one(spark, r.place_reports(F.lit(text)))]
+
+    filler = "Точилися бої. " * 60
+    long = f"На Покровському напрямку було важко. {filler}Ворог здійснив 17 атак, дві атаки тривають. На Лиманському напрямку тихо. {filler}5 атак."
+    assert places(long) == [("покровському", 17, 2), ("лиманському", None, None)]  # the last section ends after 600 characters
+    lead = "На Лиманському напрямку було тихо. Усього 25 атак здійснив ворог на Покровському напрямку, ще 2 атаки тривають. На Херсонському напрямку 3 атаки."
+    assert places(lead) == [("лиманському", None, None), ("покровському", 25, 2), ("херсонському", 3, None)]
+    assert places("Усього 25 атак здійснив ворог на Покровському напрямку. 2 атаки тривають") == [("покровському", 25, 2)]
+    assert places("На Лиманському напрямку зупинили 13 атак На Херсонському напрямку зупинили 21 спробу") == [("лиманському", 13, None), ("херсонському", 21, None)]

@@ -5,7 +5,7 @@ All are built-in expressions over pattern tables that callers pass; the tables b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -104,20 +104,39 @@ class PlacePatterns:
 def place_reports(text: Column, patterns: PlacePatterns = PlacePatterns()) -> Column:
     """Rows of (place, attacks, ongoing, group_size, group_id), one a place: its first mention counts.
 
-    A section runs from an anchor to the next.  Places named together share a count, their number being the group's
+    A section runs from an anchor to the next, the last one for 600 characters.  The part of its sentence before the
+    anchor ("25 attacks were made in …") counts for it and not for the section before.  Where no full stop parts two
+    anchors, the 80 characters before the later one are read only if its own section has no number.  Places named together share a count, their number being the group's
     size.  An explicit total ("N times") wins over the part that was repelled; a section that says nothing happened
     has no counts.
     """
     text = plain(text)
     anchors = F.regexp_extract_all(text, F.lit(patterns.anchor), F.lit(0))
-    after = F.slice(F.split(text, patterns.anchor), 2, F.size(anchors))
+    pieces = F.split(text, patterns.anchor)
+
+    def parted(head: Column, i: Column) -> Column:
+        before, piece = F.get(pieces, i), F.get(pieces, i + 1)
+        ended = F.instr(before, ".") > 0
+        lead = F.when(ended, F.substring_index(before, ".", -1)).otherwise(F.right(before, F.lit(80)))
+        whole = F.when(F.instr(piece, ".") > 0, F.regexp_extract(piece, r"(?s)^(.*\.)", 1)).otherwise(piece)
+        body = F.when(i + 1 < F.size(anchors), whole).otherwise(F.substring(piece, F.lit(1), F.lit(600) - F.length(head)))
+        leads = F.when(ended | (i == 0), F.array(lead)).otherwise(F.array(F.lit(""), lead))
+        return F.struct(head.alias("anchor"), body.alias("body"), leads.alias("leads"))
+
+    def section(part: Column, i: Column) -> Column:
+        head, body, first = part["anchor"], part["body"], F.substring_index(part["body"], ".", 1)
+
+        def read(find: Callable[[Column], Column]) -> Column:
+            return F.get(F.filter(F.transform(part["leads"], find), lambda n: n.isNotNull()), F.lit(0))
 
-    def section(pair: Column, i: Column) -> Column:
-        head, body = pair["anchor"], F.substring(pair["body"], 1, 600)
         names = F.filter(F.regexp_extract_all(head, F.lit(patterns.name), F.lit(1)), lambda n: ~F.lower(n).isin(*patterns.stop))
-        quiet = F.substring_index(body, ".", 1).rlike(patterns.nothing)
-        count = F.coalesce(spelt_number(F.nullif(F.regexp_extract(F.substring_index(body, ".", 1), patterns.total, 1), F.lit(""))), first_known(body, patterns.attacks))
-        going = spelt_number(F.nullif(F.regexp_extract(body, patterns.ongoing, 1), F.lit("")))
+        quiet = first.rlike(patterns.nothing)
+        count = read(
+            lambda x: F.coalesce(
+                spelt_number(F.nullif(F.regexp_extract(F.concat(x, head, first), patterns.total, 1), F.lit(""))), first_known(F.concat(x, head, body), patterns.attacks)
+            )
+        )
+        going = read(lambda x: spelt_number(F.nullif(F.regexp_extract(F.concat(x, head, body), patterns.ongoing, 1), F.lit(""))))
         return F.transform(
             names,
             lambda n: F.struct(
@@ -126,8 +145,7 @@ def place_reports(text: Column, patterns: PlacePatterns = PlacePatterns()) -> Co
             ),
         )
 
-    pairs = F.zip_with(anchors, after, lambda a, b: F.struct(a.alias("anchor"), b.alias("body")))
-    rows = F.flatten(F.transform(pairs, section))
+    rows = F.flatten(F.transform(F.transform(anchors, parted), section))
     return F.filter(rows, lambda r, i: F.array_position(F.transform(rows, lambda x: x["place"]), r["place"]) == i + 1)
 
 
