@@ -25,6 +25,17 @@ def test_lexicon():
     assert few[0] == many[0] and few[1] > many[1]
 
 
+def test_lexicon_sees_stand_ins_at_edges_of_words():
+    lex = toxicity.Lexicon({"idiot$": 2.0, "worthless$": 2.0, "scum$": 2.0, "trash$": 2.0, "veju": 3.0, "massi": 3.0})
+    hits = lambda s: [s[a:b] for a, b, _ in lex.hits(toxicity.fold(s))]
+    assert hits("idi07") == ["idi07"] and hits("w0rthle55 worthle$$, (worthle$$)") == ["w0rthle55", "worthle$$", "worthle$$"]
+    assert hits('"1diot" and (5cum), "5cum"!') == ["1diot", "5cum", "5cum"] and hits("IDI07!! you 1d107!") == ["IDI07", "1d107"]
+    assert hits("(v3ju) ve74 (7rash bin) trash!! $$$ scum$$$ '!!idiot!!'") == ["v3ju", "trash", "scum", "idiot"]
+    assert hits('("7rash can") room 101, mass!! $$$ 5c 2017 ' + "x" * 9999 + "!" * 9999) == []
+    wild = "(5cum" + "!" * 50_000 + "0" * 50_000
+    assert len(lex.unmasked(wild)) == len(wild) and hits(wild) == ["5cum"]
+
+
 def test_toxicity_learns_entries(spark):
     rnd = random.Random(3)
     docs, labels = [], []

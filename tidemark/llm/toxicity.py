@@ -2,7 +2,8 @@
 
 Folding maps homoglyphs, accents excepted, and digit substitutions to letters, one code point for one, so that
 places in the folded text are places in the text.  Entries match from a word's start, and to its end where they are
-whole words; matches inside an exception phrase don't count.  Entries and weights come from labelled rows: words and
+whole words; matches inside an exception phrase don't count.  Stand-ins at a word's end or after punctuation may be
+mere decoration ("trash!!"): they are read as letters only where that makes a word of the lexicon.  Entries and weights come from labelled rows: words and
 word beginnings whose documents are significantly often toxic.  Weights matched in a text and their density over its
 words give the score, calibrated on the same rows.
 """
@@ -34,6 +35,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: With inner stand-ins ("1d10t"), which must touch a letter on both sides or begin a word.
 _WORD = re.compile(r"[^\W\d_]+")
 _SWAPPED = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<![^\s])[0134578@$]+(?=[^\W\d_])")
+_STANDINS = "0134578@$!"
+_RUN = re.compile(r"[0134578@$!]+")
+#: Stand-ins at an edge of a word that are tried as letters, and letters between them, at most.
+EDGE, CORE = 8, 40
 
 #: Entries that hold without labels, and phrases in which they say nothing bad.
 SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -90,6 +95,9 @@ class Lexicon:
 
     def __init__(self, entries: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
         self.automaton = ahocorasick.Automaton()
+        self.words = {e.removesuffix(END) for e in entries if e.endswith(END)} | set(SEEDS) | {w for p in exceptions for w in p.split()}
+        self.stems = {e for e in entries if not e.endswith(END)}
+        self.sizes = sorted({len(e) for e in self.stems})
         for e, w in entries.items():
             word = e.removesuffix(END)
             old = self.automaton.get(word, None)
@@ -99,8 +107,52 @@ class Lexicon:
             self.automaton.add_word(phrase, (0.0, len(phrase), True, True))
         self.automaton.make_automaton()
 
+    def unmasked(self, folded: str) -> str:
+        """``folded`` with the stand-ins at edges of words as letters where that makes a word of the lexicon.
+
+        As many are letters as give a word, and the others stay: "idi07!!" is "idiot!!".  A beginning of a word
+        must not owe a letter to ! or $ after it, nor to ! before it, for these are common there.
+        """
+
+        def known(word: str, plain: bool) -> bool:
+            return word in self.words or plain and any(word[:k] in self.stems for k in self.sizes)
+
+        out, done = None, 0
+        for m in _RUN.finditer(folded):
+            a, b = m.span()
+            if a and folded[a - 1].isalpha():
+                start, end, tail = a, a, folded[a : min(b, a + EDGE)]
+                while start and end - start <= CORE and folded[start - 1].isalpha():
+                    start -= 1
+            elif b < len(folded) and folded[b].isalpha():
+                start, end, tail = b, b, ""
+                while end < len(folded) and end - start <= CORE and folded[end].isalpha():
+                    end += 1
+                if end < len(folded) and folded[end] in _STANDINS:
+                    continue  # the run at its end sees to it
+            else:
+                continue
+            if end - start > CORE:
+                continue
+            first = start
+            while first and start - first < EDGE and folded[first - 1] in _STANDINS:
+                first -= 1
+            lead, core = folded[first:start], folded[start:end]
+            if known(core, True):
+                continue
+            for i, j in sorted(((i, j) for i in range(len(lead) + 1) for j in range(len(tail) + 1) if i + j), key=lambda n: (-sum(n), -n[1])):
+                before, after = lead[len(lead) - i :], tail[:j]
+                word = before.translate(_FOLD) + core + after.translate(_FOLD)
+                if known(word, not {"!", "$"} & set(after) and "!" not in before):
+                    out = out or []
+                    out += [folded[done : start - i], word]
+                    done = end + j
+                    break
+        return "".join([*out, folded[done:]]) if out else folded
+
     def hits(self, folded: str) -> list[tuple[int, int, float]]:
         """(start, end, weight) of the matches that count, the longest at each start."""
+        folded = self.unmasked(folded)
         found: dict[int, tuple[int, int, float]] = {}
         excused = []
         for last, (weight, n, whole, phrase) in self.automaton.iter(folded):
