@@ -269,3 +269,40 @@ def test_report_places_read_whole_sections_and_leading_counts(spark):
     assert places(lead) == [("лиманському", None, None), ("покровському", 25, 2), ("херсонському", 3, None)]
     assert places("Усього 25 атак здійснив ворог на Покровському напрямку. 2 атаки тривають") == [("покровському", 25, 2)]
     assert places("На Лиманському напрямку зупинили 13 атак На Херсонському напрямку зупинили 21 спробу") == [("лиманському", 13, None), ("херсонському", 21, None)]
+
+
+def test_breakdown_passes(spark):
+    def parts(text):
+        return [tuple(p) for p in one(spark, x.breakdown(F.lit(text), "drone"))]
+
+    assert parts("6 drones over the north, 5 over south. In total since noon: 40 drones over the north, 9 over south.") == [("north", 6), ("south", 5)]
+    assert parts("three drones each over A, B and C; 4 drones over D") == [("A", 3), ("B", 3), ("C", 3), ("D", 4)]
+    assert parts("over the east were destroyed 7 drones, 2 drones were destroyed over West Sea, a drone over the bay, 5 over south") == [("east", 7), ("West Sea", 2), ("bay", 1), ("south", 5)]
+    assert parts("6 drones over the north, two over south, 1 over north") == [("north", 7), ("south", 2)]
+    assert parts("6 drones over the north") == []
+
+
+def test_dated_and_default_windows(spark):
+    def window(text, posted):
+        return tuple(one(spark, x.report_window(F.lit(text), F.lit(posted).cast("timestamp"))))
+
+    t = dt.datetime
+    assert window("from 20:00 on 31 December to 07:00 on 1 January", "2024-01-01 08:00:00") == (t(2023, 12, 31, 20), t(2024, 1, 1, 7), "night")
+    assert window("from 20:00 on 4 May to 24:00 on 4 May", "2024-05-05 08:00:00") == (t(2024, 5, 4, 20), t(2024, 5, 5, 0), "night")
+    assert window("last night 9 drones were destroyed", "2024-01-02 08:00:00") == (t(2024, 1, 1, 20), t(2024, 1, 2, 7), "night")
+    assert window("overnight from 23:00 to 06:30", "2024-01-02 08:00:00") == (t(2024, 1, 1, 23), t(2024, 1, 2, 6, 30), "night")
+
+
+def test_kinds_of_summaries_and_rough_places(spark):
+    kind = lambda s: (lambda r: r and tuple(r))(one(spark, x.summary_kind(F.lit(s))))
+    assert kind("Summary from 2 to 8 May 2025") == ("weekly", "2 May to 8 May 2025") and kind("Summary as of 3 May 2025") == ("daily", "3 May 2025")
+    assert kind("Briefing from 28 to 29 May 2025") == ("briefing", None) and kind("A summary") == ("summary", None) and kind("9 drones") is None
+    assert tuple(one(spark, x.rough_places(F.lit("9 drones over A, B and C. More")))) == (3, "A, B and C")
+
+
+def test_periods_of_reports(spark):
+    from tidemark.functions import reports as r
+
+    period = lambda s: one(spark, r.period_of(F.lit(s)))
+    assert period("За результатами бойової роботи у березні. 9 травня 2026. За підсумками квітня 2025") == "2026-04"
+    assert period("У червні наші сили, 3 липня 2026") == "2026-06" and period("за підсумками травня") is None and period("12 травня 2026") is None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,14 +122,21 @@ def bound_before(text: Column, number: str, reach: int = 25) -> Column:
     return F.when(closest["at"] > 0, closest["bound"]).otherwise("exact")
 
 
-def report_window(text: Column, posted: Column) -> Column:
-    """``from HH:MM to HH:MM`` before ``posted`` as (start, end, kind): over midnight, 24:00 and the day before included.
+DATED_WINDOW = r"(?i)from (\d{1,2}):(\d{2}) on (\d{1,2}) (\p{L}+) to (\d{1,2}):(\d{2}) on (\d{1,2}) (\p{L}+)"
+NIGHT = r"(?i)\b(?:overnight|(?:last|past) night|during the night)\b"
 
-    A window that would start after the post belongs to the day before.  Kinds: night (ends by noon, starts in the
-    evening), day (within a day) and other.
+
+def report_window(text: Column, posted: Column, *, dated: str = DATED_WINDOW, months: Sequence[str] = MONTHS, night: str = NIGHT) -> Column:
+    """The window of a report posted at ``posted`` as (start, end, kind); null without one.
+
+    First ``from HH:MM on D month to HH:MM on D month``, the year being the post's, and the year before for a start in
+    a later month than the end; else ``from HH:MM to HH:MM``, over midnight, 24:00 and the day before included; else,
+    where the text speaks of the night, 20:00 to 07:00.  A window that would start after the post belongs to the day
+    before.  Kinds: night (dated, said to be, or over midnight from the evening until noon), day (within a day) and other.
     """
     pattern = r"from ([0-2]?\d):([0-5]\d) to ([0-2]?\d):([0-5]\d)"
-    h1, m1, h2, m2 = (F.regexp_extract(text, pattern, k).try_cast("int") for k in range(1, 5))
+    said = text.rlike(night)
+    h1, m1, h2, m2 = (F.coalesce(F.regexp_extract(text, pattern, k).try_cast("int"), F.when(said, usual)) for k, usual in ((1, 20), (2, 0), (3, 7), (4, 0)))
     begin, finish = h1 * 60 + m1, h2 * 60 + m2
     day = F.to_date(posted)
     over = finish <= begin
@@ -138,8 +145,20 @@ def report_window(text: Column, posted: Column) -> Column:
     base = F.when(late, F.date_sub(base, 1)).otherwise(base)
     start = F.timestamp_add("MINUTE", begin, base.cast("timestamp"))
     end = F.timestamp_add("MINUTE", F.when(over, finish + 1440).otherwise(finish), base.cast("timestamp"))
-    kind = F.when((h1 >= 17) & over & (h2 <= 12), "night").when(~over, "day").otherwise("other")
-    return F.when(begin.isNotNull() & (begin <= 1440), F.struct(start.alias("start"), end.alias("end"), kind.alias("kind")))
+    kind = F.when(said | (h1 >= 17) & over & (h2 <= 12), "night").when(~over, "day").otherwise("other")
+    plain = F.when(begin.isNotNull() & (begin <= 1440), F.struct(start.alias("start"), end.alias("end"), kind.alias("kind")))
+
+    def month(k: int) -> Column:
+        return F.nullif(F.array_position(F.array(*map(F.lit, months)), F.lower(F.regexp_extract(text, dated, k))), F.lit(0)).cast("int")
+
+    def at(k: int, year: Column) -> Column:
+        date = F.concat_ws("-", year.cast("string"), month(k + 3).cast("string"), F.nullif(F.regexp_extract(text, dated, k + 2), F.lit(""))).try_cast("date")
+        return F.timestamp_add("MINUTE", F.regexp_extract(text, dated, k).try_cast("int") * 60 + F.regexp_extract(text, dated, k + 1).try_cast("int"), date.cast("timestamp"))
+
+    first, last = at(1, F.year(posted) - (month(4) > month(8)).cast("int")), at(5, F.year(posted))
+    back = F.when(first > posted.cast("timestamp"), -1).otherwise(0)
+    whole = F.struct(F.timestamp_add("DAY", back, first).alias("start"), F.timestamp_add("DAY", back, last).alias("end"), F.lit("night").alias("kind"))
+    return F.coalesce(F.when(first.isNotNull() & last.isNotNull(), whole), plain)
 
 
 def count_near(text: Column, noun: str, most: int = 5000) -> Column:
@@ -151,12 +170,82 @@ def count_near(text: Column, noun: str, most: int = 5000) -> Column:
     return F.when(n <= most, n)
 
 
-def breakdown(text: Column, noun: str) -> Column:
-    """``N nouns over place`` items as rows of (place, count); fewer than two items are no breakdown."""
-    item = rf"([0-9]{{1,9}})(?: {noun}s?)? over (?:the )?([\p{{L}}' -]+?)(?=,|;|\.|\n| and |$)"
-    found = F.regexp_extract_all(text, F.lit(item), F.lit(0))
-    rows = F.transform(found, lambda p: F.struct(F.trim(F.regexp_extract(p, item, 2)).alias("place"), F.regexp_extract(p, item, 1).try_cast("long").alias("count")))
-    return F.when(F.size(rows) >= 2, rows).otherwise(F.array().cast("array<struct<place:string,count:bigint>>"))
+#: Where the summary of a wider window begins in the same post.
+FOOTER = r"(?i)\bin total\b|\boverall\b|📊|➡|Всего"
+_COUNT = "[0-9]{1,9}|" + "|".join(sorted(NUMBER_WORDS, key=lambda w: (-len(w), w)))
+_PLACE_WORD = rf"(?!(?:and|over|was|were|destroyed|shot|{_COUNT})\b)[\p{{L}}'-]+"
+_PLACE = rf"{_PLACE_WORD}(?: {_PLACE_WORD})*"
+#: Passes in order: pattern ({noun} to be filled in), groups of the count (0: one) and of the place or places.
+BREAKDOWN = (
+    (rf"(?iU)\b({_COUNT})(?: {{noun}}s?)? each over (?:the )?({_PLACE}(?:(?:,? and |, )(?:over )?(?:the )?(?!an? ){_PLACE})+)", 1, 2),
+    (rf"(?iU)\bover (?:the )?({_PLACE})(?:: |,? (?:(?:was|were) )?(?:destroyed|shot down) )({_COUNT}) {{noun}}s?\b(?! (?:was |were )?(?:destroyed |shot down )?over\b)", 2, 1),
+    (rf"(?iU)\b({_COUNT}) {{noun}}s? (?:was |were )?(?:destroyed|shot down) over (?:the )?({_PLACE})", 1, 2),
+    (rf"(?iU)\b(?:an?|another) {{noun}}(?: was)?(?: destroyed| shot down)? over (?:the )?({_PLACE})", 0, 1),
+    (rf"(?iU)\b({_COUNT})(?: {{noun}}s?)?(?: each)? over (?:the )?([\p{{L}}' -]+?)(?=,|;|\.|\n|▪| and |$)", 1, 2),
+)
+
+
+def _item(pattern: str, count: int, place: int, joints: str) -> Callable[[Column], Column]:
+    def read(p: Column) -> Column:
+        n = number_word(F.regexp_extract(p, pattern, count)) if count else F.lit(1).cast("long")
+        return F.transform(F.split(F.trim(F.regexp_extract(p, pattern, place)), joints), lambda x: F.struct(F.trim(x).alias("place"), n.alias("count")))
+
+    return read
+
+
+def breakdown(text: Column, noun: str, *, passes: Sequence[tuple[str, int, int]] = BREAKDOWN, footer: str = FOOTER, joints: str = r",? and (?:over )?(?:the )?|, (?:over )?(?:the )?") -> Column:
+    """The items of a report as rows of (place, count), a place once; fewer than two places are no breakdown.
+
+    Passes run in order, each on what the earlier ones left: a count for several places, place first, noun first, one
+    without a number, and ``N nouns over place``.  What follows a footer is about a wider window and doesn't count.
+    """
+    kind = "array<struct<place:string,count:bigint>>"
+    rest = F.get(F.split(text, footer), F.lit(0))
+    items = []
+    for pattern, count, place in passes:
+        pattern = pattern.replace("{noun}", noun)
+        found = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
+        items.append(F.flatten(F.transform(found, _item(pattern, count, place, joints))))
+        rest = F.regexp_replace(rest, pattern, "▪")
+    rows = F.concat(*items)
+
+    def merged(rows: Column) -> Column:
+        total = lambda name: F.aggregate(F.filter(rows, lambda r: r["place"] == name), F.lit(0).cast("long"), lambda s, r: s + r["count"])
+        return F.transform(F.array_distinct(F.transform(rows, lambda r: r["place"])), lambda name: F.struct(name.alias("place"), total(name).alias("count")))
+
+    rows = F.get(F.transform(F.array(rows), merged), F.lit(0))
+    return F.when(F.size(rows) >= 2, rows).otherwise(F.array().cast(kind))
+
+
+def rough_places(text: Column, *, lead: str = r"\bover ", joints: str = r",|\s+and\s+", most: int = 300) -> Column:
+    """The clause after the first ``lead`` up to a full stop as (places, clause): how many it lists, and its first characters."""
+    clause = collapse(F.regexp_extract(text, rf"(?i){lead}([^.]+)", 1))
+    return F.struct(F.size(F.filter(F.split(clause, joints), lambda x: F.trim(x) != "")).alias("places"), F.left(clause, F.lit(most)).alias("clause"))
+
+
+#: Kinds of summaries in order: name, pattern, and the pattern of the period ("" for none).
+SUMMARIES = (
+    ("briefing", r"(?i)\bbriefing\b", ""),
+    ("main_of_day", r"(?i)\bhighlights of the day\b", ""),
+    ("weekly", r"(?i)\bfrom \d{1,2}(?: \p{L}+)? to \d{1,2} \p{L}+ \d{4}", r"(?i)\bfrom (\d{1,2}(?: \p{L}+)? to \d{1,2} \p{L}+ \d{4})"),
+    ("daily", r"(?i)\bas of \d{1,2} \p{L}+ \d{4}", r"(?i)\bas of (\d{1,2} \p{L}+ \d{4})"),
+    ("summary", "", ""),
+)
+
+
+def summary_kind(text: Column, *, gate: str = r"(?i)\bsummary\b|\bbriefing\b|\bhighlights of the day\b", kinds: Sequence[tuple[str, str, str]] = SUMMARIES) -> Column:
+    """(kind, period) of a summary, by the first kind that fits; null for other texts.
+
+    The period is as written; a range whose first day has no month ("2 to 8 May 2025") gets the second's.
+    """
+    flat = collapse(text)
+    out = None
+    for name, pattern, period in kinds:
+        shown = F.nullif(F.regexp_extract(flat, period, 1), F.lit("")) if period else F.lit(None).cast("string")
+        shown = F.regexp_replace(shown, r"^(\d{1,2}) to (\d{1,2}) (\p{L}+)", "$1 $3 to $2 $3")
+        value = F.struct(F.lit(name).alias("kind"), shown.alias("period"))
+        out = F.when(flat.rlike(pattern), value) if out is None else out.when(flat.rlike(pattern), value)
+    return F.when(flat.rlike(gate), out)
 
 
 def parse_report(text: Column, posted: Column, noun: str) -> Column:
