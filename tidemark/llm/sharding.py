@@ -1,8 +1,10 @@
 """Shards of near equal bytes that keep linked documents together: balanced label propagation.
 
-Documents that share a link key are neighbours.  Each round joins the documents with their key's shards, weighs them
-by bytes and moves documents to the heaviest shard that has room; where more want in than the quota allows, a hash
-draws who goes.  Documents without links, and what had to leave full shards, then fill every shard up to the quota.
+Documents that share a link key are neighbours.  Linked documents start on shards drawn by a hash of their id, which
+knows nothing of keys.  Each round joins the documents with their keys' bytes per shard: a key wants its members on
+the shard that holds most of it, or on as many as it needs if it is larger than a shard; a document follows the keys
+that weigh most, and where more bytes want in than the quota allows, lots decide, one for all members of a small key.
+After the rounds whole keys leave shards above the quota; they and the documents without links fill all shards up.
 """
 
 from __future__ import annotations
@@ -13,14 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, unit_hash
+from tidemark.llm.common import cut, remove, scratch
 
 #: Documents above this part of a shard are dealt one by one, largest first: fewer than shards * BIG of them exist.
 BIG = 200
 #: While documents move, shards may hold this part of the quota above it; the end brings all below it again.
 SLACK = 10
+#: A key fills at most this many hundredths of a shard, and is small below this part of the quota: its members then move as one.
+FILL, SMALL = 90, 20
+LOTS = 1 << 40
 #: Rows that one bucket of the running sums holds, about.
 BUCKET_ROWS = 20_000
+NO_ID = -(1 << 63)
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, value: Column, order: list, name: str) -> DataFrame:
@@ -44,61 +50,105 @@ def _pick(values: list, by: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), by)
 
 
-def propagate(state: DataFrame, links: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
-    """Moves of ``state(rid, size, shard)`` along ``links(rid, key)`` until the rounds are over or nobody moves."""
+def lot(*what: Column) -> Column:
+    return F.pmod(F.xxhash64(*what), F.lit(LOTS))
+
+
+def wants(votes: DataFrame, shards: int, quota: int, room: list[bool]) -> DataFrame:
+    """Per (key, shard) of ``votes``: bytes ``here``, whether members ``stay``, the ``goals`` of those that don't, ``small``.
+
+    A key's shards are ranked by its bytes on them.  Members stay on the first ones that it needs; the others may go to
+    the first ones with room that rank above their own.  At most ``shards`` entries a key are gathered.
+    """
+    entry = F.struct((-F.col("bytes")).alias("less"), F.xxhash64("key", F.col("shard").cast("long")).alias("tie"), "shard")
+    ranked = votes.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("ranked"), F.sum("bytes").alias("whole"))
+    cap = quota * FILL // 100 + 1
+    need = F.least(F.lit(shards), F.floor((F.col("whole") + cap - 1) / cap).cast("int"))
+    ranked = ranked.select("key", "ranked", need.alias("need"), (F.col("whole") * SMALL <= quota).alias("small"))
+    places = ranked.select("key", "ranked", "need", "small", F.posexplode("ranked").alias("place", "own"))
+    above = F.filter(F.slice("ranked", 1, F.col("place")), lambda x: _pick(room, x["shard"]))
+    goals = F.transform(F.slice(above, 1, F.col("need")), lambda x: F.struct(x["shard"].alias("shard"), (-x["less"]).alias("bytes")))
+    return places.select("key", F.col("own.shard").alias("shard"), (-F.col("own.less")).alias("here"), (F.col("place") < F.col("need")).alias("stay"), goals.alias("goals"), "small")
+
+
+def propagate(state: DataFrame, links: DataFrame, shards: int, quota: int, rounds: int, log: list | None = None) -> DataFrame:
+    """Moves ``state(rid, size, shard)`` along ``links(rid, key)`` until the rounds are over or nobody moves.
+
+    ``log`` gets for each round the cut (over all keys, shards beyond the first) before it, and the documents moved.
+    """
+    spark, root = state.sparkSession, scratch(state.sparkSession, "rounds")
     for step in range(rounds):
+        at = f"{root}/{step}"
         free = [max(0, quota + quota // SLACK - load) for load in _loads(state, shards)]
         member = links.join(state, "rid")
-        votes = member.groupBy("key", "shard").agg(F.sum("size").alias("bytes"))
-        votes = votes.withColumn("rank", F.struct("bytes", F.xxhash64("key", "shard").alias("tie"), "shard"))
-        best = votes.where(_pick(free, F.col("shard")) > 0).groupBy("key").agg(F.max("rank").alias("best"))
-        moves = cut(votes.join(best, "key").where(F.col("best") > F.col("rank")).select("key", "shard", F.col("best.shard").alias("to"), F.col("best.bytes").alias("gain")))
-        wish = member.join(moves, ["key", "shard"]).groupBy("rid").agg(F.max(F.struct("gain", "to"))["to"].alias("to"), F.max("size").alias("size"))
-        wish = cut(wish)
+        votes = cut(member.groupBy("key", "shard").agg(F.sum("size").alias("bytes")), f"{at}/votes")
+        plan = cut(wants(votes, shards, quota, [x > 0 for x in free]), f"{at}/plan")  # as a table, so that a join on large keys can be split
+        goal = F.get("goals", F.pmod(F.xxhash64(F.lit(step).cast("long"), F.col("rid")), F.size("goals")).cast("int"))
+        goal = F.when(~F.col("stay") & (F.size("goals") > 0), goal)
+        ticket = lot(F.lit(step).cast("long"), F.when(F.col("small"), F.col("key")).otherwise(F.col("rid")))
+        said = member.join(plan, ["key", "shard"]).select("rid", "size", "shard", ticket.alias("ticket"), F.coalesce(goal, F.struct("shard", (F.col("here") - F.col("size")).alias("bytes"))).alias("goal"))
+        sums = said.groupBy("rid", F.col("goal.shard").alias("to")).agg(F.sum("goal.bytes").alias("bytes"), F.first("size").alias("size"), F.first("shard").alias("shard"), F.min("ticket").alias("ticket"))
+        best = F.max(F.struct("bytes", (F.col("to") == F.col("shard")).alias("same"), (-F.col("to")).alias("less"), "ticket", "size"))
+        wish = sums.groupBy("rid").agg(best.alias("b")).where("not b.same").select("rid", (-F.col("b.less")).alias("to"), "b.ticket", "b.size")
+        wish = cut(wish, f"{at}/wish")
         asked = {r[0]: r[1] for r in wish.groupBy("to").agg(F.sum("size")).collect()}  # one row a shard
-        if not asked:
+        below = [min(LOTS, free[s] * LOTS // asked[s]) if asked.get(s) else 0 for s in range(shards)]
+        goes = wish.where(F.col("ticket") < _pick(below, F.col("to"))).select("rid", "to")
+        moved = cut(state.join(goes, "rid", "left").select("rid", "size", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved")), f"{root}/state{step}")
+        n = moved.where("moved").count() if asked else 0
+        if log is not None:
+            log.append({"cut": votes.count() - votes.select("key").distinct().count(), "moved": n})
+        remove(spark, at, *([f"{root}/state{step - 1}"] if step else []))
+        state = moved.drop("moved")
+        if not n:
             break
-        chance = [min(1.0, free[s] / asked[s]) if asked.get(s) else 0.0 for s in range(shards)]
-        goes = wish.where(unit_hash(F.lit(step), F.col("rid")) < _pick(chance, F.col("to"))).select("rid", "to")
-        state = cut(state.join(goes, "rid", "left").select("rid", "size", F.coalesce("to", "shard").alias("shard")))
     return state
 
 
-def shard_documents(docs: DataFrame, links: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 3, overhead: int = 16) -> DataFrame:
+def shard_documents(docs: DataFrame, links: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, rounds: int = 5, overhead: int = 16, log: list | None = None) -> DataFrame:
     """Per document: ``doc_id``, ``size`` (UTF-8 bytes and ``overhead``), ``text_crc32``, ``law`` ('bytes'), ``shard``, ``slot`` and ``grown_shard`` (null).
 
     ``links(doc_id, key)``: documents with a key in common belong together; by default equal texts do.  Sizes of
     shards differ by little more than a two-hundredth of a shard, or by one document where documents are larger
     than that.  Null text counts as empty; a null id is a value like any other.  Rows that repeat an id are placed
     together.  Other columns are ignored; an empty table gives no rows; ties fall by hash, the same in each run.
+    ``log`` gets what each round of the propagation did.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(5)).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"))
-    base = cut(base.withColumn("rid", F.coalesce("doc_id", F.lit(-(1 << 63)))))
+    base = cut(base.withColumn("rid", F.coalesce("doc_id", F.lit(NO_ID))))
     n, total = base.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     quota = max(1, -(-total // shards))
+    whole = base.groupBy("rid").agg(F.sum("size").alias("size"))
     if links is None:
-        groups = cut(base.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1"))  # as a table, so that a join on large groups can be split
-        keyed = base.join(groups, ["t1", "t2"]).select("rid", F.struct("t1", "t2").alias("key"), "bytes").distinct()
+        groups = cut(base.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1"))  # as a table, so that a join on large groups can be split
+        keyed = base.join(groups, ["t1", "t2"]).select("rid", F.xxhash64("t1", "t2").alias("key"))
     else:
-        keyed = links.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("rid"), F.struct(F.xxhash64("key"), F.xxhash64(F.lit(7), "key")).alias("key")).distinct()
-        keyed = keyed.join(base.groupBy("rid").agg(F.sum("size").alias("size")), "rid")
-        keyed = keyed.join(cut(keyed.groupBy("key").agg(F.sum("size").alias("bytes"))), "key").select("rid", "key", "bytes")
-    keyed = cut(keyed)
-    # a group larger than a shard starts on as many shards as it needs, not on all of them
-    spread = F.greatest(F.lit(1), F.least(F.lit(shards), F.ceil(F.col("bytes") / (0.9 * quota)))).cast("int")
-    span = F.when(spread > 1, F.pmod(F.xxhash64("key"), F.lit(shards)) + F.pmod(F.xxhash64("rid"), spread)).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))  # a document's heaviest key seeds its shard
-    first = keyed.groupBy("rid").agg(F.max(F.struct("bytes", F.pmod(span, F.lit(shards)).cast("int").alias("shard")))["shard"].alias("shard"))
-    whole = base.groupBy("rid").agg(F.sum("size").alias("size"))
-    state = cut(whole.join(first, "rid").select("rid", "size", "shard"))
-    state = propagate(state, keyed.select("rid", "key"), shards, quota, rounds)
+        keyed = links.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("rid"), F.xxhash64("key").alias("key"))
+    keyed = cut(keyed.distinct())
+    linked = keyed.select("rid").distinct()
+    start = F.pmod(F.xxhash64(F.lit(17).cast("long"), F.col("rid")), F.lit(shards)).cast("int")
+    state = cut(whole.join(linked, "rid").select("rid", "size", start.alias("shard")))
+    state = propagate(state, keyed, shards, quota, rounds, log)
 
     load = _loads(state, shards)
-    leave = [max(0.0, (x - quota) / x) if x else 0.0 for x in load]
-    state = cut(state.withColumn("stays", unit_hash(F.lit("stay"), F.col("rid")) >= _pick(leave, F.col("shard"))))
-    settled = state.where("stays").select("rid", "size", "shard")
-    load = _loads(settled, shards)
-    pool = cut(whole.join(settled.select("rid"), "rid", "left_anti"))
+    buckets = max(1, n // BUCKET_ROWS)
+    unit, leaving = F.xxhash64("rid"), None
+    if max(load) > quota:
+        weight = keyed.join(whole, "rid").groupBy("key").agg((F.sum("size") * SMALL <= quota).alias("small"))
+        main = keyed.join(cut(weight), "key").groupBy("rid").agg(F.min(F.struct("small", "key")).alias("m"))
+        crowd = state.where(_pick([x > quota for x in load], F.col("shard"))).join(main, "rid")
+        crowd = crowd.select("rid", "size", "shard", F.when(F.col("m.small"), F.col("m.key")).otherwise(F.xxhash64("rid")).alias("unit"), F.col("m.small").alias("small"))
+        # members of keys that span shards anyway come last, hence leave first; small keys stay or leave as one, but for one a shard
+        bucket = F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int") + F.when(F.col("small"), 0).otherwise(buckets)
+        leaving = running(crowd, ["shard"], bucket, F.col("size"), ["unit", "rid"], "place").where(F.col("place") + F.col("size") > quota)
+        leaving = cut(leaving.select("rid", "unit"))
+        state = cut(state.join(leaving, "rid", "left_anti"))
+        load = _loads(state, shards)
+    pool = whole.join(state.select("rid"), "rid", "left_anti")
+    if leaving is not None:
+        pool, unit = pool.join(leaving, "rid", "left"), F.coalesce("unit", unit)
+    pool = cut(pool.withColumn("unit", unit))
     big = pool.where(F.col("size") > quota // BIG).select("rid", "size").collect()  # fewer than shards * BIG rows
     heap = [(x, s) for s, x in enumerate(load)]
     heapq.heapify(heap)
@@ -118,11 +168,10 @@ def shard_documents(docs: DataFrame, links: DataFrame | None = None, *, id_col:
     for x in room[:-1]:
         at += x
         bounds.append(at * small // max(1, sum(room)))
-    buckets = max(1, n // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64("rid"), F.lit(buckets)).cast("int")
-    rest = running(rest.withColumn("one", F.lit(0)), ["one"], bucket, F.col("size"), ["rid"], "place")
+    bucket = F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int")
+    rest = running(rest.withColumn("one", F.lit(0)), ["one"], bucket, F.col("size"), ["unit", "rid"], "place")
     where = sum((F.when(F.col("place") >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-    placed = settled.select("rid", "shard").unionByName(rest.select("rid", where.cast("int").alias("shard"))).unionByName(pool.select("rid").join(F.broadcast(dealt), "rid"))
+    placed = state.select("rid", "shard").unionByName(rest.select("rid", where.cast("int").alias("shard"))).unionByName(pool.select("rid").join(F.broadcast(dealt), "rid"))
     out = base.join(placed, "rid")
     out = running(out, ["shard"], F.pmod(F.xxhash64("rid"), F.lit(max(1, buckets // shards))).cast("int"), F.lit(1), ["rid", "text_crc32"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
