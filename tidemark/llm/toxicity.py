@@ -1,17 +1,21 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding maps homoglyphs, accents excepted, and digit substitutions to letters, one code point for one, so that
-places in the folded text are places in the text.  Entries match from a word's start, and to its end where they are
-whole words; matches inside an exception phrase don't count.  Stand-ins at a word's end or after punctuation may be
-mere decoration ("trash!!"): they are read as letters only where that makes a word of the lexicon.  Entries and weights come from labelled rows: words and
-word beginnings whose documents are significantly often toxic.  Weights matched in a text and their density over its
-words give the score, calibrated on the same rows.
+Folding maps homoglyphs (mathematical and full-width letters included) and digit substitutions to letters, drops
+invisible characters and joins combining marks with their letters; places lead back to the text.  Entries match from a
+word's start, and to its end where they are whole words; matches inside an exception phrase don't count.  Stand-ins at
+a word's end or after punctuation may be mere decoration ("trash!!"), and accents may be part of a word: they are read
+as letters, or left out, only where that makes a word of the lexicon.
+
+Entries and weights come from labelled rows: words and word beginnings that toxic documents hold significantly often,
+weighted by how much oftener they occur among the words of toxic documents.  The score is normalised by length: it
+stands on the weight matched per word of the text and on that of its densest stretch, calibrated on the same rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, unit_hash
+from tidemark.llm.common import cut, remove, scratch, unit_hash
 from tidemark.llm.shingles import WordHashes, shingle_set
 
 #: Look-alikes of Latin letters, and characters that stand in for letters.
@@ -30,7 +34,13 @@ LOOKALIKES = {
     "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "τ": "t", "υ": "u", "κ": "k", "χ": "x",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i",
 }
-_FOLD = {ord(k): ord(v) for k, v in LOOKALIKES.items()} | {k: k - 0xFF41 + ord("a") for k in range(0xFF41, 0xFF5B)} | {k: k - 0xFF21 + ord("a") for k in range(0xFF21, 0xFF3B)}
+_FOLD = {ord(k): ord(v) for k, v in LOOKALIKES.items()}
+#: Letters of other shapes, by the standard's own compatibility forms: mathematical, full-width and circled ones.
+_FOLD |= {c: ord(unicodedata.normalize("NFKC", chr(c)).lower()) for block in (range(0x1D400, 0x1D800), range(0xFF21, 0xFF5B), range(0x24B6, 0x24EA)) for c in block if len(unicodedata.normalize("NFKC", chr(c)).lower()) == 1}
+_BEYOND_ASCII = {k: v for k, v in _FOLD.items() if k > 127}
+#: Combining marks, and characters that are not seen.
+_UNSEEN = re.compile("[\u0300-\u036f\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff]")
+_ACCENTED = re.compile(r"[^\W\d_]*[\u00c0-\u024f][^\W\d_]*")
 _LETTER = re.compile(r"[^\W\d_]")
 #: With inner stand-ins ("1d10t"), which must touch a letter on both sides or begin a word.
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,48 +54,62 @@ EDGE, CORE = 8, 40
 SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 SEED_WEIGHT = 2.0
 EXCEPTIONS = ("class clown", "clown fish", "clown shoes", "pond scum", "loser bracket", "trash bag", "trash bin", "trash can", "white trash bag")
-#: An entry's evidence: twice the log-likelihood ratio, and how much oftener toxic documents hold it.
-EVIDENCE, LIFT = 45.0, 8.0
-MAX_ENTRIES = 2000
+#: An entry's evidence, twice the log-likelihood ratio of the documents that hold it, and how much oftener it occurs in toxic ones.
+EVIDENCE, LIFT = 30.0, 8.0
 SHORTEST, LONGEST = 4, 8
 END = "$"
+#: Characters of a stretch, about fifty words, and the weight from which on more says no more.
+STRETCH, PEAK = 300, 20.0
+
+
+def squeezed(text: str) -> tuple[str, list[int] | None]:
+    """``text`` with marks joined to their letters and without unseen characters, and each character's place (None: as they are)."""
+    if text.isascii() or not _UNSEEN.search(text):
+        return text, None
+    out, places = [], []
+    for at, c in enumerate(text):
+        if not _UNSEEN.match(c):
+            out.append(c)
+            places.append(at)
+        elif out and unicodedata.combining(c) and len(joined := unicodedata.normalize("NFC", out[-1] + c)) == 1:
+            out[-1] = joined
+    return "".join(out), [*places, len(text)]
 
 
 def fold(text: str) -> str:
     """``text`` in lower case with look-alikes as Latin letters, code point for code point."""
+    if not text.isascii():
+        text = text.translate(_BEYOND_ASCII)
     low = text.lower()
     if len(low) != len(text):  # some capitals have two small letters
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     if not low.isascii():
-        low = low.translate({k: v for k, v in _FOLD.items() if k > 127})
+        low = low.translate(_BEYOND_ASCII)
     return _SWAPPED.sub(lambda m: m.group().translate(_FOLD), low)
 
 
-def entries_in(text: str) -> set[str]:
-    """Candidate entries of a folded text: whole words (marked at the end) and beginnings of words."""
-    found = set()
-    for w in set(_WORD.findall(text)):
+def entries_in(text: str, longest: int = LONGEST) -> Counter:
+    """How often candidate entries of a folded text occur: whole words (marked at the end) and beginnings of words."""
+    found = Counter()
+    for w, n in Counter(_WORD.findall(text)).items():
         if len(w) >= SHORTEST:
-            found.add(w + END)
-            found.update(w[:k] for k in range(SHORTEST, min(len(w), LONGEST) + 1))
+            found[w + END] += n
+            for k in range(SHORTEST, min(len(w), longest) + 1):
+                found[w[:k]] += n
     return found
 
 
-def significant(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Entries and weights from (toxic, clean) document counts; of nested ones the longest that loses little."""
-    held = {}
-    for entry, (a, b) in counts.items():
-        e1, e2 = (a + b) * toxic / (toxic + clean), (a + b) * clean / (toxic + clean)
-        ratio = 2 * ((a * math.log(a / e1) if a else 0) + (b * math.log(b / e2) if b else 0))
-        lift = (a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1))
-        if a > e1 and ratio >= EVIDENCE and lift >= LIFT:
-            held[entry] = (a, math.log(lift))
+def chosen(held: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Of significant entries (toxic documents, weight) that begin each other, the longest that loses few documents."""
+    longer: dict[str, list[str]] = {}
+    for entry in held:
+        longer.setdefault(entry[:-1], []).append(entry)
     out: dict[str, float] = {}
     for entry in sorted(held, key=lambda e: (len(e), e)):
-        if any(entry[:k] in held for k in range(1, len(entry))):
+        if any(entry[:k] in held for k in range(SHORTEST, len(entry))):
             continue
-        while longer := [e for e in held if len(e) == len(entry) + 1 and e.startswith(entry) and held[e][0] >= 0.9 * held[entry][0]]:
-            entry = max(longer, key=lambda e: (held[e][0], e))
+        while on := [e for e in longer.get(entry, ()) if held[e][0] >= 0.9 * held[entry][0]]:
+            entry = max(on, key=lambda e: (held[e][0], e))
         out[entry] = held[entry][1]
     return out
 
@@ -150,9 +174,15 @@ class Lexicon:
                     break
         return "".join([*out, folded[done:]]) if out else folded
 
+    def plain(self, folded: str) -> str:
+        """``folded`` with words whose letters without accents make a word of the lexicon in that form."""
+        if folded.isascii():
+            return folded
+        return _ACCENTED.sub(lambda m: bare if (bare := "".join(unicodedata.normalize("NFD", c)[0] for c in m.group())) in self.words else m.group(), folded)
+
     def hits(self, folded: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of the matches that count, the longest at each start."""
-        folded = self.unmasked(folded)
+        """(start, end, weight) of the matches that count, the longest at each start, in order."""
+        folded = self.unmasked(self.plain(folded))
         found: dict[int, tuple[int, int, float]] = {}
         excused = []
         for last, (weight, n, whole, phrase) in self.automaton.iter(folded):
@@ -163,15 +193,35 @@ class Lexicon:
                 excused.append((start, end))
             elif start not in found or found[start][1] < end:
                 found[start] = (start, end, weight)
-        return [h for h in found.values() if not any(a <= h[0] and h[1] <= b for a, b in excused)]
+        out, k, reach = [], 0, 0
+        excused.sort()
+        for hit in sorted(found.values()):  # one pass over both: phrases that begin no later, and the furthest end of them
+            while k < len(excused) and excused[k][0] <= hit[0]:
+                reach, k = max(reach, excused[k][1]), k + 1
+            if reach < hit[1]:
+                out.append(hit)
+        return out
+
+    def spans(self, text: str) -> list[tuple[int, int, float]]:
+        """The hits in a text as it is."""
+        text, places = squeezed(text)
+        found = self.hits(fold(text))
+        return found if places is None else [(places[a], places[b], w) for a, b, w in found]
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """The weight matched and its density over the words, both on a log scale."""
+        """The weight matched per word, on a log scale, and that of the densest stretch, up to PEAK."""
         if not text:
             return 0.0, 0.0
-        folded = fold(text)
-        total = sum(w for _, _, w in self.hits(folded))
-        return math.log1p(total), math.log1p(100 * total / (20 + folded.count(" ") + folded.count("\n"))) if total else 0.0
+        folded = fold(squeezed(text)[0])
+        total = here = most = 0.0
+        first, found = 0, self.hits(folded)
+        for start, _, weight in found:
+            total, here = total + weight, here + weight
+            while found[first][0] < start - STRETCH:
+                here, first = here - found[first][2], first + 1
+            most = max(most, here)
+        words = folded.count(" ") + folded.count("\n")
+        return (math.log1p(100 * total / (20 + words)), min(most, PEAK) / 4) if found else (0.0, 0.0)
 
 
 def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -187,9 +237,14 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return beta
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12_000) -> tuple[dict[str, float], list[float]]:
-    """Entries with weights, and coefficients of the score, from about ``sample`` labelled rows at most (a quarter toxic)."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y"))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 12_000, longest: int = LONGEST) -> tuple[dict[str, float], list[float]]:
+    """Entries with weights, and coefficients of the score, from about ``sample`` labelled rows at most (a quarter toxic).
+
+    Beginnings of words have up to ``longest`` letters.  All entries with enough evidence are taken: as each must be
+    held by a dozen toxic documents of the sample or more, the sample bounds them.  A label row that is repeated
+    counts once; documents that repeat an id, or a text, count once.
+    """
+    marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     n = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     part = F.when(F.col("y") == 1, min(1.0, sample / 4 / max(1, n.get(1, 0)))).otherwise(min(1.0, sample * 3 / 4 / max(1, n.get(0, 0))))
     marked = marked.where(unit_hash(F.lit("toxicity"), F.col("id")) < part)
@@ -206,22 +261,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
     # copies of a text are no independent evidence: mostly they share their least shingle, and one of them counts
     alike = train.mapInPandas(named, "id long, text string, y int, least long").groupBy("y", "least")
-    train = cut(alike.agg(F.min(F.struct("id", "text"))["text"].alias("text")).select("y", "text"))
+    kept = scratch(docs.sparkSession, "toxicity-sample")
+    train = cut(alike.agg(F.min(F.struct("id", "text"))["text"].alias("text")).select("y", "text"), kept)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = (Counter(), Counter())
+        held, times = (Counter(), Counter()), (Counter(), Counter())
         for b in batches:
             for y, text in zip(b["y"], b["text"], strict=True):
-                counts[y].update(entries_in(fold(text)))
-                counts[y][""] += 1
-        yield pd.DataFrame([(e, counts[1][e], counts[0][e]) for e in counts[1].keys() | counts[0].keys()], columns=["entry", "toxic", "clean"])
-
-    sums = train.mapInPandas(counted, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    total = sums.where("entry = ''").first()
-    toxic, clean = total["toxic"], total["clean"]
-    often = sums.where((F.col("entry") != "") & (F.col("toxic") >= 5) & (F.col("toxic") * clean >= LIFT / 2 * F.col("clean") * toxic)).orderBy(F.desc("toxic"), "entry").limit(20 * MAX_ENTRIES)
-    entries = significant({r["entry"]: (r["toxic"], r["clean"]) for r in often.collect()}, toxic, clean)
-    entries = dict(sorted(entries.items(), key=lambda e: (-e[1], e[0]))[:MAX_ENTRIES])
+                text = fold(squeezed(text)[0])
+                own = entries_in(text, longest)
+                held[y].update(own.keys())
+                times[y].update(own)
+                held[y][""] += 1
+                times[y][""] += len(text.split())
+        every = held[1].keys() | held[0].keys()
+        yield pd.DataFrame([(e, *(c[y][e] for c in (held, times) for y in (1, 0))) for e in every], columns=["entry", "toxic", "clean", "toxic_times", "clean_times"])
+
+    counts = ["toxic", "clean", "toxic_times", "clean_times"]
+    sums = train.mapInPandas(counted, "entry string, toxic long, clean long, toxic_times long, clean_times long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in counts])
+    sums = cut(sums.where("entry = '' or toxic >= 5"), f"{kept}-entries")  # with fewer, the evidence below can't be reached
+    all_ = sums.where("entry = ''").first()
+    toxic, clean = all_["toxic"], all_["clean"]
+    a, b = F.col("toxic"), F.col("clean")
+    expected = (a + b) * toxic / (toxic + clean)
+    evidence = 2 * (a * F.log(a / expected) + F.when(b > 0, b * F.log(b / ((a + b) * clean / (toxic + clean)))).otherwise(0.0))
+    lift = (F.col("toxic_times") + 0.5) / (all_["toxic_times"] + 1) / ((F.col("clean_times") + 0.5) / (all_["clean_times"] + 1))
+    often = sums.where((F.col("entry") != "") & (a > expected) & (evidence >= EVIDENCE) & (lift >= LIFT))
+    entries = chosen({r["entry"]: (r["toxic"], r["weight"]) for r in often.select("entry", "toxic", F.log(lift).alias("weight")).collect()})
     for s, w in seeds.items():
         if not any(e == s or s.startswith(e) for e in entries):
             entries[s] = w
@@ -229,10 +295,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(entries)
         for b in batches:
-            yield pd.DataFrame([(y, *lexicon.features(t)) for y, t in zip(b["y"], b["text"], strict=True)], columns=["y", "total", "density"])
+            yield pd.DataFrame([(y, *lexicon.features(t)) for y, t in zip(b["y"], b["text"], strict=True)], columns=["y", "density", "peak"])
 
-    seen = train.mapInPandas(measured, "y int, total double, density double").toPandas()  # about ``sample`` rows
-    return entries, calibrated(seen[["total", "density"]].to_numpy(), seen["y"].to_numpy()).tolist()
+    seen = train.mapInPandas(measured, "y int, density double, peak double").toPandas()  # about ``sample`` rows
+    remove(docs.sparkSession, kept, f"{kept}-entries")
+    return entries, calibrated(seen[["density", "peak"]].to_numpy(), seen["y"].to_numpy()).tolist()
 
 
 def toxicity(text: Column, model: tuple[dict[str, float], list[float]]) -> Column:
@@ -252,8 +319,8 @@ def toxicity(text: Column, model: tuple[dict[str, float], list[float]]) -> Colum
 def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], list[float]], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Per row: ``doc_id``, ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
 
-    Null and empty texts have no hits and the score of a clean text.  Repeated ids and null ids are kept as they are;
-    other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no hits and the score of a clean text; time grows with a text's length, whatever its
+    hits.  Repeated ids and null ids are kept as they are; other columns are ignored; an empty table gives no rows.
     """
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), toxicity(F.col(text_col), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
