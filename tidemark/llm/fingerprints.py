@@ -1,75 +1,118 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text's terms are its shingles of words, weighted by how often they occur.  For each sample k a term draws, from a
-hash of (k, term), r and c from Gamma(2, 1) and b uniformly; with t = floor(ln(weight) / r + b) its race value is
+A text's terms are its shingles of words, weighted by how often they occur.  For each sample k a term draws, from
+hashes of (k, term), r and c from Gamma(2, 1) and b uniformly; with t = floor(ln(weight) / r + b) its race value is
 ln c - r (t - b + 1), and the term of least value wins.  Two texts agree on a winner (term and t) with
 probability equal to the generalised Jaccard similarity of their weights.
+
+A text and its edited form share most terms, which draw once for both.  The race's least value is exponential with the
+text's total weight as its rate, so a term whose value is surely above MARGIN over that weight need not run: for
+terms of weight 1 a bound without logarithms tells.  That no term is left happens once in e**MARGIN samples; the
+sample then is named 0.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import cut, let
 
-SAMPLES = 16
+SAMPLES = 64
 WORDS = 5
-#: Race values are kept in steps of 2 ** -20, in front of 32 bits that name the winner.
-STEP = float(1 << 20)
+MARGIN = 25.0
+#: Race values are kept in steps of 2 ** -20, in front of 16 bits that name the winner.
+STEP, NAME = float(1 << 20), 16
+#: Samples whose races are run together: as many as the JVM compiles in one piece.
+BLOCK = 4
+#: A form that is written in this many hexadecimal digits a sample.
+DIGITS = NAME // 4
 
 
-def terms(df: DataFrame, text_col: str, words: int = WORDS) -> DataFrame:
-    """Replaces ``text_col`` by ``terms``: an array of (term hash, weight), one entry a distinct term.
+def _runs(g: Column) -> Column:
+    """Distinct numbers of a sorted array, with how often each occurs."""
+    ends = F.filter(F.transform(g, lambda x, i: F.when(x.eqNullSafe(F.get(g, i + 1)), F.lit(-1)).otherwise(i)), lambda e: e >= 0)
+    return let(ends, lambda e: F.transform(e, lambda x, j: F.struct(F.get(g, x).alias("x"), (x - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("n"))))
 
-    Words are what white space leaves; a text with fewer than ``words`` words, but some, has one term.
-    """
-    split = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
 
-    def shingles(h: Column) -> Column:
-        rolled = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, words)]))
-        n = F.size(h)
-        return F.sort_array(F.slice(rolled, 1, F.greatest(n - words + 1, F.least(n, F.lit(1)))))
+def shingles(text: Column, words: int = WORDS) -> Column:
+    """Hashes of the text's shingles; words are what white space leaves, fewer than ``words``, but some, are one shingle."""
+    split = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
+
+    def rolled(h: Column) -> Column:
+        every = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, words)]))
+        return F.slice(every, 1, F.greatest(F.size(h) - words + 1, F.least(F.size(h), F.lit(1))))
+
+    return let(F.transform(split, lambda w: F.xxhash64(w)), rolled)
+
 
-    def weighed(g: Column) -> Column:  # equal hashes stand together: the place where a run ends tells its length
-        ends = F.filter(F.transform(g, lambda x, i: F.when(x.eqNullSafe(F.get(g, i + 1)), F.lit(-1)).otherwise(i)), lambda e: e >= 0)
-        return let(ends, lambda e: F.transform(e, lambda x, j: F.struct(F.get(g, x).alias("term"), (x - F.coalesce(F.get(e, j - 1), F.lit(-1))).alias("weight"))))
+def both_terms(a: Column, b: Column) -> Column:
+    """(term, weight in a, weight in b) for the terms of either: the lowest bit of a hash tells whose it is, until they are sorted."""
+    marked = F.sort_array(F.concat(F.transform(a, lambda x: x.bitwiseAND(F.lit(-2))), F.transform(b, lambda x: x.bitwiseOR(F.lit(1)))))
 
-    cells = let(F.transform(split, lambda w: F.xxhash64(w)), lambda h: let(shingles(h), weighed))
-    return df.withColumn("terms", cells).drop(text_col)
+    def paired(r: Column) -> Column:
+        def row(e: Column, i: Column) -> Column:
+            other = F.get(r, i + 1)
+            twin = F.coalesce(other["x"] == e["x"].bitwiseOR(F.lit(1)), F.lit(False)) & (e["x"] != other["x"])
+            mine = e["x"].bitwiseAND(F.lit(1)) == 0
+            second = F.when(~mine, e["n"]).when(twin, other["n"]).otherwise(0)
+            # the second of twins was told with the first
+            told = ~mine & (i > 0) & F.coalesce(F.get(r, i - 1)["x"] == e["x"].bitwiseAND(F.lit(-2)), F.lit(False))
+            return F.when(~told, F.struct(e["x"].bitwiseAND(F.lit(-2)).alias("term"), F.when(mine, e["n"]).otherwise(0).alias("wa"), second.alias("wb")))
 
+        return F.filter(F.transform(r, row), lambda x: x.isNotNull())
 
-def _sample(k: int) -> Column:
-    """The race value of this row's (term, lw) for sample k, with the winner's name, as one long."""
-    one, two = (F.xxhash64(F.lit(2 * k + j), F.col("term")) for j in range(2))
+    return let(marked, lambda g: let(_runs(g), paired))
 
-    def unit(h: Column, shift: int, bits: int) -> Column:  # in (0, 1)
-        return (F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1) + 1) / float((1 << bits) + 1)
 
-    r = -F.log(unit(one, 0, 32) * unit(one, 32, 32))
-    c = -F.log(unit(two, 0, 21) * unit(two, 21, 21))
-    b = unit(two, 42, 22)
-    t = F.floor(F.col("lw") / r + b)
-    race = F.log(c) - r * (t - b + 1)
-    name = F.xxhash64(F.col("term"), t).bitwiseAND(0xFFFFFFFF)
-    return F.shiftleft(F.floor(race * STEP), 32).bitwiseOR(name)
+def _unit(h: Column, shift: int, bits: int) -> Column:
+    """A number in (0, 1) from some bits of a hash."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1) + 1) * (1.0 / ((1 << bits) + 1))
 
 
-def fingerprint(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES) -> DataFrame:
-    """``(id, print)``: an array of ``samples`` winners' names per row id; texts without words have no row.
+def _sample(k: int) -> tuple[Column, Column]:
+    """For sample ``k`` of this row's block the race values of its term in both texts, with the winner's name, each as one long."""
+    one, two = (F.xxhash64(F.lit(2 * k + j), F.col("draw")) for j in range(2))
+    uv = _unit(one, 0, 32) * _unit(one, 32, 32)
+    p, q, b = _unit(two, 0, 21), _unit(two, 21, 21), _unit(two, 42, 22)
+    # -ln x <= 8 (x ** -1/8 - 1) bounds r from above, hence exp(-r (1 - b)) >= (1 - s / 8) ** 8; and -ln(p q) >= 2 - p - q
+    s = (1.0 / F.sqrt(F.sqrt(F.sqrt(uv))) - 1.0) * (1.0 - b)
+    near = 1.0 - s
+    square = near * near
+    fourth = square * square
+    runs = (F.col("wa") > 1) | (F.col("wb") > 1) | (s >= 1.0) | ((2.0 - p - q) * fourth * fourth < F.col("bound"))
+    r, c = -F.log(uv), -F.log(p * q)
 
-    Texts that share an id are one text made of both.  A document's terms are reduced to its winners before the
-    shuffle, so long texts and frequent terms meet in no task.
+    def race(weight: str) -> Column:
+        t = F.floor(F.log(F.col(weight).cast("double")) / r + b)
+        name = F.xxhash64(F.col("term"), t).bitwiseAND((1 << NAME) - 1)
+        return F.when(runs & (F.col(weight) > 0), F.shiftleft(F.floor((F.log(c) - r * (t - b + 1)) * STEP), NAME).bitwiseOR(name))
+
+    return race("wa"), race("wb")
+
+
+def fingerprint_pairs(df: DataFrame, keys: list[str], a: str, b: str, samples: int = SAMPLES) -> DataFrame:
+    """Per row of ``df``, whose ``keys`` are unique: ``print_a`` and ``print_b`` of the texts ``a`` and ``b``, arrays of winners' names.
+
+    Texts without words have null.  A document's terms are reduced to its winners where they are made, so long texts
+    and frequent terms meet in no task; if ``df`` is dealt by ``keys``, nothing moves.
+    ``samples`` is a multiple of BLOCK.
     """
-    rows = terms(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), "_t")
-    rows = rows.select("id", F.explode("terms").alias("c")).select("id", "c.term", F.log(F.col("c.weight").cast("double")).alias("lw"))
-    best = rows.groupBy("id").agg(*[F.min(_sample(k)).alias(f"s{k}") for k in range(samples)])
-    return best.select("id", F.array(*[F.col(f"s{k}").bitwiseAND(0xFFFFFFFF) for k in range(samples)]).alias("print"))
+    cells = let(F.struct(shingles(F.col(a)).alias("a"), shingles(F.col(b)).alias("b")), lambda g: F.struct(F.size(g["a"]).alias("na"), F.size(g["b"]).alias("nb"), both_terms(g["a"], g["b"]).alias("terms")))
+    rows = df.select(*keys, cells.alias("c")).select(*keys, (MARGIN / F.least(F.when(F.col("c.na") > 0, F.col("c.na")), F.when(F.col("c.nb") > 0, F.col("c.nb")))).alias("bound"), F.explode("c.terms").alias("t"))
+    rows = rows.select(*keys, "bound", "t.term", "t.wa", "t.wb", F.explode(F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))).alias("block"))
+    rows = rows.withColumn("draw", F.xxhash64("block", "term"))
+    races = {f"{side}{k}": F.min(race) for k in range(BLOCK) for side, race in zip("ab", _sample(k), strict=True)}
+    best = rows.groupBy(*keys, "block").agg(*[v.alias(c) for c, v in races.items()], F.max("wa").alias("wa"), F.max("wb").alias("wb"))
+    names = {s: F.array(*[F.coalesce(F.col(f"{s}{k}").bitwiseAND((1 << NAME) - 1), F.lit(0)).cast("int") for k in range(BLOCK)]) for s in "ab"}
+    whole = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", names["a"].alias("a"), names["b"].alias("b")))).alias("blocks"), F.max("wa").alias("wa"), F.max("wb").alias("wb"))
+    return whole.select(*keys, *[F.when(F.col(f"w{s}") > 0, F.flatten(F.transform("blocks", lambda x: x[s]))).alias(f"print_{s}") for s in "ab"])  # noqa: B023
 
 
 def as_text(prints: Column) -> Column:
-    """Eight hex digits a sample; '' for a text without words."""
-    return F.coalesce(F.array_join(F.transform(prints, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
+    """Four hex digits a sample; '' for a text without words."""
+    return F.coalesce(F.array_join(F.transform(prints, lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, "0")), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -79,16 +122,19 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def next_ids(ids: DataFrame, rows: int = 20_000) -> DataFrame:
-    """``(id, next)`` for unique ids: the next lower id, or for the lowest the highest; ids are ordered by ranges, not in one task."""
-    from pyspark.sql.window import Window
+    """``(id, next)`` for unique ids: the next lower id, or for the lowest the highest.
 
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    Ids are ordered within cells of about ``rows`` ids, whose bounds are approximate quantiles, and not in one task.
+    """
+    n = ids.count()
     if not n:
         return ids.select("id", F.col("id").alias("next"))
-    width = max(1, (high - low + 1) * rows // n)
-    cells = ids.withColumn("cell", F.floor((F.col("id") - F.lit(low)) / width).cast("long"))
-    tops = cells.groupBy("cell").agg(F.max("id").alias("top"))
-    tops = tops.select("cell", F.coalesce(F.lag("top").over(Window.orderBy("cell")), F.lit(high)).alias("below"))  # one row a range
+    parts = max(1, n // rows)
+    bounds = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
+    cells = ids.withColumn("cell", sum(((F.col("id") > b).cast("int") for b in bounds), F.lit(0)) if parts < 50 else F.size(F.filter(F.lit(bounds), lambda b: b < F.col("id"))))
+    tops = cells.groupBy("cell").agg(F.max("id").alias("top"), F.max(F.lit(1)).alias("one"))
+    highest = ids.agg(F.max("id")).first()[0]
+    tops = tops.select("cell", F.coalesce(F.lag("top").over(Window.partitionBy("one").orderBy("cell")), F.lit(highest)).alias("below"))  # one row a cell
     near = cells.withColumn("next", F.lag("id").over(Window.partitionBy("cell").orderBy("id")))
     return near.join(tops, "cell").select("id", F.coalesce("next", "below").alias("next"))
 
@@ -98,8 +144,9 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     The edited form replaces the last third (code points, rounded down) by as many first ones of the next document in
     descending id order.  Null texts count as empty; rows without an id are left out; of rows that share an id the
-    one with the greatest text counts.  Other columns are ignored; an empty table gives no rows; a single document
-    is its own next.  Columns: doc_id, n_chars, edited, print, edited_print, next_print (arrays, null without words).
+    one with the greatest text counts.  Texts of any length: a text's terms are one array, and sampled row by row.
+    Other columns are ignored; an empty table gives no rows; a single document is its own next.  Columns: doc_id,
+    n_chars, edited, print, edited_print, next_print (arrays, null without words).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"))
@@ -110,10 +157,10 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     order = cut(next_ids(ids.select("id")))
     need = order.join(ids.select("id", "n"), "id").select(F.col("next").alias("id"), F.col("id").alias("of"), F.floor(F.col("n") / 3).cast("int").alias("k"))
     head = base.join(need, "id").select(F.col("of").alias("id"), F.expr("substring(text, 1, k)").alias("head"), "k")
-    # not written anywhere: both uses below read the same two exchanges
-    edited = base.join(head, "id").select("id", F.length("text").cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, length(text) - k)"), "head").alias("edited"))
-    a = cut(fingerprint(base, "id", "text", samples))
-    b = fingerprint(edited, "id", "edited", samples).select("id", F.col("print").alias("edited_print"))
-    following = order.join(a.select(F.col("id").alias("next"), F.col("print").alias("next_print")), "next", "left").drop("next")
-    out = edited.join(following, "id").join(a, "id", "left").join(b, "id", "left")  # all by id: the texts move no more
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited", "print", "edited_print", "next_print")
+    edited = base.join(head, "id").select("id", "text", F.concat(F.expr("substring(text, 1, length(text) - k)"), "head").alias("edited"))
+    # the texts end here: what follows carries prints, lengths and digests only
+    prints = cut(fingerprint_pairs(edited, ["id"], "text", "edited", samples))
+    following = order.join(prints.select(F.col("id").alias("next"), F.col("print_a").alias("next_print")), "next", "left").drop("next")
+    # all by id, and both uses of ``edited`` read the same exchanges: the texts move no more
+    out = edited.select("id", F.length("text").cast("long").alias("n_chars"), "edited").join(following, "id").join(prints, "id", "left")
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited", F.col("print_a").alias("print"), F.col("print_b").alias("edited_print"), "next_print")
