@@ -77,7 +77,7 @@ def resolved(target: Column, base: Column) -> Column:
 def page_links(html: Column, url: Column) -> Column:
     """Targets of canonical links and refresh redirects as absolute URLs, whatever the order of a tag's attributes.
 
-    Relative targets are seen from the page's ``base``, else from its URL.  They count only where the attribute says
+    Relative targets are seen from the page's ``base``, else from its URL; ``&amp;`` in them is ``&``.  They count only where the attribute says
     canonical or refresh, so that a style sheet ``/canonical.css`` does not join all pages of a site.
     """
     html = F.coalesce(html, F.lit(""))
@@ -85,7 +85,7 @@ def page_links(html: Column, url: Column) -> Column:
     named = F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1)
 
     def absolute(tag: Column) -> Column:
-        target = F.regexp_extract(tag, r"(?i)(?:href\s*=\s*[\"']?|url\s*=\s*['\"]?)([^\"'>\s]+)", 1)
+        target = F.regexp_extract(F.regexp_replace(tag, "(?i)&amp;|&#38;|&#x26;", "&"), r"(?i)(?:href\s*=\s*[\"']?|url\s*=\s*['\"]?)([^\"'>\s]+)", 1)
         seen = let(F.coalesce(resolved(named, url), url), lambda base: let(target, lambda t: resolved(t, base)))
         return F.when(target.rlike(SCHEME + "//"), target).when(tag.rlike(ALIAS), seen)
 
@@ -97,7 +97,8 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
 
     Without a fitting rule the verdict is the aliases', pages or mere targets of links: allow if any alias is allowed
     by a rule, else block if any is blocked, else allow.  Null URLs and such without ``://`` have empty host and path, no aliases and are allowed.
-    Repeated rows are kept; other columns are ignored; null html has no links; an empty table gives no rows.
+    Repeated rows are kept; other columns are ignored; null html has no links, html of any length is read by patterns
+    that don't go back; an empty table gives no rows.
     """
     host, path = url_parts(F.col(url_col))
     links = page_links(F.col(html_col), F.col(url_col)) if html_col in pages.columns else F.array().cast("array<string>")
@@ -112,7 +113,10 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
     told = told.groupBy("form").agg(F.max(F.col("verdict") == "allow").alias("allow"))
     told = told.join(groups.select(F.col("node").alias("form"), "component"), "form", "left").select(F.coalesce("component", "form").alias("alias"), "allow")
     told = told.groupBy("alias").agg(F.max("allow").alias("allow"))
-    rows = base.drop("links").join(groups.select(F.col("node").alias("form"), "component"), "form", "left").withColumn("alias", F.coalesce("component", "form"))
-    rows = rows.join(told, "alias", "left")
+    # rows that a rule decides, or that have no form to look up, need no join and stay out of it
+    joined = F.col("form").isNotNull() & F.col("hit").isNull()
+    rows = base.drop("links").where(joined).join(groups.select(F.col("node").alias("form"), "component"), "form", "left").withColumn("alias", F.coalesce("component", "form"))
+    rows = rows.join(told, "alias", "left").select("page_id", "host", "path", "hit", "allow")
+    rows = rows.unionByName(base.where(~joined).select("page_id", "host", "path", "hit", F.lit(None).cast("boolean").alias("allow")))
     other = F.when(~F.coalesce("allow", F.lit(True)), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", other).alias("verdict"))
