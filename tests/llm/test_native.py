@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -11,13 +12,16 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 from helpers import frame, union_find, words
+from pyspark.sql import functions as F
 
 from tidemark.llm import queries as q
+from tidemark.llm import sharding
 from tidemark.llm.decontaminate import decontaminate
-from tidemark.llm.fingerprints import fingerprint_documents, likeness
-from tidemark.llm.line_dedup import dedup_lines
-from tidemark.llm.sharding import shard_documents
+from tidemark.llm.fingerprints import BLOCK, SAMPLES, fingerprint_documents, fingerprint_pairs, likeness, next_ids
+from tidemark.llm.line_dedup import LineRuns, dedup_lines
+from tidemark.llm.sharding import FILL, LOTS, SLACK, SMALL, propagate, shard_documents
 from tidemark.llm.url_filter import RULES, filter_urls
 
 PYTHON = re.compile("Python|Pandas|Arrow")
@@ -59,7 +63,46 @@ def test_lines_in_any_number_of_batches(spark, batches):
         for line in t.split("\n"):
             holders[line.strip().lower()].add(i)
     want = {i: "\n".join(x for x in t.split("\n") if len(holders[x.strip().lower()]) < 3 or max(holders[x.strip().lower()]) == i) for i, t in docs}
-    assert {r.doc_id: r.text for r in dedup_lines(frame(spark, docs), batches=batches, fanout=2).collect()} == want
+    assert {r.doc_id: r.text for r in dedup_lines(frame(spark, docs), batches=batches).collect()} == want
+
+
+def test_lines_of_repeated_and_far_ids(spark):
+    line = "a line that many hold, surely"
+    docs = [(1, f"{line}\nkeep a"), (1, f"unique first line of all\nkeep b\n{line}"), (1, "\n".join("x" * 9) + f"\n{line}"), (-9 * 10**18, f"{line}\nlow"), (9 * 10**18, f"high\n{line}"), (5, f"{line}\n{line}")]
+    wide = spark.createDataFrame([(i, t, 1, 2, "x", 4, 5) for i, t in docs], "doc_id long, text string, gone int, _line_doc int, row string, id int, t int")
+    out = dedup_lines(wide)
+    assert out.columns == [*wide.columns, "n_lines", "n_dropped"]
+    assert sorted(((r.doc_id, r.text, r.n_dropped, r.gone, r.row) for r in out.collect())) == sorted(
+        [(1, "keep a", 1, 1, "x"), (1, "unique first line of all\nkeep b", 1, 1, "x"), (1, "\n".join("x" * 9), 1, 1, "x"), (-9 * 10**18, "low", 1, 1, "x"), (9 * 10**18, f"high\n{line}", 0, 1, "x"), (5, "", 2, 1, "x")]
+    )
+    twice = [(1, line), (1, line + " "), (2, line)]  # two ids only
+    assert [r.n_dropped for r in dedup_lines(frame(spark, twice)).collect()] == [0, 0, 0]
+
+
+def test_a_very_long_text_of_lines(spark):
+    docs = [(i, "\n".join(f"line number {k} of the long text" for k in range(60_000))) for i in range(3)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in dedup_lines(frame(spark, docs)).collect()}
+    assert got == {0: (60_000, 60_000), 1: (60_000, 60_000), 2: (60_000, 0)}
+
+
+def test_runs_move_and_sort_nothing_and_their_anti_join_decides(spark, monkeypatch):
+    runs, n = LineRuns(spark), spark.conf.get("spark.sql.shuffle.partitions")
+    keys = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h1"), F.col("id").alias("h2"), F.lit(1).cast("long").alias("n"), (100 - F.col("id")).alias("owner")).repartition(int(n), "h1", "h2")
+    for k in range(3):
+        runs.add(keys(10 * k, 10 * k + 20))
+    assert [len(level) for level in runs.levels] == [1, 1]
+    with runs.sorted_scans():
+        own = runs._write(keys(5, 50))
+        for df in (runs.owned(own), runs.merged(*runs.runs())):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and not re.search(r"\bSort \[", plan)
+    assert {r.h2: r.n for r in runs.totals().collect()} == {i: 1 + (10 <= i < 30) for i in range(40)}
+    runs.close()
+    docs = [(i, "the very same line in all of them") for i in range(40)]
+    right = lambda: [r.doc_id for r in dedup_lines(frame(spark, docs)).collect() if not r.n_dropped] == [39]
+    assert right()
+    monkeypatch.setattr(LineRuns, "unseen", lambda self, own: own)
+    assert not right()
 
 
 def verdicts(urls, links):
@@ -118,6 +161,9 @@ def test_urls_take_the_decision_of_targets_outside_the_table(spark):
         ("http://m.org/x", link.format("/go/../en?to=http://b.org/es/2"), "allow"),
         ("no scheme", link.format("/es/2"), "allow"),
         (None, link.format("http://b.org/es/2"), "allow"),
+        ("http://n.org/x", link.format("http://n.org/y?a=1&amp;b=2"), "block"),
+        ("http://n.org/y?a=1&b=2", link.format("http://b.org/es/2"), "block"),
+        ("http://o.org/x", "<p>" * 30_000 + refresh.format("http://b.org/es/8"), "block"),
     ]
     got = filter_urls(spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")).collect()
     assert [(u, v) for u, _, v in pages] == [(pages[r.page_id][0], r.verdict) for r in sorted(got, key=lambda r: r.page_id)]
@@ -140,7 +186,7 @@ def test_shards(spark):
     assert together > 60  # by chance 12
     assert shard_documents(frame(spark, [])).count() == 0
     odd = shard_documents(frame(spark, [(None, "a"), (1, "a"), (1, "b")]), shards=3).collect()
-    assert len(odd) == 3
+    assert len(odd) == 3 and len({r.shard for r in odd if r.doc_id == 1}) == 1
 
 
 def test_shards_by_given_links(spark):
@@ -152,6 +198,114 @@ def test_shards_by_given_links(spark):
     assert cut < 0.5 * 600  # by chance three quarters
 
 
+def hashed(*numbers):
+    """Spark's hash of several longs."""
+    seed = 42
+    for x in numbers:
+        seed = xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_rounds(size, shard, keys, shards, quota, rounds):
+    """The rounds of label propagation over dictionaries; ``keys``: key -> ids."""
+    of = defaultdict(list)
+    for k, ids in keys.items():
+        for i in ids:
+            of[i].append(k)
+    log = []
+    for step in range(rounds):
+        load = Counter()
+        for i, s in shard.items():
+            load[s] += size[i]
+        free = [max(0, quota + quota // SLACK - load[s]) for s in range(shards)]
+        here, cut = {k: Counter() for k in keys}, 0
+        ranked, need, small = {}, {}, {}
+        for k, ids in keys.items():
+            for i in ids:
+                here[k][shard[i]] += size[i]
+            whole = sum(here[k].values())
+            ranked[k] = sorted(here[k], key=lambda s: (-here[k][s], hashed(k, s), s))  # noqa: B023
+            need[k] = min(shards, -(-whole // (quota * FILL // 100 + 1)))
+            small[k] = whole * SMALL <= quota
+            cut += len(ranked[k]) - 1
+        wish, asked = {}, Counter()
+        for i, own in of.items():
+            said, ticket = Counter(), {}
+            for k in own:
+                place = ranked[k].index(shard[i])
+                goals = [s for s in ranked[k][:place] if free[s] > 0][: need[k]]
+                to, gain = shard[i], here[k][shard[i]] - size[i]
+                if place >= need[k] and goals:
+                    to = goals[hashed(step, i) % len(goals)]
+                    gain = here[k][to]
+                said[to] += gain
+                t = hashed(step, k if small[k] else i) % LOTS
+                ticket[to] = min(ticket.get(to, t), t)
+            to = max(said, key=lambda s: (said[s], s == shard[i], -s))  # noqa: B023
+            if to != shard[i]:
+                wish[i] = (to, ticket[to])
+                asked[to] += size[i]
+        moved = {i: to for i, (to, t) in wish.items() if t < min(LOTS, free[to] * LOTS // asked[to])}
+        shard = shard | moved
+        log.append({"cut": cut, "moved": len(moved)})
+        if not moved:
+            break
+    return shard, log
+
+
+@pytest.mark.parametrize("hot", [0, 300])
+def test_rounds_match_a_plain_version(spark, hot):
+    rnd = random.Random(13 + hot)
+    size = {i: rnd.randint(20, 90) for i in range(600)}
+    keys = {hashed(g): rnd.sample(range(600), rnd.randint(2, 6)) for g in range(200)}  # many documents have two keys or more
+    if hot:
+        keys[hashed(999)] = rnd.sample(range(600), hot)
+    start = {i: rnd.randrange(8) for i in {i for ids in keys.values() for i in ids}}
+    quota = -(-sum(size.values()) // 8)
+    state = spark.createDataFrame([(i, size[i], s) for i, s in start.items()], "rid long, size long, shard int")
+    links = spark.createDataFrame([(i, k) for k, ids in keys.items() for i in ids], "rid long, key long")
+    log = []
+    got = {r.rid: r.shard for r in propagate(state, links, 8, quota, 4, log).collect()}
+    want, told = plain_rounds(size, start, keys, 8, quota, 4)
+    assert got == want and log == told and log[0]["moved"] > 100
+
+
+def cut_of(shard, keys):
+    return sum(len({shard[i] for i in ids}) - 1 for ids in keys.values())
+
+
+def test_propagation_is_what_keeps_links_together(spark, monkeypatch):
+    rnd = random.Random(14)
+    docs = [(i, " ".join(words(rnd, rnd.choice([5, 10, 20])))) for i in range(2000)]
+    keys = {g: [*range(5 * g, 5 * g + 5), (5 * g + 7) % 1000] for g in range(200)}  # chains of groups: every group holds one of the next
+    links = spark.createDataFrame([(i, g) for g, ids in keys.items() for i in ids], "doc_id long, key long")
+    size = {i: len(t) + 16 for i, t in docs}
+
+    def run():
+        shard = {r.doc_id: r.shard for r in shard_documents(frame(spark, docs), links, shards=8).collect()}
+        loads = Counter()
+        for i, s in shard.items():
+            loads[s] += size[i]
+        assert max(loads.values()) - min(loads.values()) < 0.01 * sum(size.values()) / 8 + max(size.values())
+        return cut_of(shard, keys)
+
+    with_rounds = run()
+    monkeypatch.setattr(sharding, "propagate", lambda state, *_: state)
+    assert run() > 2 * with_rounds
+
+
+def test_crowded_shards_are_left_by_whole_groups(spark):
+    """All documents are linked in pairs, and one text is a third of all: sizes stay even, few pairs part (by chance 900)."""
+    rnd = random.Random(15)
+    docs = [(2 * i + k, f"pair {i} " + "x" * (i % 50)) for i in range(1000) for k in (0, 1)] + [(5000 + i, "the hot text " * 3) for i in range(1000)]
+    got = shard_documents(frame(spark, docs), shards=10).collect()
+    shard, loads = {r.doc_id: r.shard for r in got}, Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert max(loads.values()) - min(loads.values()) < 0.02 * sum(loads.values()) / 10
+    assert sum(shard[2 * i] != shard[2 * i + 1] for i in range(1000)) < 250 and len({shard[5000 + i] for i in range(1000)}) <= 7
+
+
 def contamination(docs, items, window=13):
     split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]
     spans = defaultdict(set)
@@ -190,6 +344,71 @@ def test_decontamination(spark):
     assert not any(r.n_hit for r in decontaminate(frame(spark, docs), bench.limit(0)).collect())
 
 
+def test_short_items_of_all_lengths(spark):
+    rnd = random.Random(21)
+    pool = words(rnd, 12)  # few words, so that items begin alike and hits overlap
+    items = [(k, " ".join(rnd.choice(pool) for _ in range(1 + k % 14))) for k in range(14, 40)]
+    docs = [(i, " ".join(rnd.choice(pool) if rnd.random() < 0.6 else words(rnd, 1)[0] for _ in range(rnd.choice([0, 1, 2, 12, 40])))) for i in range(80)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate(frame(spark, docs), bench).collect()}
+    assert out == contamination(docs, items)
+
+
+def test_decontamination_of_repeated_ids_and_long_texts(spark):
+    rnd = random.Random(22)
+    item = " ".join(words(rnd, 30))
+    long = " ".join([*words(rnd, 30_000), item, *words(rnd, 10), item])
+    docs = [(1, "zz " + item), (1, "aa nothing"), (2, "zz nothing"), (2, item), (3, long), (None, item)]
+    out = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert out == {1: (31, 30), 2: (2, 0), 3: (30_070, 60)}  # of an id's rows the greatest text counts
+
+
+def plain_print(text, samples, words_=5):
+    """Consistent weighted sampling, term by term, with no bound on who runs."""
+    w = re.sub(r"[\x20\x09-\x0D]+", " ", text).strip(" ").split(" ")
+    one = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = [signed(one(x.encode())) for x in w]
+    grams = Counter(hashed(*h[k : k + words_]) & -2 for k in range(max(1, len(h) - words_ + 1)))
+    bits = lambda x, at, n: (((x & (1 << 64) - 1) >> at & (1 << n) - 1) + 1) * (1 / ((1 << n) + 1))
+    out = []
+    for k in range(samples):
+        best = None
+        for term, n in grams.items():
+            draw = signed(one(term.to_bytes(8, "little", signed=True), one((k // BLOCK).to_bytes(4, "little"))))
+            a, b = (one(draw.to_bytes(8, "little", signed=True), one((2 * (k % BLOCK) + j).to_bytes(4, "little"))) for j in (0, 1))
+            r, c = -math.log(bits(a, 0, 32) * bits(a, 32, 32)), -math.log(bits(b, 0, 21) * bits(b, 21, 21))
+            t = math.floor(math.log(n) / r + bits(b, 42, 22))
+            race = math.floor((math.log(c) - r * (t - bits(b, 42, 22) + 1)) * (1 << 20))
+            name = hashed(term, t) & 0xFFFF
+            best = min(best or (race, name), (race, name))
+        out.append(best[1])
+    return out
+
+
+def test_prints_match_a_plain_version(spark):
+    rnd = random.Random(23)
+    pool = words(rnd, 5)
+    texts = ["one", "one two three", " ".join(rnd.choice(pool) for _ in range(400)), " ".join(words(rnd, 150)), "a b c d e f " * 40]
+    rows = [(i, a, b) for i, (a, b) in enumerate(zip(texts, texts[1:] + texts[:1], strict=True))]
+    for r in fingerprint_pairs(spark.createDataFrame(rows, "id long, a string, b string"), ["id"], "a", "b", 16).collect():
+        assert (r.print_a, r.print_b) == (plain_print(rows[r.id][1], 16), plain_print(rows[r.id][2], 16))
+
+
+def test_next_ids_of_clustered_ids(spark):
+    ids = [*range(100, 400), -9 * 10**18, 9 * 10**18, 7 * 10**17]
+    got = {r.id: r.next for r in next_ids(spark.createDataFrame([(i,) for i in ids], "id long"), rows=20).collect()}
+    order = sorted(ids, reverse=True)
+    assert got == {i: order[(k + 1) % len(order)] for k, i in enumerate(order)}
+
+
+def test_long_texts_have_fingerprints(spark):
+    rnd = random.Random(24)
+    long = " ".join(words(rnd, 30_000))
+    out = {r.doc_id: r for r in fingerprint_documents(frame(spark, [(1, long), (2, long), (3, "x" * 200_000)])).collect()}
+    assert out[1].print == out[2].print and len(out[1].print) == SAMPLES and out[3].n_chars == 200_000
+
+
 def test_fingerprints(spark):
     rnd = random.Random(12)
     docs = [(3 * i, " ".join(words(rnd, 80))) for i in range(60)] + [(500, None), (501, ""), (502, "one two"), (503, "one two"), (504, "é" * 7)]
@@ -208,11 +427,9 @@ def test_fingerprints(spark):
 
 
 def collision_rate(spark, a, b, tries):
-    from tidemark.llm.fingerprints import fingerprint
-
-    rows = [(2 * i + k, " ".join(f"{w}{i}" for w in t.split())) for i in range(tries) for k, t in enumerate((a, b))]
-    got = {r.id: r.print for r in fingerprint(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
-    return sum(x == y for i in range(tries) for x, y in zip(got[2 * i], got[2 * i + 1], strict=True)) / tries / 16
+    rows = [(i, *(" ".join(f"{w}{i}" for w in t.split()) for t in (a, b))) for i in range(tries)]
+    got = fingerprint_pairs(spark.createDataFrame(rows, "id long, a string, b string"), ["id"], "a", "b").collect()
+    return sum(x == y for r in got for x, y in zip(r.print_a, r.print_b, strict=True)) / tries / SAMPLES
 
 
 def test_collisions_follow_generalised_jaccard(spark):

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 
 import numpy as np
 from helpers import frame, words
@@ -22,7 +25,8 @@ def test_lexicon():
     assert hits("a trash can, convejuo") == [] and hits("Trash*** TRASH!!") == [("Trash", 2.0), ("TRASH", 2.0)]
     assert lex.features("") == lex.features(None) == (0.0, 0.0)
     few, many = lex.features("trash " + "x " * 10), lex.features("trash " + "x " * 1000)
-    assert few[0] == many[0] and few[1] > many[1]
+    assert few[0] > 5 * many[0] and few[1] == many[1] == 0.5
+    assert lex.features("trash " * 3)[1] == 1.5 and lex.features(("trash " + "x " * 400) * 3)[1] == 0.5 and lex.features("trash " * 99)[1] == 5.0
 
 
 def test_lexicon_sees_stand_ins_at_edges_of_words():
@@ -36,6 +40,79 @@ def test_lexicon_sees_stand_ins_at_edges_of_words():
     assert len(lex.unmasked(wild)) == len(wild) and hits(wild) == ["5cum"]
 
 
+def test_unseen_characters_marks_and_other_shapes():
+    lex = toxicity.Lexicon({"idiot$": 2.0, "stupid$": 2.0, "r\u00e9ta$": 3.0, "trash$": 2.0})
+    spans = lambda s: [s[a:b] for a, b, _ in lex.spans(s)]
+    text = "an i\u200bdi\u00adot, \U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d or \uff29\uff24\uff29\uff2f\uff34; st\u00fap\u00efd s\u0301tupid tr4\u0336sh can"
+    assert spans(text) == ["i\u200bdi\u00adot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "\uff29\uff24\uff29\uff2f\uff34", "st\u00fap\u00efd", "s\u0301tupid"]
+    assert spans("re\u0301ta r\u00e9ta reta \u24d8\u24d3\u24d8\u24de\u24e3") == ["re\u0301ta", "r\u00e9ta", "\u24d8\u24d3\u24d8\u24de\u24e3"]
+    assert toxicity.squeezed("plain") == ("plain", None) and spans("\u0301" * 50) == []
+
+
+def test_time_grows_with_the_text_only():
+    lex = toxicity.Lexicon({"trash$": 2.0, "idiot$": 2.0})
+    times = []
+    for n in (20_000, 80_000):
+        text = "trash can " * n + "1d10t " * n
+        began = time.process_time()
+        assert len(lex.hits(toxicity.fold(text))) == n
+        times.append(time.process_time() - began)
+    assert times[1] < 8 * times[0] + 0.5
+
+
+def test_nested_entries():
+    held = {"abcd": (50, 1.0), "abcde": (49, 1.5), "abcdef": (20, 2.0), "wxyz": (30, 1.0), "wxyz$": (29, 1.2), "other$": (9, 3.0)}
+    assert toxicity.chosen(held) == {"abcde": 1.5, "wxyz$": 1.2, "other$": 3.0}
+    many = {f"{k:06d}"[:n]: (5, 1.0) for k in range(30_000) for n in (4, 5, 6)}
+    began = time.process_time()
+    toxicity.chosen(many)
+    assert time.process_time() - began < 5
+
+
+def test_toxicity_query_against_a_plain_lexicon(spark, data):
+    """Scores of the whole table again, with a scan over words in place of the automaton."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    learn = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    entries, beta = toxicity.fit_toxicity(docs.select("doc_id", "text"), learn)
+    lex = toxicity.Lexicon(entries)
+
+    def plain(text):
+        folded = lex.unmasked(lex.plain(toxicity.fold(toxicity.squeezed(text or "")[0])))
+        out = []
+        for at in range(len(folded)):
+            if at and re.match(r"[^\W\d_]", folded[at - 1]):
+                continue
+            fits = [(e.removesuffix("$"), w) for e, w in entries.items() if folded.startswith(e.removesuffix("$"), at) and not (e.endswith("$") and re.match(r"[^\W\d_]", folded[at + len(e) - 1 :]))]
+            if fits:
+                word, weight = max(fits, key=lambda f: len(f[0]))
+                if not any(re.search(rf"(?<![^\W\d_]){re.escape(x)}(?![^\W\d_])", folded[max(0, at - 40) : at + 60]) for x in toxicity.EXCEPTIONS):
+                    out.append((at, weight))
+        total, most = sum(w for _, w in out), max((sum(w for b, w in out if a - toxicity.STRETCH <= b <= a) for a, _ in out), default=0.0)
+        x = (math.log1p(100 * total / (20 + folded.count(" ") + folded.count("\n"))), min(most, toxicity.PEAK) / 4)
+        return 1 / (1 + math.exp(-(beta[0] + beta[1] * x[0] + beta[2] * x[1])))
+
+    got = {r.doc_id: r.score for r in q.op2_toxicity(spark, data).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and all(abs(got[r.doc_id] - plain(r.text)) < 1e-9 for r in rows)
+
+
+def test_quality_query_against_the_formula(spark):
+    """Scores of the whole table from the class densities, written out."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit_quality(docs.select("doc_id", "text"), labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))
+    got = {r.doc_id: (r.score, r.predicted) for r in q.op1_quality(spark, data).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    x = np.array([quality.statistics(r.text) for r in rows])
+    z = (x - model.centre) / model.scale
+    logs = []
+    for mean, factor in zip(model.means, model.factors, strict=True):
+        d = (z - mean) @ factor.T
+        logs.append(-0.5 * (d**2).sum(1) + np.log(np.abs(np.diag(factor))).sum())
+    assert np.allclose(model.difference(x), logs[1] - logs[0])
+    assert len(got) == len(rows) and all(abs(got[r.doc_id][0] - s) < 1e-9 and got[r.doc_id][1] == int(s >= 0.5) for r, s in zip(rows, model.score(x), strict=True))
+
+
 def test_toxicity_learns_entries(spark):
     rnd = random.Random(3)
     docs, labels = [], []
