@@ -74,6 +74,8 @@ def test_fill_and_pad(spark):
     df = spark.createDataFrame([(D(2024, 1, 1), 5), (D(2024, 1, 3), None), (D(2024, 2, 1), 1)], "date date, v int")
     out = calendar.fill_days(df, "date", D(2024, 1, 1), D(2024, 1, 4), keep=F.dayofmonth("date") != 2)
     assert rows(out) == [(D(2024, 1, 1), 5), (D(2024, 1, 3), None), (D(2024, 1, 4), None)]
+    twice = spark.createDataFrame([(D(2024, 1, 1), 5, 1), (D(2024, 1, 1), 6, 2), (D(2024, 1, 1), 7, 0)], "date date, v int, at int")
+    assert rows(calendar.fill_days(twice, "date", D(2024, 1, 1), D(2024, 1, 1), order=[F.col("at")]).select("v")) == [(6,)]
     months = spark.createDataFrame([("2023-10", 1), ("2023-12", 2)], "month string, v int")
     assert rows(calendar.pad_months(months, "month", D(2024, 2, 9))) == [("2023-10", 1), ("2023-12", 2), ("2024-01", None), ("2024-02", None)]
     assert calendar.pad_months(months.limit(0), "month", D(2024, 2, 9)).count() == 0
@@ -211,7 +213,9 @@ def test_report_windows(spark):
     night = one(spark, x.report_window(F.lit("from 20:00 to 07:00"), posted))
     assert (night.start, night.end, night.kind) == (dt.datetime(2024, 1, 1, 20), dt.datetime(2024, 1, 2, 7), "night")
     late = one(spark, x.report_window(F.lit("from 18:00 to 24:00"), posted))
-    assert (late.start, late.end, late.kind) == (dt.datetime(2024, 1, 1, 18), dt.datetime(2024, 1, 2, 0), "day")
+    assert (late.start, late.end, late.kind) == (dt.datetime(2024, 1, 1, 18), dt.datetime(2024, 1, 2, 0), "night")
+    kinds = [one(spark, x.report_window(F.lit(w), posted)).kind for w in ("from 20:00 to 23:00", "from 0:00 to 6:00", "from 9:00 to 17:59", "from 0:00 to 7:20")]
+    assert kinds == ["night", "night", "day", "day"]
     text = F.lit("from 20:00 to 07:00 destroyed 9 drones: 6 drones over the north, 5 over south.")
     report = one(spark, x.parse_report(text, posted, "drone"))
     assert report["count"] == 11 and [tuple(p) for p in report["parts"]] == [("north", 6), ("south", 5)] and report["report_date"] == D(2024, 1, 2)
@@ -306,3 +310,34 @@ def test_periods_of_reports(spark):
     period = lambda s: one(spark, r.period_of(F.lit(s)))
     assert period("За результатами бойової роботи у березні. 9 травня 2026. За підсумками квітня 2025") == "2026-04"
     assert period("У червні наші сили, 3 липня 2026") == "2026-06" and period("за підсумками травня") is None and period("12 травня 2026") is None
+
+
+def test_entities(spark):
+    text = F.lit("caf&eacute; &#233;&#xE9; &amp;amp; a&nbsp;b &lt;x&gt; &unknown; &#0; & &#1114112; &#x1F600; &apos;")
+    assert one(spark, x.unescape(text)) == "caf\u00e9 \u00e9\u00e9 &amp; a b <x> &unknown; &#0; & &#1114112; \U0001f600 '"
+    assert one(spark, x.unescape(F.lit("no entity"))) == "no entity" and one(spark, x.unescape(F.lit(None).cast("string"))) is None
+
+
+def test_signatures_of_cells_with_separators(spark):
+    from tidemark.operators.versioned import signature
+
+    cells = [[("a|b", "c")], [("a", "b|c")], [(None, "c")], [("~", "c")], [("\\N", "c")], [("a", "b;c"), ("d", "e")], [("a", "b"), ("c", "d"), ("d", "e")], [("d", "e"), ("a", "b;c")]]
+    df = spark.createDataFrame([(k, *c) for k, own in enumerate(cells) for c in own], "k int, a string, b string")
+    got = [r[1] for r in sorted(signature(df, ["k"], ["a", "b"]).collect())]
+    assert len(set(got)) == len(cells) - 1 and got[5] == got[7]
+
+
+def test_limits_of_reports(spark):
+    from tidemark.operators import guards
+
+    sane = lambda total, parts, other: tuple(one(spark, guards.sane_report(F.lit(total).cast("long"), F.array(*map(F.lit, parts)).cast("array<long>"), F.lit(other).cast("long"))))
+    assert sane(50, [1, 2, 30, 4, None], None) == (50, True) and sane(20, [1, 2, 30, 4, 5], 40) == (40, True) and sane(20, [1, 2, 30, 4, 5], 10) == (None, True)
+    assert sane(50, [1, 2], None) == (50, False) and sane(900, [1, 2, 3, 4, 5], None) == (900, False) and sane(800, [1, 2, 3, 4, 501], None) == (800, False)
+    assert one(spark, guards.within(F.lit(5), 1, 4)) is None and one(spark, guards.within(F.lit(4), 1, 4)) == 4
+
+
+def test_long_tables_need_a_key(spark, monkeypatch):
+    monkeypatch.setattr(projection, "ONE_SERIES", 5)
+    with pytest.raises(ValueError):
+        projection.running_total(spark.range(6), "id", "id")
+    assert projection.running_total(spark.range(6).withColumn("k", F.col("id") % 2), "id", "id", ["k"]).count() == 6

@@ -1,11 +1,12 @@
 """Facts of periodic reports: the moment they speak of, ordered fall-through of patterns, tallies and places.
 
-All are built-in expressions over pattern tables that callers pass; the tables below are for Ukrainian reports.
+All are built-in expressions over tables that callers pass; those below are for Ukrainian reports.  Counts are read
+from tokens by one rule: a number means the first counted noun that follows it closely, in the same sentence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -28,14 +29,30 @@ def plain(text: Column) -> Column:
     return F.translate(strip_markdown(text), "’ʼ", "''")
 
 
+def _table() -> Column:
+    return F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
+
+
+def tokens(text: Column) -> Column:
+    """Numbers (with blanks between thousands), words, commas and full stops, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\d+(?:\s\d{3}\b)*|[\p{L}'–—-]+|[.,]"), F.lit(0))
+
+
+def values(toks: Column) -> Column:
+    """The value of each token that is a number or a number word, else null."""
+    return F.transform(toks, lambda t: F.coalesce(F.regexp_replace(t, r"\s", "").try_cast("long"), F.try_element_at(_table(), t).cast("long")))
+
+
+def _since(vals: Column, end: Column) -> Column:
+    """The sum of the numbers that stand together up to place ``end``, null if none stands there ("сорок чотири")."""
+    one, two, three = (F.when(end - k >= 0, F.get(vals, F.greatest(end - k, F.lit(0)))) for k in range(3))
+    return one + F.coalesce(two, F.lit(0)) + F.when(two.isNotNull(), F.coalesce(three, F.lit(0))).otherwise(0)
+
+
 def spelt_number(words: Column) -> Column:
-    """Digits, or number words whose values add up ("сорок чотири"); words before the first number don't count, others spoil it."""
-    table = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
-    clean = F.regexp_replace(F.lower(words), r"(?<=\d)\s+(?=\d)", "")
-    values = F.transform(F.split(F.trim(clean), r"\s+"), lambda w: F.coalesce(w.try_cast("long"), F.try_element_at(table, w).cast("long")))
-    first = F.array_position(F.transform(values, lambda v: v.isNotNull()), True)
-    tail = F.slice(values, F.greatest(first, F.lit(1)).cast("int"), F.size(values))
-    return F.when((first > 0) & ~F.exists(tail, lambda v: v.isNull()), F.aggregate(tail, F.lit(0).cast("long"), lambda s, v: s + v))
+    """The number with which the words end, in digits or words; null if they end otherwise."""
+    vals = values(tokens(words))
+    return _since(vals, F.size(vals) - 1)
 
 
 def first_known(text: Column, patterns: Sequence[str], group: int = 1) -> Column:
@@ -68,80 +85,133 @@ def snapshot_of(text: Column, posted: Column, *, header: str = r"станом\s+
     return F.when(said.isNotNull(), F.struct(F.date_sub(F.to_date(at), before.cast("int")).alias("report_date"), at.alias("snapshot_at"), note.alias("note")))
 
 
-def tally(text: Column, *, verb: str = r"уразил\p{L}*", joints: str = r",|\s+(?:та|і|й)\s+", contents: str = r"^(?:озброєн|технік|живої\s+сили)") -> Column:
-    """The sum over the items that the verb's clause lists: their numbers, or 1 for an item without one.
+#: How a list of targets is written: stems of the verb before it, words between items, stems of what other items contain.
+LISTS = {"verb": ("уразил",), "between": ("та", "і", "й", ","), "content": ("озброєн", "технік", "живої")}
 
-    Items that only tell what another item contains count for nothing; null without the verb.
-    """
-    clause = F.regexp_extract(plain(text), rf"(?iU){verb}([^.]*)", 1)
-    items = F.filter(F.transform(F.split(clause, joints), lambda x: F.trim(x)), lambda x: x.rlike(r"\p{L}"))
-    table = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
 
-    def worth(item: Column) -> Column:
-        numbers = F.filter(F.transform(F.regexp_extract_all(item, F.lit(r"\d+|[\p{L}']+"), F.lit(0)), lambda w: F.coalesce(w.try_cast("long"), F.try_element_at(table, F.lower(w)).cast("long"))), lambda v: v.isNotNull())
-        total = F.aggregate(numbers, F.lit(0).cast("long"), lambda s, v: s + v)
-        return F.when(F.size(numbers) > 0, total).when(item.rlike(rf"(?iU){contents}"), 0).otherwise(1)
+def _stem(token: Column, stems: Sequence[str]) -> Column:
+    """True for tokens that begin with one of the stems."""
+    return token.rlike("^(?:" + "|".join(stems) + ")")
+
 
-    return F.when(plain(text).rlike(rf"(?iU){verb}"), F.aggregate(F.transform(items, worth), F.lit(0).cast("long"), lambda s, v: s + v))
+def tally(text: Column, words: dict[str, Sequence[str]] = LISTS) -> Column:
+    """What the first clause after the verb counts: of each listed item its numbers, or 1 without any; null without the verb.
+
+    An item that begins with a content word says only what another item contains, and counts for nothing.
+    """
+    toks = tokens(plain(text))
+
+    def clause(t: Column) -> Column:
+        begin = F.array_position(F.transform(t, lambda x: _stem(x, words["verb"])), True)
+        rest = F.slice(t, begin.cast("int") + 1, F.size(t))
+        stop = F.array_position(rest, ".")
+        return F.when(begin > 0, F.when(stop > 0, F.slice(rest, 1, stop.cast("int") - 1)).otherwise(rest))
+
+    def counted(t: Column) -> Column:
+        """A fold over the clause: done items, and the open one (words, number, whether it counts)."""
+        vals, between = values(t), lambda x: x.isin(*words["between"])
+        state = lambda done, n, number, real: F.struct(done.alias("done"), n.alias("n"), number.alias("number"), real.alias("real"))
+        worth = lambda s: F.when((s["n"] > 0) & s["real"], F.coalesce(s["number"], F.lit(1).cast("long"))).otherwise(0)
+        start = state(F.lit(0).cast("long"), F.lit(0), F.lit(None).cast("long"), F.lit(True))
+        step = lambda s, x: F.when(between(x["t"]), state(s["done"] + worth(s), F.lit(0), F.lit(None).cast("long"), F.lit(True))).otherwise(
+            state(s["done"], s["n"] + 1, F.when(x["v"].isNotNull(), F.coalesce(s["number"], F.lit(0).cast("long")) + x["v"]).otherwise(s["number"]), s["real"] & ~((s["n"] == 0) & _stem(x["t"], words["content"])))
+        )
+        return F.aggregate(F.arrays_zip(t.alias("t"), vals.alias("v")), start, step, lambda s: s["done"] + worth(s))
+
+    return F.get(F.transform(F.filter(F.array(clause(toks)), lambda c: c.isNotNull()), counted), F.lit(0))
 
 
 @dataclass(frozen=True)
-class PlacePatterns:
-    """How reports name places and count what happened there."""
-
-    anchor: str = r"(?iU)(?:На|У|В)\s+[\p{L}'–—-]+(?:ому|ій|их|ім)(?:,\s+[\p{L}'–—-]+(?:ому|ій|их|ім))?(?:\s+(?:та|і|й)\s+[\p{L}'–—-]+(?:ому|ій|их|ім))?\s+напрямк(?:у|ах|и)"
-    name: str = r"([\p{L}'–—-]+(?:ому|ій|их|ім))(?=,|\s+(?:та|і|й)\s|\s+напрямк)"
-    stop: tuple[str, ...] = ("цьому", "цих", "інших", "іншому", "окремих", "визначених")
-    nothing: str = r"(?iU)дій\s+не\s+проводив|не\s+виявлено"
-    total: str = r"(?iU)((?:\d[\d ]*|[\p{L}']+(?:\s+[\p{L}']+)?))\s+раз(?:ів|и)?\s+(?:атак|штурм|намаг|наступ)"
-    attacks: tuple[str, ...] = (
-        r"(?iU)(\d[\d ]*)\s*(?:ворож\p{L}+\s+)?(?:штурм|атак|бойов|боєзіткнен|наступальн|спроб)",
-        r"(?iU)(?:відби|здійсн|зупин|зафіксов|пров)\p{L}*\s+([\p{L}']+(?:\s+(?!ворож)[\p{L}']+)?)\s+(?:ворож\p{L}+\s+)?(?:штурм|атак|бойов|боєзіткнен|наступальн|спроб)",
-        r"(?iU)відби(?:то|ла|ли)\s+(\d[\d ]*|[\p{L}']+)",
-    )
-    ongoing: str = r"(?iU)((?:\d+|[\p{L}']+))\s+(?:зіткнен|боїв|боєзіткнен|атак|спроб)\p{L}*[\p{L}\s]{0,30}трива"
+class PlaceWords:
+    """Stems and endings by role: how reports name places, and count what happened there."""
+
+    before: tuple[str, ...] = ("на", "у", "в")
+    ending: tuple[str, ...] = ("ому", "ій", "их", "ім")
+    head: tuple[str, ...] = ("напрямк",)
+    join: tuple[str, ...] = ("та", "і", "й")
+    no_name: tuple[str, ...] = ("цьому", "цих", "інших", "іншому", "окремих", "визначених")
+    counted: tuple[str, ...] = ("штурм", "атак", "бойов", "боєзіткнен", "зіткнен", "наступ", "спроб", "боїв", "намаг")
+    times: tuple[str, ...] = ("раз",)
+    going: tuple[str, ...] = ("трива",)
+    stopped: tuple[str, ...] = ("відби",)
+    quiet: tuple[str, ...] = ("дій не проводив", "не виявлено")
+    #: Tokens after a number within which its noun stands, and after the noun its duration.
+    reach: int = 4
+    #: Characters of the last section, behind which other matters follow, and of a lead that no full stop parts.
+    last: int = 600
+    lead: int = 80
+
+    @property
+    def name(self) -> str:
+        return rf"[\p{{L}}'–—-]+(?:{'|'.join(self.ending)})"
+
+    @property
+    def anchor(self) -> str:
+        joint = rf"(?:,\s+|\s+(?:{'|'.join(self.join)})\s+)"
+        return rf"(?iU)\b(?:{'|'.join(self.before)})\s+{self.name}(?:{joint}{self.name})*\s+(?:{'|'.join(self.head)})\p{{L}}*"
+
+
+def mentions(text: Column, words: PlaceWords) -> Column:
+    """Numbers with the role of the noun that they count: (n, role), role being total, going or part; others are left out."""
+
+    def read(toks: Column) -> Column:
+        vals = values(toks)
+
+        def at(v: Column, i: Column) -> Column:
+            behind = F.slice(toks, i + 2, words.reach)
+            noun = F.array_position(F.transform(behind, lambda x: _stem(x, words.counted)), True).cast("int")
+            stop = F.array_position(behind, ".").cast("int")
+            lasts = F.array_join(F.slice(toks, i + 2 + noun, words.reach), " ").rlike(rf"(?U)^[^.,\d]*\b(?:{'|'.join(words.going)})")
+            role = (
+                F.when(v.isNull() | F.get(vals, i + 1).isNotNull(), None)  # the last of numbers that stand together speaks for them
+                .when(F.coalesce(_stem(F.get(behind, F.lit(0)), words.times), F.lit(False)) & (noun > 0), "total")
+                .when((noun > 0) & ((stop == 0) | (stop > noun)), F.when(lasts, "going").otherwise("part"))
+                .when((i > 0) & _stem(F.get(toks, F.greatest(i - 1, F.lit(0))), words.stopped), "part")
+            )
+            return F.struct(_since(vals, i).alias("n"), role.alias("role"))
+
+        return F.filter(F.transform(vals, at), lambda m: m["role"].isNotNull() & (m["n"] > 0))
+
+    return F.get(F.transform(F.array(tokens(text)), read), F.lit(0))
 
 
-def place_reports(text: Column, patterns: PlacePatterns = PlacePatterns()) -> Column:
+def place_reports(text: Column, words: PlaceWords = PlaceWords()) -> Column:
     """Rows of (place, attacks, ongoing, group_size, group_id), one a place: its first mention counts.
 
-    A section runs from an anchor to the next, the last one for 600 characters.  The part of its sentence before the
-    anchor ("25 attacks were made in …") counts for it and not for the section before.  Where no full stop parts two
-    anchors, the 80 characters before the later one are read only if its own section has no number.  Places named together share a count, their number being the group's
-    size.  An explicit total ("N times") wins over the part that was repelled; a section that says nothing happened
-    has no counts.
+    A section runs from an anchor to the next; the part of its sentence before the anchor ("25 attacks were made in …")
+    counts for it and not for the section before.  Where no full stop parts two anchors, the characters before the
+    later one are read only if its own section has no number.  Places named together share a count, their number being
+    the group's size.  A total ("N times") wins over parts; a section that says that nothing happened has no counts.
     """
     text = plain(text)
-    anchors = F.regexp_extract_all(text, F.lit(patterns.anchor), F.lit(0))
-    pieces = F.split(text, patterns.anchor)
+    anchors = F.regexp_extract_all(text, F.lit(words.anchor), F.lit(0))
+    pieces = F.split(text, words.anchor)
 
     def parted(head: Column, i: Column) -> Column:
         before, piece = F.get(pieces, i), F.get(pieces, i + 1)
         ended = F.instr(before, ".") > 0
-        lead = F.when(ended, F.substring_index(before, ".", -1)).otherwise(F.right(before, F.lit(80)))
+        lead = F.when(ended, F.substring_index(before, ".", -1)).otherwise(F.right(before, F.lit(words.lead)))
         whole = F.when(F.instr(piece, ".") > 0, F.regexp_extract(piece, r"(?s)^(.*\.)", 1)).otherwise(piece)
-        body = F.when(i + 1 < F.size(anchors), whole).otherwise(F.substring(piece, F.lit(1), F.lit(600) - F.length(head)))
+        body = F.when(i + 1 < F.size(anchors), whole).otherwise(F.substring(piece, F.lit(1), F.lit(words.last) - F.length(head)))
         leads = F.when(ended | (i == 0), F.array(lead)).otherwise(F.array(F.lit(""), lead))
         return F.struct(head.alias("anchor"), body.alias("body"), leads.alias("leads"))
 
     def section(part: Column, i: Column) -> Column:
-        head, body, first = part["anchor"], part["body"], F.substring_index(part["body"], ".", 1)
+        head, body = part["anchor"], part["body"]
+        names = F.filter(F.regexp_extract_all(F.lower(head), F.lit(rf"(?U)({words.name})\b"), F.lit(1)), lambda n: ~n.isin(*words.no_name))
+        quiet = F.substring_index(body, ".", 1).rlike("(?iU)" + "|".join(q.replace(" ", r"\s+") for q in words.quiet))
+        found = F.transform(part["leads"], lambda x: mentions(F.concat(x, head, body), words))
 
-        def read(find: Callable[[Column], Column]) -> Column:
-            return F.get(F.filter(F.transform(part["leads"], find), lambda n: n.isNotNull()), F.lit(0))
+        def first(*roles: str) -> Column:
+            """The first number of the first role that any reading has."""
+            of = lambda role: F.get(F.transform(F.filter(F.flatten(found), lambda m: m["role"] == role), lambda m: m["n"]), F.lit(0))
+            return F.coalesce(*map(of, roles))
 
-        names = F.filter(F.regexp_extract_all(head, F.lit(patterns.name), F.lit(1)), lambda n: ~F.lower(n).isin(*patterns.stop))
-        quiet = first.rlike(patterns.nothing)
-        count = read(
-            lambda x: F.coalesce(
-                spelt_number(F.nullif(F.regexp_extract(F.concat(x, head, first), patterns.total, 1), F.lit(""))), first_known(F.concat(x, head, body), patterns.attacks)
-            )
-        )
-        going = read(lambda x: spelt_number(F.nullif(F.regexp_extract(F.concat(x, head, body), patterns.ongoing, 1), F.lit(""))))
+        count, going = first("total", "part", "going"), first("going")
         return F.transform(
             names,
             lambda n: F.struct(
-                F.regexp_replace(F.lower(n), "[–—-]", "").alias("place"), F.when(~quiet, count).alias("attacks"), F.when(~quiet, going).alias("ongoing"),
+                F.regexp_replace(n, "[–—-]", "").alias("place"), F.when(~quiet, count).alias("attacks"), F.when(~quiet, going).alias("ongoing"),
                 F.size(names).alias("group_size"), F.when(F.size(names) > 1, i).alias("group_id"),
             ),
         )

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements whose content is not text.
 DROPPED = ("script", "style", "nav", "header", "footer", "svg", "iframe", "noscript")
-#: Entities that occur in pages, & last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: Named entities as the standard library has them; no-break spaces are read as blanks.
+ENTITIES = {name: " " if code == 0xA0 else chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 #: Number words of three languages.
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
@@ -26,9 +27,17 @@ def collapse(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named and numeric entities (``&eacute;``, ``&#233;``, ``&#xE9;``) as characters, once; others stay as they are."""
+    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+
+    def read(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        code = F.coalesce(F.regexp_extract(name, r"^#([0-9]+)$", 1).try_cast("long"), F.conv(F.nullif(F.regexp_extract(name, r"^#[xX](.+)$", 1), F.lit("")), 16, 10).cast("long"))
+        number = F.when(code == 160, " ").when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        char = F.coalesce(F.try_element_at(named, name), number)
+        return F.when(i == 0, piece).when((name != "") & char.isNotNull(), F.concat(char, F.substr(piece, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), piece))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), read), "")).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
@@ -132,7 +141,7 @@ def report_window(text: Column, posted: Column, *, dated: str = DATED_WINDOW, mo
     First ``from HH:MM on D month to HH:MM on D month``, the year being the post's, and the year before for a start in
     a later month than the end; else ``from HH:MM to HH:MM``, over midnight, 24:00 and the day before included; else,
     where the text speaks of the night, 20:00 to 07:00.  A window that would start after the post belongs to the day
-    before.  Kinds: night (dated, said to be, or over midnight from the evening until noon), day (within a day) and other.
+    before.  Kinds: night (dated, said to be, over midnight, from 18:00 on, or until 07:00 at the latest) and day.
     """
     pattern = r"from ([0-2]?\d):([0-5]\d) to ([0-2]?\d):([0-5]\d)"
     said = text.rlike(night)
@@ -145,7 +154,7 @@ def report_window(text: Column, posted: Column, *, dated: str = DATED_WINDOW, mo
     base = F.when(late, F.date_sub(base, 1)).otherwise(base)
     start = F.timestamp_add("MINUTE", begin, base.cast("timestamp"))
     end = F.timestamp_add("MINUTE", F.when(over, finish + 1440).otherwise(finish), base.cast("timestamp"))
-    kind = F.when(said | (h1 >= 17) & over & (h2 <= 12), "night").when(~over, "day").otherwise("other")
+    kind = F.when(said | over | (h1 >= 18) | (finish <= 7 * 60), "night").otherwise("day")
     plain = F.when(begin.isNotNull() & (begin <= 1440), F.struct(start.alias("start"), end.alias("end"), kind.alias("kind")))
 
     def month(k: int) -> Column:

@@ -41,7 +41,8 @@ HTML = "html"
 for _name in x.DROPPED:
     HTML = f"regexp_replace({HTML}, '(?is)<{_name}[ >].*?</{_name}>|<{_name}>.*?</{_name}>', ' ', 'g')" if _name != x.DROPPED[0] else f"regexp_replace(regexp_replace({HTML}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<{_name}[ >].*?</{_name}>|<{_name}>.*?</{_name}>', ' ', 'g')"
 HTML = f"regexp_replace({HTML}, '<[^>]*>', ' ', 'g')"
-for _name, _char in x.ENTITIES:
+#: Those that the tables may hold, & last.
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
     HTML = "replace({}, '{}', '{}')".format(HTML, _name.replace("'", "''"), _char.replace("'", "''"))
 
 
