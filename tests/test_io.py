@@ -63,6 +63,50 @@ def test_children_follow_parents(spark, tmp_path):
     assert posts.read().count() == 3 and rows(kids.read().select("k")) == [(1,), (2,), (2,)]
 
 
+def test_children_of_a_run_that_failed_are_written_once(spark, tmp_path, monkeypatch):
+    posts, kids = VersionStore(spark, str(tmp_path / "p"), ("k",)), VersionStore(spark, str(tmp_path / "c"), ("k", "place"))
+    p, c = spark.createDataFrame([(1, "x")], "k int, text string"), spark.createDataFrame([(1, "n")], "k int, place string")
+    show = VersionStore._show
+
+    def broken(self, *names, **_):
+        if self.path == posts.path:
+            raise OSError("lost")
+        show(self, *names)
+
+    for breaks in ("_show", "append_changed"):
+        with monkeypatch.context() as m:
+            m.setattr(VersionStore, breaks, broken)
+            with pytest.raises(OSError):
+                posts.append_with_children(p, c, kids, at(1), ["text"])
+        assert posts.read() is None
+    posts.append_with_children(p, c, kids, at(2), ["text"])
+    assert posts.read().count() == kids.read().count() == 1
+
+
+def test_a_store_that_cannot_be_read_is_not_empty(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "s"), ("k",))
+    assert store.read() is None
+    (tmp_path / "s" / "batch-x").mkdir(parents=True)
+    (tmp_path / "s" / "batch-x" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        store.append_changed(spark.range(1).withColumnRenamed("id", "k"), at(1))
+
+
+def test_corrections_say_something_new(spark):
+    stored = spark.createDataFrame([(1, 20, 5), (1, 32, 6), (1, 34, 7), (2, 33, None), (3, 20, 9)], "d int, hour int, v int")
+    fetched = spark.createDataFrame([(1, 11, 7), (2, 11, None), (3, 11, 9), (4, 11, 1)], "d int, hour int, v int")
+    assert rows(writers.corrections(stored, fetched, "d", "hour", ["v"])) == [(3, 35, 9), (4, 35, 1)]
+    assert rows(writers.corrections(stored, fetched.where("d = 1").withColumn("v", F.lit(6)), "d", "hour", ["v"])) == [(1, 35, 6)]
+
+
+def test_a_key_that_changes_its_partition_leaves_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writers.upsert(spark, path, spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "b", 1)], "k int, d string, v int"), ["k"], "d")
+    writers.upsert(spark, path, spark.createDataFrame([(1, "b", 2), (3, "c", 2)], "k int, d string, v int"), ["k"], "d")
+    assert rows(spark.read.parquet(path).select("d", "k", "v")) == [("b", 1, 2), ("b", 2, 1), ("c", 3, 2)]
+    assert [f.name for f in tmp_path.iterdir()] == ["t"]
+
+
 def test_upsert_touches_its_partitions(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.upsert(spark, path, spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, d string, v int"), ["k"], "d")
@@ -175,3 +219,18 @@ def test_stream_holds_the_last_good(spark, tmp_path):
     spark.createDataFrame([("a", 1, 110827.0), ("a", 2, 11257.0), ("a", 3, 111720.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     out = collected(spark, streams.held_increments(streams.source(spark, str(tmp_path / "in"), schema), "k", "i", "v"), "held", "append")
     assert [(r[0], r[1]) for r in out] == [(1, 110827.0), (2, None), (3, 893.0)]
+
+
+def test_stream_gives_null_after_a_null_start(spark, tmp_path):
+    schema = "k string, i int, v double"
+    spark.createDataFrame([("a", 1, None), ("a", 2, 500.0), ("a", 3, 510.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = collected(spark, streams.held_increments(streams.source(spark, str(tmp_path / "in"), schema), "k", "i", "v"), "null_start", "append")
+    assert [(r[0], r[1]) for r in out] == [(1, None), (2, None), (3, 10.0)]
+
+
+def test_stream_sessions(spark, tmp_path):
+    schema = "k int, seen timestamp"
+    at_minute = lambda m: dt.datetime(2024, 1, 1, 12, m)
+    spark.createDataFrame([(1, at_minute(0)), (1, at_minute(4)), (1, at_minute(20)), (2, at_minute(5))], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = streams.sessions(streams.source(spark, str(tmp_path / "in"), schema), "seen", "5 minutes", [F.count("*").alias("n")], by=("k",)).select("k", "n")
+    assert collected(spark, out, "sessions", "complete") == [(1, 1), (1, 2), (2, 1)]

@@ -6,14 +6,29 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.versioned import VersionedTable, best_per_key, diff, merge_known
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and the file system that it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _path(spark, path)
+    return files.exists(at)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; one a batch, hence few."""
+    at, files = _path(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+
+
 @dataclass(frozen=True)
 class WriteResult:
     """Keys of a batch by what became of them; a run without changes need not be published."""
@@ -37,20 +52,29 @@ class VersionStore:
     version: str = "scraped_at"
 
     def read(self) -> DataFrame | None:
-        """All versions, older batches' missing columns null; None before the first."""
-        try:
-            return self.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(self.path)
-        except (AnalysisException, Py4JJavaError):
+        """All versions, older batches' missing columns null; None before the first.  A store that can't be read is an error."""
+        if not any(n.startswith("batch-") for n in _names(self.spark, self.path)):
             return None
+        return self.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(self.path)
 
     def latest(self) -> DataFrame | None:
         all_rows = self.read()
         return None if all_rows is None else VersionedTable(all_rows, self.keys, self.version).latest("one", [F.xxhash64(*[c for c in all_rows.columns if c != self.version])])
 
-    def _write(self, rows: DataFrame, version: Column) -> None:
-        rows.withColumn(self.version, version).write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+    def _write(self, rows: DataFrame, version: Column, name: str | None = None) -> None:
+        rows.withColumn(self.version, version).write.parquet(f"{self.path}/{name or f'batch-{uuid.uuid4().hex}'}")
+
+    def _show(self, batch: str, to: str) -> None:
+        """Renames a staged batch, which readers don't see, to one that they do."""
+        at, files = _path(self.spark, f"{self.path}/{batch}")
+        if not files.rename(at, _path(self.spark, f"{self.path}/{to}")[0]):
+            raise OSError(f"{batch} can't be renamed")
+
+    def _forget(self, batch: str) -> None:
+        at, files = _path(self.spark, f"{self.path}/{batch}")
+        files.delete(at, True)
 
-    def append_changed(self, incoming: DataFrame, version: Column, compare: Sequence[str] | None = None, normalize: Callable[[Column], Column] | None = None) -> WriteResult:
+    def append_changed(self, incoming: DataFrame, version: Column, compare: Sequence[str] | None = None, normalize: Callable[[Column], Column] | None = None, batch: str | None = None) -> WriteResult:
         """Appends keys that are new or differ in ``compare`` (all other columns by default); nulls are equal.
 
         ``normalize`` is applied to text before it is compared.  Columns new to the store are added.
@@ -75,7 +99,7 @@ class VersionStore:
         try:
             n = {r["status"]: r["count"] for r in marked.groupBy("status").count().collect()}  # three rows at most
             if n.get("new") or n.get("revised"):
-                self._write(marked.where("status <> 'unchanged'").drop("status"), version)
+                self._write(marked.where("status <> 'unchanged'").drop("status"), version, batch)
         finally:
             marked.unpersist()
         return WriteResult(n.get("new", 0), n.get("revised", 0), n.get("unchanged", 0))
@@ -104,16 +128,32 @@ class VersionStore:
         return WriteResult(kept - known, known, (total - kept) if old is not None else 0)
 
     def append_with_children(self, parents: DataFrame, children: DataFrame, child_store: VersionStore, version: Column, compare: Sequence[str]) -> WriteResult:
-        """Appends changed parents and, with the same version, their children."""
-        old = self.latest()
+        """Appends changed parents and, with the same version, their children, in batches of the same name.
+
+        Both are staged out of readers' sight; the children's batch is shown first, then the parents'.  Batches that a
+        run left behind when it failed in between are removed before: children's without the parents' of that name.
+        Both stores are for this use only.
+        """
+        shown = {n for n in _names(self.spark, self.path) if n.startswith("batch-pair-")}
+        for store, names in ((child_store, _names(self.spark, child_store.path)), (self, _names(self.spark, self.path))):
+            for n in names:
+                if n.startswith("_staged-") or n.startswith("batch-pair-") and n not in shown:
+                    store._forget(n)
+        old, name = self.latest(), uuid.uuid4().hex
         changed = parents if old is None else diff(old.drop(self.version), parents, self.keys, list(compare)).where("status <> 'unchanged'").drop("status")
         keys = changed.select(*self.keys).persist()
         try:
             keys.count()
             rows = children.join(keys, list(self.keys), "left_semi")
-            if not rows.isEmpty():
-                child_store._write(rows, version)
-            return self.append_changed(parents, version, compare)
+            with_children = not rows.isEmpty()
+            if with_children:
+                child_store._write(rows, version, f"_staged-{name}")
+            done = self.append_changed(parents, version, compare, batch=f"_staged-{name}")
+            if with_children:
+                child_store._show(f"_staged-{name}", f"batch-pair-{name}")
+            if done.changed:
+                self._show(f"_staged-{name}", f"batch-pair-{name}")
+            return done
         finally:
             keys.unpersist()
 
@@ -124,21 +164,36 @@ class VersionStore:
 
 
 def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], partition: str | None = None) -> None:
-    """Rows replaced by key, the last write winning; only partitions that the batch touches are rewritten."""
-    try:
-        stored = spark.read.parquet(path)
-    except (AnalysisException, Py4JJavaError):
-        stored = None
+    """Rows replaced by key, the last write winning; only partitions that lose or get rows are rewritten.
+
+    A key whose partition changes leaves its old one.  The staged copy goes when its rows are in place.
+    """
     rows = incoming.withColumn("_new", F.lit(1))
-    if stored is not None:
+    emptied: list = []
+    if exists(spark, path):
+        stored = spark.read.parquet(path)
         if partition:
-            stored = stored.join(F.broadcast(incoming.select(partition).distinct()), partition, "left_semi")
+            own = incoming.select(*keys).distinct()
+            left = stored.join(own, list(keys), "left_semi").select(partition)
+            touched = incoming.select(partition).unionByName(left).distinct().persist()
+            before = {r[0] for r in left.distinct().collect()}  # one value a partition folder
+            stored = stored.join(touched, partition, "left_semi")
+            emptied = sorted(before, key=str)
         rows = rows.unionByName(stored.withColumn("_new", F.lit(0)), allowMissingColumns=True)
     rows = best_per_key(rows, keys, [F.col("_new").desc(), F.xxhash64("*")]).drop("_new")
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"  # the input is among what is replaced
     rows.write.parquet(staged)
-    writer = spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    written = spark.read.parquet(staged)
+    if partition and emptied:
+        full = {r[0] for r in written.select(partition).distinct().collect()}
+        for value in emptied:
+            if value not in full:  # all its rows moved away; overwriting wouldn't touch it
+                at, files = _path(spark, f"{path.rstrip('/')}/{partition}={value}")
+                files.delete(at, True)
+    writer = written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
+    at, files = _path(spark, staged)
+    files.delete(at, True)
 
 
 def correction_hour(fetched_hour: Column) -> Column:
@@ -146,6 +201,16 @@ def correction_hour(fetched_hour: Column) -> Column:
     return fetched_hour + 24
 
 
+def corrections(stored: DataFrame, fetched: DataFrame, day: str, hour: str, values: Sequence[str]) -> DataFrame:
+    """Rows to append for days corrected later: those of ``fetched`` (hours of the clock, one row a day) that say something new.
+
+    A day is compared with its last stored row from hour 24 on, nulls being equal; days without one are new.
+    """
+    last = stored.where(F.col(hour) >= 24).groupBy(day).agg(F.max_by(F.struct(*values), hour).alias("_last"))
+    changed = F.col("_last").isNull() | ~F.struct(*values).eqNullSafe(F.col("_last"))
+    return fetched.join(last, day, "left").where(changed).withColumn(hour, correction_hour(F.col(hour))).select(fetched.columns)
+
+
 def replace_lookup(df: DataFrame, path: str) -> None:
     """A small table replaced as a whole."""
     df.coalesce(1).write.mode("overwrite").parquet(path)
