@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def as_date(text: str | None, default: dt.date) -> dt.date:
@@ -61,12 +62,15 @@ def spine(spark: SparkSession, start: dt.date, end: dt.date, name: str = "date")
     return spark.range(1).select(F.explode(days).alias(name))
 
 
-def fill_days(df: DataFrame, day: str, start: dt.date, end: dt.date, keep: Column | None = None) -> DataFrame:
+def fill_days(df: DataFrame, day: str, start: dt.date, end: dt.date, keep: Column | None = None, order: Sequence[Column] = ()) -> DataFrame:
     """Every day of the range, with nulls where ``df`` has no row; ``keep`` (on the day) filters added days only.
 
-    ``df`` has one row a day at most; the spine is small and broadcast.
+    Of several rows for a day the last by ``order`` stays; without an order ``df`` has one row a day.
     """
     days = spine(df.sparkSession, start, end, day)
+    if order:
+        rank = F.row_number().over(Window.partitionBy(day).orderBy(*[c.desc() for c in order]))
+        df = df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     known = df.withColumn("_real", F.lit(True))
     out = days.join(known, day, "left")
     if keep is not None:

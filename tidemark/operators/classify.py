@@ -25,7 +25,7 @@ def classify(name: Column, classes: Sequence[tuple[str, Sequence[str], str]], de
 def canonical_spelling(df: DataFrame, name: str, known: DataFrame, spelling: str) -> DataFrame:
     """``name`` as ``known`` spells it, whatever its case; ``known`` is a short list."""
     table = known.select(F.lower(spelling).alias("_fold"), F.col(spelling).alias("_spelt")).groupBy("_fold").agg(F.min("_spelt").alias("_spelt"))
-    out = df.join(F.broadcast(table), F.lower(F.trim(F.col(name))) == F.col("_fold"), "left")
+    out = df.join(table, F.lower(F.trim(F.col(name))) == F.col("_fold"), "left")
     return out.withColumn(name, F.coalesce("_spelt", name)).drop("_fold", "_spelt")
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.calendar import spine
 
 
+#: The longest list of totals that is sent to every task.
+MOST_TOTALS = 100_000
+
+
 class GuardError(ValueError):
     """A batch that must not be written."""
 
@@ -76,7 +80,9 @@ def gap_days(df: DataFrame, day: str, start: dt.date, end: dt.date, audited: Dat
 
 
 def unmatched_within(values: DataFrame, totals: DataFrame, value: str, total: str, least: float = 10.0, part: float = 0.1) -> DataFrame:
-    """Values that match no total within ``max(least, part of the greater)``; both are short lists of names."""
+    """Values that match no total within ``max(least, part of the greater)``; totals are a short list of names, at most MOST_TOTALS."""
+    if totals.limit(MOST_TOTALS + 1).count() > MOST_TOTALS:
+        raise GuardError(f"more than {MOST_TOTALS} totals; such a list isn't broadcast")
     near = F.abs(F.col(value) - F.col(total)) <= F.greatest(F.lit(least), part * F.greatest(F.col(value), F.col(total)))
     return values.join(F.broadcast(totals.select(total)), near, "left_anti")
 
@@ -89,3 +95,19 @@ def plausible(count: Column, most: int = 5000) -> Column:
 def consistent_total(total: Column, parts: Column, fallback: Column) -> Column:
     """The total, unless a part exceeds it: then the fallback if that is no less than the part, else null."""
     return F.when(total >= parts, total).otherwise(F.when(fallback >= parts, fallback))
+
+
+def within(value: Column, low: float, high: float) -> Column:
+    """The value, null outside of ``low`` to ``high``."""
+    return F.when(value.between(low, high), value)
+
+
+def sane_report(total: Column, parts: Column, fallback: Column, *, places: tuple[int, int] = (5, 20), counts: tuple[int, int] = (0, 500)) -> Column:
+    """(total, plausible): the total as ``consistent_total`` has it against the greatest of ``parts``, an array with a count a place.
+
+    Plausible are reports with 5 to 20 places whose counts and total lie between 0 and 500; null counts say nothing.
+    """
+    good = consistent_total(total, F.coalesce(F.array_max(parts), F.lit(0)), fallback)
+    known = F.filter(parts, lambda p: p.isNotNull())
+    fits = F.size(parts).between(*places) & F.forall(known, lambda p: p.between(*counts)) & F.coalesce(good.between(*counts), F.lit(True))
+    return F.struct(good.alias("total"), fits.alias("plausible"))

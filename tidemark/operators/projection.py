@@ -37,6 +37,17 @@ def month_projection(total: Column, month: Column, as_of: dt.date) -> Column:
     return F.when(month == F.lit(f"{as_of:%Y-%m}"), round_half_up(total * days / as_of.day))
 
 
+#: Rows of a table without a key that are taken as one series, in one task.
+ONE_SERIES = 1_000_000
+
+
+def _series(df: DataFrame, by: Sequence[str]):
+    """The window of each series; a table without a key must be short enough for one task."""
+    if not by and df.limit(ONE_SERIES + 1).count() > ONE_SERIES:
+        raise ValueError(f"more than {ONE_SERIES} rows: name the key whose values are the series")
+    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
+
 def row_index(order: Sequence[str]) -> Column:
     return F.row_number().over(Window.orderBy(*order)) - 1
 
@@ -46,7 +57,7 @@ def trend(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> Data
 
     Fewer than two values give the values themselves.  Series are daily, so a key's rows are few.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = _series(df, by)
     df = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1)
     line = F.regr_slope(F.col(value), F.col("_i")).over(w) * F.col("_i") + F.regr_intercept(F.col(value), F.col("_i")).over(w)
     fitted = F.greatest(F.lit(0), round_half_up(F.round(line, 6)))
@@ -55,7 +66,7 @@ def trend(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> Data
 
 def running_total(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``running``: nulls inside keep the total, leading ones give 0, trailing ones stay null."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = _series(df, by)
     last = F.max(F.when(F.col(value).isNotNull(), F.col(order))).over(w)
     total = F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("running", F.when(F.col(order) <= last, F.coalesce(total, F.lit(0))))
@@ -63,7 +74,7 @@ def running_total(df: DataFrame, order: str, value: str, by: Sequence[str] = ())
 
 def normalized(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``normalized``: parts of the series' greatest value; null where that is 0."""
-    top = F.max(value).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    top = F.max(value).over(_series(df, by))
     return df.withColumn("normalized", F.when(top != 0, F.col(value) / top))
 
 
@@ -74,5 +85,5 @@ def increments(df: DataFrame, order: str, value: str, by: Sequence[str]) -> Data
 
 def tail_flag(df: DataFrame, order: str, rows: int, by: Sequence[str] = (), name: str = "provisional") -> DataFrame:
     """Marks the last ``rows`` rows of each series."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = _series(df, by)
     return df.withColumn(name, F.row_number().over(w.orderBy(F.col(order).desc())) <= rows)

@@ -43,3 +43,9 @@ def pivot_all(df: DataFrame, keys: Sequence[str], category: str, names: Sequence
 def grouped_columns(df: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
     """Adds a column per group: the sum of its columns, nulls as 0."""
     return df.withColumns({g: sum((F.coalesce(F.col(c), F.lit(0)) for c in cols), F.lit(0)) for g, cols in groups.items()})
+
+
+def rolled_up(df: DataFrame, by: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Aggregates for ``by``, for each of its beginnings, and over all; ``level`` counts the columns that hold, the others are null."""
+    level = sum((1 - F.grouping(c).cast("int") for c in by), F.lit(0))
+    return df.rollup(*by).agg(*aggs, level.alias("level"))

@@ -108,6 +108,10 @@ def with_parent_version(child: DataFrame, parent_latest: DataFrame, keys: Sequen
 
 
 def signature(df: DataFrame, keys: Sequence[str], cells: Sequence[str], name: str = "signature") -> DataFrame:
-    """Per key the sorted set of child cells, as one string whose equality is the set's."""
-    cell = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cells])
+    """Per key the sorted child cells, as one string whose equality is theirs.
+
+    Separators inside values are escaped, and null is an escape that no value gives, so different cells never read alike.
+    """
+    value = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"([\\|;])", r"\\$1"), F.lit("\\N"))
+    cell = F.concat_ws("|", *[value(c) for c in cells])
     return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(cell)), ";").alias(name))

@@ -70,7 +70,7 @@ def taxonomy_tolerance(t: Tables) -> DataFrame:
 def unmapped_names(t: Tables) -> DataFrame:
     df = t.part.select("p_brand", F.create_map("p_type", F.lit(1)).alias("m"))
     keys = g.unmapped_keys(df, "m", ["ECONOMY", "SMALL", "MEDIUM"]).withColumnRenamed("key", "p_type")
-    return t.part.select("p_type", "p_brand").distinct().join(F.broadcast(keys), "p_type")
+    return t.part.select("p_type", "p_brand").distinct().join(keys, "p_type")
 
 
 @query("SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_orderstatus = 'P' INTERSECT SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")

@@ -231,8 +231,8 @@ NOTES = "SELECT CAST(ts AS DATE) AS date, string_agg(CAST(event_id AS VARCHAR) |
 
 @query(NOTES)
 def overlap_notes_listagg(t: Tables) -> DataFrame:
-    t.readings.where("value > 40").createOrReplaceTempView("tm_notes")
-    return t.spark.sql("SELECT date, listagg(CAST(event_id AS STRING) || ':' || event_type, ', ') WITHIN GROUP (ORDER BY event_id) AS notes FROM tm_notes GROUP BY date")
+    note = F.struct("event_id", F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("event_type")).alias("note"))
+    return t.readings.where("value > 40").groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["note"]), ", ").alias("notes"))
 
 
 OVERLAP = (
@@ -537,3 +537,9 @@ def json_props_flatten(t: Tables) -> DataFrame:
 def data_window(t: Tables) -> DataFrame:
     out = stats.data_window(t.readings, "date", F.col("ts"))
     return out.withColumn("newest", F.date_format("newest", "yyyy-MM-dd HH:mm"))
+
+
+@query("SELECT p_brand, p_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(p_size) AS BIGINT) AS total, CAST(2 - GROUPING(p_brand) - GROUPING(p_type) AS BIGINT) AS level FROM part GROUP BY ROLLUP (p_brand, p_type)")
+def rolled_up(t: Tables) -> DataFrame:
+    out = stats.rolled_up(t.part, ["p_brand", "p_type"], [F.count("*").alias("n"), F.sum("p_size").cast("long").alias("total")])
+    return out.withColumn("level", long("level"))
