@@ -76,12 +76,14 @@ def _sample(k: int) -> tuple[Column, Column]:
     one, two = (F.xxhash64(F.lit(2 * k + j), F.col("draw")) for j in range(2))
     uv = _unit(one, 0, 32) * _unit(one, 32, 32)
     p, q, b = _unit(two, 0, 21), _unit(two, 21, 21), _unit(two, 42, 22)
-    # -ln x <= 8 (x ** -1/8 - 1) bounds r from above, hence exp(-r (1 - b)) >= (1 - s / 8) ** 8; and -ln(p q) >= 2 - p - q
+    # c >= 2 - p - q.  For weight 1 exp of the race value is c (u v) ** (1 - b), hence at least c u v; and nearer, as
+    # -ln x <= 8 (x ** -1/8 - 1) bounds r from above, at least c (1 - s) ** 8
+    least = 2.0 - p - q
     s = (1.0 / F.sqrt(F.sqrt(F.sqrt(uv))) - 1.0) * (1.0 - b)
     near = 1.0 - s
     square = near * near
     fourth = square * square
-    runs = (F.col("wa") > 1) | (F.col("wb") > 1) | (s >= 1.0) | ((2.0 - p - q) * fourth * fourth < F.col("bound"))
+    runs = (F.col("wa") > 1) | (F.col("wb") > 1) | ((least * uv < F.col("bound")) & ((s >= 1.0) | (least * fourth * fourth < F.col("bound"))))
     r, c = -F.log(uv), -F.log(p * q)
 
     def race(weight: str) -> Column:
@@ -100,7 +102,7 @@ def fingerprint_pairs(df: DataFrame, keys: list[str], a: str, b: str, samples: i
     ``samples`` is a multiple of BLOCK.
     """
     cells = let(F.struct(shingles(F.col(a)).alias("a"), shingles(F.col(b)).alias("b")), lambda g: F.struct(F.size(g["a"]).alias("na"), F.size(g["b"]).alias("nb"), both_terms(g["a"], g["b"]).alias("terms")))
-    rows = df.select(*keys, cells.alias("c")).select(*keys, (MARGIN / F.least(F.when(F.col("c.na") > 0, F.col("c.na")), F.when(F.col("c.nb") > 0, F.col("c.nb")))).alias("bound"), F.explode("c.terms").alias("t"))
+    rows = df.select(*keys, cells.alias("c")).select(*keys, (MARGIN / F.least(F.when(F.col("c.na") > 0, F.col("c.na")), F.when(F.col("c.nb") > 0, F.col("c.nb")))).alias("bound"), F.explode_outer("c.terms").alias("t"))
     rows = rows.select(*keys, "bound", "t.term", "t.wa", "t.wb", F.explode(F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))).alias("block"))
     rows = rows.withColumn("draw", F.xxhash64("block", "term"))
     races = {f"{side}{k}": F.min(race) for k in range(BLOCK) for side, race in zip("ab", _sample(k), strict=True)}
@@ -139,14 +141,12 @@ def next_ids(ids: DataFrame, rows: int = 20_000) -> DataFrame:
     return near.join(tops, "cell").select("id", F.coalesce("next", "below").alias("next"))
 
 
-def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """Per document: fingerprints of the text and of its edited form, and how alike they and the next document's are.
+def edited_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_chars, text, edited) of each document, dealt by its id; and (doc_id, next), the document whose beginning it takes.
 
     The edited form replaces the last third (code points, rounded down) by as many first ones of the next document in
     descending id order.  Null texts count as empty; rows without an id are left out; of rows that share an id the
-    one with the greatest text counts.  Texts of any length: a text's terms are one array, and sampled row by row.
-    Other columns are ignored; an empty table gives no rows; a single document is its own next.  Columns: doc_id,
-    n_chars, edited, print, edited_print, next_print (arrays, null without words).
+    one with the greatest text counts.  A single document is its own next.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text.alias("text"))
@@ -157,10 +157,24 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     order = cut(next_ids(ids.select("id")))
     need = order.join(ids.select("id", "n"), "id").select(F.col("next").alias("id"), F.col("id").alias("of"), F.floor(F.col("n") / 3).cast("int").alias("k"))
     head = base.join(need, "id").select(F.col("of").alias("id"), F.expr("substring(text, 1, k)").alias("head"), "k")
-    edited = base.join(head, "id").select("id", "text", F.concat(F.expr("substring(text, 1, length(text) - k)"), "head").alias("edited"))
-    # the texts end here: what follows carries prints, lengths and digests only
-    prints = cut(fingerprint_pairs(edited, ["id"], "text", "edited", samples))
-    following = order.join(prints.select(F.col("id").alias("next"), F.col("print_a").alias("next_print")), "next", "left").drop("next")
-    # all by id, and both uses of ``edited`` read the same exchanges: the texts move no more
-    out = edited.select("id", F.length("text").cast("long").alias("n_chars"), "edited").join(following, "id").join(prints, "id", "left")
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited", F.col("print_a").alias("print"), F.col("print_b").alias("edited_print"), "next_print")
+    edited = F.concat(F.expr("substring(text, 1, length(text) - k)"), "head")
+    return base.join(head, "id").select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited")), order.withColumnRenamed("id", "doc_id")
+
+
+def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Per document: doc_id, what ``keep`` makes of it, and ``print``, ``edited_print`` and ``next_print`` (arrays, null without words).
+
+    ``keep`` names short columns over doc_id, n_chars, text and edited (see ``edited_documents``), such as digests;
+    they are carried through the sampling, so that texts move once.  Without it n_chars and the edited text come back,
+    joined to the prints.  Texts of any length: a text's terms are one array, and sampled row by row.  Other columns
+    are ignored; an empty table gives no rows.
+    """
+    edited, order = edited_documents(docs, id_col=id_col, text_col=text_col)
+    keys = ["doc_id", *(keep or ())]
+    rows = edited.select("doc_id", *[v.alias(c) for c, v in (keep or {}).items()], F.col("text").alias("_a"), F.col("edited").alias("_b"))
+    prints = cut(fingerprint_pairs(rows, keys, "_a", "_b", samples))
+    following = order.join(prints.select(F.col("doc_id").alias("next"), F.col("print_a").alias("next_print")), "next", "left").drop("next")
+    out = prints.join(following, "doc_id")
+    if keep is None:
+        out, keys = out.join(edited.select("doc_id", "n_chars", "edited"), "doc_id"), ["doc_id", "n_chars", "edited"]
+    return out.select(*keys, F.col("print_a").alias("print"), F.col("print_b").alias("edited_print"), "next_print")

@@ -63,10 +63,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fingerprint_documents(table(spark, sf_dir, "documents"))
+    keep = {"n_chars": F.col("n_chars"), "edited_sha256": F.sha2(F.col("edited").cast("binary"), 256)}
+    out = fingerprint_documents(table(spark, sf_dir, "documents"), keep=keep)
     return out.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )
 
