@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import cut, let
 
-SAMPLES = 64
+SAMPLES = 48
 WORDS = 5
 MARGIN = 25.0
 #: Race values are kept in steps of 2 ** -20, in front of 16 bits that name the winner.
