@@ -280,7 +280,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     counts = ["toxic", "clean", "toxic_times", "clean_times"]
     sums = train.mapInPandas(counted, "entry string, toxic long, clean long, toxic_times long, clean_times long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in counts])
     sums = cut(sums.where("entry = '' or toxic >= 5"), f"{kept}-entries")  # with fewer, the evidence below can't be reached
-    all_ = sums.where("entry = ''").first()
+    all_ = sums.groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("entry") == "", F.col(c))), F.lit(0)).alias(c) for c in counts]).first()
+    if not all_["toxic"] or not all_["clean"]:  # labels of other documents only, or of one kind
+        return seeds, [-4.0, 2.0, 1.0]
     toxic, clean = all_["toxic"], all_["clean"]
     a, b = F.col("toxic"), F.col("clean")
     expected = (a + b) * toxic / (toxic + clean)
