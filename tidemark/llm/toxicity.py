@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -38,6 +39,7 @@ _FOLD = {ord(k): ord(v) for k, v in LOOKALIKES.items()}
 #: Letters of other shapes, by the standard's own compatibility forms: mathematical, full-width and circled ones.
 _FOLD |= {c: ord(unicodedata.normalize("NFKC", chr(c)).lower()) for block in (range(0x1D400, 0x1D800), range(0xFF21, 0xFF5B), range(0x24B6, 0x24EA)) for c in block if len(unicodedata.normalize("NFKC", chr(c)).lower()) == 1}
 _BEYOND_ASCII = {k: v for k, v in _FOLD.items() if k > 127}
+_ALIKE = frozenset(x for c in _BEYOND_ASCII for x in (chr(c), chr(c).upper()))
 #: Combining marks, and characters that are not seen.
 _UNSEEN = re.compile("[\u0300-\u036f\u00ad\u180e\u200b-\u200f\u2060-\u2064\ufeff]")
 _ACCENTED = re.compile(r"[^\W\d_]*[\u00c0-\u024f][^\W\d_]*")
@@ -62,6 +64,12 @@ END = "$"
 STRETCH, PEAK = 300, 20.0
 
 
+@lru_cache(1 << 16)
+def _bare(word: str) -> str:
+    """A word's letters without accents, one for one."""
+    return "".join(unicodedata.normalize("NFD", c)[0] for c in word)
+
+
 def squeezed(text: str) -> tuple[str, list[int] | None]:
     """``text`` with marks joined to their letters and without unseen characters, and each character's place (None: as they are)."""
     if text.isascii() or not _UNSEEN.search(text):
@@ -78,12 +86,13 @@ def squeezed(text: str) -> tuple[str, list[int] | None]:
 
 def fold(text: str) -> str:
     """``text`` in lower case with look-alikes as Latin letters, code point for code point."""
-    if not text.isascii():
+    alike = not text.isascii() and not _ALIKE.isdisjoint(text)
+    if alike:
         text = text.translate(_BEYOND_ASCII)
     low = text.lower()
     if len(low) != len(text):  # some capitals have two small letters
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not low.isascii():
+    if alike:
         low = low.translate(_BEYOND_ASCII)
     return _SWAPPED.sub(lambda m: m.group().translate(_FOLD), low)
 
@@ -178,7 +187,7 @@ class Lexicon:
         """``folded`` with words whose letters without accents make a word of the lexicon in that form."""
         if folded.isascii():
             return folded
-        return _ACCENTED.sub(lambda m: bare if (bare := "".join(unicodedata.normalize("NFD", c)[0] for c in m.group())) in self.words else m.group(), folded)
+        return _ACCENTED.sub(lambda m: bare if (bare := _bare(m.group())) in self.words else m.group(), folded)
 
     def hits(self, folded: str) -> list[tuple[int, int, float]]:
         """(start, end, weight) of the matches that count, the longest at each start, in order."""
