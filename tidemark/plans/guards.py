@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import attribution as a
 from tidemark.operators import calendar as c
 from tidemark.operators import guards as g
-from tidemark.plans.registry import AS_OF, Tables, dec, long, query, total
+from tidemark.plans.registry import Tables, dec, long, query, total
 
 
 @query("SELECT event_type, count(*) AS n, count(*) >= 300 AS enough FROM events GROUP BY 1")
@@ -45,14 +45,15 @@ def guard_mismatch(t: Tables) -> DataFrame:
     return out.withColumn("children", F.col("children").cast("double"))
 
 
-BUSY = "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE event_type = 'error' AND value > 220"
+BUSY = "SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE event_type = 'error'"
 
 
-@query(f"SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-29', INTERVAL 1 DAY)) AS d) WHERE d NOT IN (SELECT date FROM ({BUSY})) AND day(d) % 10 <> 5")
+@query(f"SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '2023-12-20', DATE '2024-02-10', INTERVAL 1 DAY)) AS d) WHERE d NOT IN (SELECT date FROM ({BUSY})) AND day(d) % 10 <> 5")
 def gap_days(t: Tables) -> DataFrame:
-    busy = t.readings.where((F.col("event_type") == "error") & (F.col("value") > 220))
-    audited = c.spine(t.spark, dt.date(2024, 1, 1), AS_OF).where(F.dayofmonth("date") % 10 == 5)
-    return g.gap_days(busy, "date", dt.date(2024, 1, 1), AS_OF - dt.timedelta(days=1), audited)
+    # the range begins before the first error and ends after the last one
+    first, last = dt.date(2023, 12, 20), dt.date(2024, 2, 10)
+    audited = c.spine(t.spark, first, last).where(F.dayofmonth("date") % 10 == 5)
+    return g.gap_days(t.readings.where("event_type = 'error'"), "date", first, last, audited)
 
 
 @query(
@@ -79,9 +80,9 @@ def key_intersection(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'P'").select(key).intersect(t.orders.where("o_orderpriority = '1-URGENT'").select(key))
 
 
-@query("SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+@query("SELECT c_custkey AS custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def key_difference(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("custkey")).exceptAll(t.orders.where("o_totalprice > 300000").select("o_custkey").distinct())
+    return t.customer.select(F.col("c_custkey").alias("custkey")).exceptAll(t.orders.where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct())
 
 
 @query("SELECT min(d) AS first_date, max(d) AS last_date FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders UNION ALL SELECT CAST(l_shipdate AS DATE) FROM lineitem)")
@@ -95,10 +96,10 @@ def distinct_dates(t: Tables) -> DataFrame:
     return t.lines.select("date").distinct()
 
 
-@query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000 INTERSECT SELECT strftime(l_shipdate, '%Y-%m') FROM lineitem WHERE l_quantity > 49")
+@query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderpriority = '1-URGENT' INTERSECT SELECT strftime(l_shipdate, '%Y-%m') FROM lineitem WHERE l_returnflag = 'R'")
 def common_months(t: Tables) -> DataFrame:
-    left = t.days.where("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select("month").distinct()
-    right = t.lines.where("l_quantity > 49").select(c.month_of(F.col("date")).alias("month"))
+    left = t.days.where("o_orderpriority = '1-URGENT'").select("month").distinct()
+    right = t.lines.where("l_returnflag = 'R'").select(c.month_of(F.col("date")).alias("month"))
     return left.join(right, "month", "left_semi")
 
 
@@ -154,31 +155,36 @@ def last_snapshot_join(t: Tables) -> DataFrame:
     return a.last_snapshot(t.readings, ["user_id", "event_type"], "date").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-DAILY = "SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_type = '{0}' AND value > {1} GROUP BY 1"
+HOURLY = "SELECT CAST(ts AS DATE) AS date, CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n FROM events WHERE event_type = '{0}' GROUP BY 1, 2"
 
 
-def daily(t: Tables, kind: str, least: int) -> DataFrame:
-    return t.readings.where((F.col("event_type") == kind) & (F.col("value") > least)).groupBy("date").agg(F.count("*").alias("n"))
+def hourly(t: Tables, kind: str) -> DataFrame:
+    """Hours that hold an event of a kind; on small tables many hold none."""
+    return t.readings.where(F.col("event_type") == kind).groupBy("date", "hour").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT coalesce(a.date, b.date) AS date, a.n AS clicks, b.n AS views FROM ({DAILY.format('click', 200)}) a FULL JOIN ({DAILY.format('view', 210)}) b ON a.date = b.date")
+@query(f"SELECT coalesce(a.date, b.date) AS date, coalesce(a.hour, b.hour) AS hour, a.n AS clicks, b.n AS views FROM ({HOURLY.format('click')}) a FULL JOIN ({HOURLY.format('view')}) b ON a.date = b.date AND a.hour = b.hour")
 def full_outer_series(t: Tables) -> DataFrame:
-    return daily(t, "click", 200).withColumnRenamed("n", "clicks").join(daily(t, "view", 210).withColumnRenamed("n", "views"), "date", "full")
+    return hourly(t, "click").withColumnRenamed("n", "clicks").join(hourly(t, "view").withColumnRenamed("n", "views"), ["date", "hour"], "full")
 
 
-@query(f"SELECT date, max(CASE WHEN k = 'click' THEN n END) AS click, max(CASE WHEN k = 'view' THEN n END) AS view, max(CASE WHEN k = 'error' THEN n END) AS error FROM (SELECT 'click' AS k, * FROM ({DAILY.format('click', 200)}) UNION ALL SELECT 'view', * FROM ({DAILY.format('view', 210)}) UNION ALL SELECT 'error', * FROM ({DAILY.format('error', 190)})) GROUP BY 1")
+@query(f"SELECT date, hour, max(CASE WHEN k = 'click' THEN n END) AS click, max(CASE WHEN k = 'view' THEN n END) AS view, max(CASE WHEN k = 'error' THEN n END) AS error FROM (SELECT 'click' AS k, * FROM ({HOURLY.format('click')}) UNION ALL SELECT 'view', * FROM ({HOURLY.format('view')}) UNION ALL SELECT 'error', * FROM ({HOURLY.format('error')})) GROUP BY 1, 2")
 def point_series_full_outer(t: Tables) -> DataFrame:
-    series = [daily(t, k, p).withColumn("k", F.lit(k)) for k, p in (("click", 200), ("view", 210), ("error", 190))]
-    return series[0].unionByName(series[1]).unionByName(series[2]).groupBy("date").pivot("k", ["click", "view", "error"]).agg(F.max("n"))
+    kinds = ["click", "view", "error"]
+    click, view, error = (hourly(t, k).withColumn("k", F.lit(k)) for k in kinds)
+    return click.unionByName(view).unionByName(error).groupBy("date", "hour").pivot("k", kinds).agg(F.max("n"))
 
 
-SPINE = "SELECT CAST(unnest(generate_series(DATE '2024-01-10', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date"
+SPINE = "SELECT CAST(unnest(generate_series(DATE '2024-01-10', DATE '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS date"
+DAILY = "SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_type = '{0}' GROUP BY 1"
 
 
-@query(f"SELECT s.date, a.n AS left_value, b.n AS right_value FROM ({SPINE}) s LEFT JOIN ({DAILY.format('click', 180)}) a ON a.date = s.date LEFT JOIN ({DAILY.format('view', 195)}) b ON b.date = s.date")
+@query(f"SELECT s.date, a.n AS left_value, b.n AS right_value FROM ({SPINE}) s LEFT JOIN ({DAILY.format('click')}) a ON a.date = s.date LEFT JOIN ({DAILY.format('view')}) b ON b.date = s.date")
 def paired_series(t: Tables) -> DataFrame:
-    left = c.fill_days(daily(t, "click", 180), "date", dt.date(2024, 1, 10), AS_OF).withColumnRenamed("n", "left_value")
-    return left.join(daily(t, "view", 195).withColumnRenamed("n", "right_value"), "date", "left")
+    # the range ends after the last event
+    daily = lambda kind, name: t.readings.where(F.col("event_type") == kind).groupBy("date").agg(F.count("*").alias(name))
+    left = c.fill_days(daily("click", "left_value"), "date", dt.date(2024, 1, 10), dt.date(2024, 2, 5))
+    return left.join(daily("view", "right_value"), "date", "left")
 
 
 @query("SELECT o_orderkey, coalesce(r, 0) AS returned, CASE WHEN k IS NULL THEN o_totalprice ELSE 0 END AS unsplit FROM orders LEFT JOIN (SELECT l_orderkey AS k, count(*) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON k = o_orderkey")
@@ -188,7 +194,8 @@ def left_default_split(t: Tables) -> DataFrame:
     return out.select("o_orderkey", F.coalesce("r", F.lit(0)).alias("returned"), F.when(F.col("r").isNull(), F.col("o_totalprice")).otherwise(0.0).alias("unsplit"))
 
 
-@query(f"SELECT date, n, 'primary' AS source FROM ({DAILY.format('click', 205)}) UNION ALL SELECT date, n, 'supplement' FROM ({DAILY.format('view', 100)}) v WHERE NOT EXISTS (SELECT 1 FROM ({DAILY.format('click', 205)}) p WHERE p.date = v.date)")
+@query(f"SELECT date, hour, n, 'primary' AS source FROM ({HOURLY.format('click')}) UNION ALL SELECT date, hour, n, 'supplement' FROM ({HOURLY.format('view')}) v WHERE NOT EXISTS (SELECT 1 FROM ({HOURLY.format('click')}) p WHERE p.date = v.date AND p.hour = v.hour)")
 def supplement_union(t: Tables) -> DataFrame:
-    first = daily(t, "click", 205).withColumn("source", F.lit("primary"))
-    return first.unionByName(daily(t, "view", 100).join(first.select("date"), "date", "left_anti").withColumn("source", F.lit("supplement")))
+    first = hourly(t, "click").withColumn("source", F.lit("primary"))
+    rest = hourly(t, "view").join(first.select("date", "hour"), ["date", "hour"], "left_anti")
+    return first.unionByName(rest.withColumn("source", F.lit("supplement")))

@@ -70,14 +70,15 @@ def weekday_filter(t: Tables) -> DataFrame:
 STATS = "SELECT event_type, 'v' AS metric, CAST(coalesce(max(v), 0) AS DOUBLE) AS max_value, CAST(coalesce(percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC), 0) AS DOUBLE) AS median_value, round(coalesce(sum(v), 0), 4) AS total_value FROM (SELECT event_type, {} AS v FROM events) GROUP BY 1"
 
 
-@query(STATS.format("CASE WHEN event_id % 7 <> 0 THEN value END"))
+@query(STATS.format("CASE WHEN hour(ts) >= 4 THEN value END"))
 def stat_bundle_skip_null(t: Tables) -> DataFrame:
-    return stats.stat_bundle(t.events.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value"))), ["v"], ["event_type"])
+    # readings before four o'clock are unknown
+    return stats.stat_bundle(t.events.withColumn("v", F.when(F.hour("ts") >= 4, F.col("value"))), ["v"], ["event_type"])
 
 
-@query(STATS.format("CASE WHEN event_id % 7 <> 0 THEN value ELSE 0 END"))
+@query(STATS.format("CASE WHEN hour(ts) >= 4 THEN value ELSE 0 END"))
 def stat_bundle_zero_null(t: Tables) -> DataFrame:
-    return stats.stat_bundle(t.events.withColumn("v", F.when(F.col("event_id") % 7 != 0, F.col("value"))), ["v"], ["event_type"], nulls="zero")
+    return stats.stat_bundle(t.events.withColumn("v", F.when(F.hour("ts") >= 4, F.col("value"))), ["v"], ["event_type"], nulls="zero")
 
 
 CLICKS = "SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1"
@@ -92,17 +93,19 @@ def daily_filled(t: Tables) -> DataFrame:
     return c.fill_days(clicks(t), "date", dt.date(2024, 1, 24), dt.date(2024, 2, 2)).withColumnRenamed("n", "value")
 
 
-PADDED = f"SELECT * FROM ({MONTHLY}) WHERE month < '2001-04' AND month <> '2000-11' UNION ALL SELECT strftime(d, '%Y-%m'), NULL FROM (SELECT unnest(generate_series(DATE '2001-04-01', DATE '2001-07-01', INTERVAL 1 MONTH)) AS d)"
+#: Months are padded up to this day's, after the last order.
+YEAR_END = dt.date(2001, 12, 31)
+PADDED = f"SELECT * FROM ({MONTHLY}) UNION ALL SELECT strftime(d, '%Y-%m'), NULL FROM (SELECT unnest(generate_series((SELECT date_trunc('month', max(o_orderdate)) + INTERVAL 1 MONTH FROM orders), TIMESTAMP '2001-12-01', INTERVAL 1 MONTH)) AS d)"
 
 
 @query(PADDED)
 def trailing_month_pad(t: Tables) -> DataFrame:
-    return c.pad_months(monthly(t).where("month < '2001-04' and month <> '2000-11'"), "month", ORDERS_AS_OF)
+    return c.pad_months(monthly(t), "month", YEAR_END)
 
 
 @query(f"SELECT month FROM ({PADDED})")
 def month_list_extend(t: Tables) -> DataFrame:
-    return c.pad_months(monthly(t).where("month < '2001-04' and month <> '2000-11'").select("month"), "month", ORDERS_AS_OF)
+    return c.pad_months(monthly(t).select("month"), "month", YEAR_END)
 
 
 DAY_BEST = "SELECT CAST(o_orderdate AS DATE) AS d, max(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END) AS v FROM orders GROUP BY 1"
@@ -146,13 +149,13 @@ def eod_projection(t: Tables) -> DataFrame:
     return projection.end_of_day(r, AS_OF).select("metric", "bucket", "partial", F.round("fraction", 6).alias("fraction"), "projected")
 
 
-GAPPY_DAYS = "SELECT CAST(ts AS DATE) d, sum(CASE WHEN day(ts) BETWEEN 5 AND 25 AND day(ts) <> 12 THEN 1 END) v FROM events GROUP BY 1"
+GAPPY_DAYS = "SELECT s.d, x.v FROM (SELECT CAST(unnest(generate_series(DATE '2023-12-28', DATE '2024-02-03', INTERVAL 1 DAY)) AS DATE) AS d) s LEFT JOIN (SELECT CAST(ts AS DATE) AS d, count(*) AS v FROM events GROUP BY 1) x ON x.d = s.d"
 
 
 @query(f"WITH i AS ({GAPPY_DAYS}) SELECT d AS date, CAST(CASE WHEN d > max(CASE WHEN v IS NOT NULL THEN d END) OVER () THEN NULL ELSE coalesce(sum(v) OVER (ORDER BY d),0) END AS BIGINT) AS running FROM i")
 def running_total(t: Tables) -> DataFrame:
-    d = F.dayofmonth("date")
-    days = t.readings.groupBy("date").agg(F.sum(F.when(d.between(5, 25) & (d != 12), 1)).alias("v"))
+    # days before the first reading and after the last one are unknown
+    days = c.fill_days(t.readings.groupBy("date").agg(F.count("*").alias("v")), "date", dt.date(2023, 12, 28), dt.date(2024, 2, 3))
     return projection.running_total(days, "date", "v").select("date", "running")
 
 
@@ -167,10 +170,10 @@ def normalized_series(t: Tables) -> DataFrame:
     return projection.normalized(days, "n", ["event_type"]).select("event_type", "date", F.round("normalized", 6).alias("normalized"))
 
 
-@query("SELECT date, CASE WHEN n > 1 THEN round(log10(n - 1), 6) END AS log_value FROM (SELECT CAST(ts AS DATE) AS date, count(*) FILTER (WHERE value > 40) AS n FROM events GROUP BY 1)")
+@query("SELECT event_type, date, hour, CASE WHEN n > 1 THEN round(log10(n - 1), 6) END AS log_value FROM (SELECT event_type, CAST(ts AS DATE) AS date, CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2, 3)")
 def log_series(t: Tables) -> DataFrame:
-    days = t.readings.groupBy("date").agg(F.count(F.when(F.col("value") > 40, 1)).alias("n"))
-    return days.select("date", F.round(log_or_null((F.col("n") - 1).cast("double")), 6).alias("log_value"))
+    hours = t.readings.groupBy("event_type", "date", "hour").agg(F.count("*").alias("n"))
+    return hours.select("event_type", "date", "hour", F.round(log_or_null((F.col("n") - 1).cast("double")), 6).alias("log_value"))
 
 
 @query("SELECT CAST(pos AS BIGINT) AS pos, coalesce(a, 0) AS d29, coalesce(b, 0) AS d30 FROM (SELECT unnest(range(0, 25)) AS pos) p LEFT JOIN (SELECT hour(ts) + 1 AS h, count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-29') AS a, count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-30') AS b FROM events GROUP BY 1) x ON x.h = p.pos")
@@ -209,10 +212,10 @@ def withheld_breakdown(t: Tables) -> DataFrame:
     return rows.select("month", "category", "launched", (F.col("hidden") > 0).alias("undisclosed"), long(place).alias("place"))
 
 
-@query("SELECT d.date, CASE WHEN x.hidden IS NULL THEN 0 ELSE x.value END AS value, coalesce(x.hidden, 0) AS hidden FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) d LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, round(sum(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END), 4) AS value, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS hidden FROM orders WHERE o_orderpriority = '2-HIGH' AND o_totalprice > 350000 GROUP BY 1) x ON x.date = d.date")
+@query("SELECT d.date, CASE WHEN x.hidden IS NULL THEN 0 ELSE x.value END AS value, coalesce(x.hidden, 0) AS hidden FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders) d LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice AS DECIMAL(18,4)) END) AS DOUBLE) AS value, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS hidden FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY 1) x ON x.date = d.date")
 def dense_model_daily(t: Tables) -> DataFrame:
-    chosen = (F.col("o_orderpriority") == "2-HIGH") & (F.col("o_totalprice") > 350000)
-    return disclosure.dense_daily(t.days, "date", chosen, F.col("o_orderstatus") == "P", F.col("o_totalprice")).withColumn("value", F.round("value", 4))
+    out = disclosure.dense_daily(t.days, "date", F.col("o_orderpriority") == "2-HIGH", F.col("o_orderstatus") == "P", dec("o_totalprice"))
+    return out.withColumn("value", F.col("value").cast("double"))
 
 
 KIND = "CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 18 THEN 'day' WHEN hour(ts) < 22 THEN 'other' END"
@@ -226,13 +229,13 @@ def conditional_split_sums(t: Tables) -> DataFrame:
     return rows.groupBy("date").agg(F.count(F.when(night, 1)).alias("night"), F.count(F.when(~night, 1)).alias("rest"), F.count(F.when(F.col("k").isin("day", "other"), 1)).alias("known_rest"))
 
 
-NOTES = "SELECT CAST(ts AS DATE) AS date, string_agg(CAST(event_id AS VARCHAR) || ':' || event_type, ', ' ORDER BY event_id) AS notes FROM events WHERE value > 40 GROUP BY 1"
+NOTES = "SELECT user_id, CAST(ts AS DATE) AS date, string_agg(CAST(event_id AS VARCHAR) || ':' || event_type, ', ' ORDER BY event_id) AS notes FROM events GROUP BY 1, 2"
 
 
 @query(NOTES)
 def overlap_notes_listagg(t: Tables) -> DataFrame:
     note = F.struct("event_id", F.concat(F.col("event_id").cast("string"), F.lit(":"), F.col("event_type")).alias("note"))
-    return t.readings.where("value > 40").groupBy("date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["note"]), ", ").alias("notes"))
+    return t.readings.groupBy("user_id", "date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["note"]), ", ").alias("notes"))
 
 
 OVERLAP = (
@@ -307,11 +310,11 @@ def week_buckets_anchored(t: Tables) -> DataFrame:
     return folds.bucket_sums(days, "date", F.lit(dt.date(2024, 1, 2)), "n")
 
 
-@query("SELECT strftime(w, '%Y-%m') AS month, CAST(floor(sum(v) + 0.5) AS BIGINT) AS total FROM (SELECT date_trunc('week', o_orderdate) AS w, round(sum(CASE WHEN o_orderstatus = 'F' AND o_totalprice > 499000 THEN o_totalprice END), 4) AS v FROM orders GROUP BY 1) GROUP BY 1")
+@query("SELECT strftime(w, '%Y-%m') AS month, CAST(floor(CAST(sum(v) AS DOUBLE) + 0.5) AS BIGINT) AS total FROM (SELECT date_trunc('week', o_orderdate) AS w, sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,4)) END) AS v FROM orders GROUP BY 1) GROUP BY 1")
 def week_to_month(t: Tables) -> DataFrame:
-    value = F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 499000), F.col("o_totalprice"))
-    weeks = t.days.groupBy(c.monday_week(F.col("date")).alias("w")).agg(F.round(F.sum(value), 4).alias("v"))
-    return weeks.groupBy(c.month_of(F.col("w")).alias("month")).agg(F.sum("v").alias("v")).select("month", round_half_up(F.col("v")).alias("total"))
+    value = F.when(F.col("o_orderstatus") == "F", dec("o_totalprice"))
+    weeks = t.days.groupBy(c.monday_week(F.col("date")).alias("w")).agg(F.sum(value).alias("v"))
+    return weeks.groupBy(c.month_of(F.col("w")).alias("month")).agg(F.sum("v").cast("double").alias("v")).select("month", round_half_up(F.col("v")).alias("total"))
 
 
 PIVOT = "SELECT CAST(ts AS DATE) AS date, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) AS n FROM events GROUP BY 1"
@@ -422,9 +425,9 @@ def literal_filters(t: Tables) -> DataFrame:
     return t.orders.where(wanted).select("o_orderkey")
 
 
-@query("SELECT s.date, coalesce(x.v, 0) AS value FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-26', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date) s LEFT JOIN (SELECT CAST(ts AS DATE) AS date, arg_max(value, event_id) AS v FROM events WHERE event_type = 'signup' AND value > 60 GROUP BY 1) x ON x.date = s.date")
+@query("SELECT s.date, coalesce(x.v, 0) AS value FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-26', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS date) s LEFT JOIN (SELECT CAST(ts AS DATE) AS date, arg_max(value, event_id) AS v FROM events WHERE event_type = 'signup' GROUP BY 1) x ON x.date = s.date")
 def long_category_window(t: Tables) -> DataFrame:
-    rows = t.readings.where("event_type = 'signup' and value > 60").groupBy("date").agg(F.max_by("value", "event_id").alias("value"))
+    rows = t.readings.where("event_type = 'signup'").groupBy("date").agg(F.max_by("value", "event_id").alias("value"))
     return c.fill_days(rows, "date", AS_OF - dt.timedelta(days=4), AS_OF).fillna(0.0, ["value"])
 
 
@@ -434,10 +437,10 @@ def since_until(t: Tables) -> DataFrame:
     return o.select("o_orderkey", F.to_date("o_orderdate").alias("date"))
 
 
-@query("SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
+@query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def single_member_series(t: Tables) -> DataFrame:
-    recent = t.lineitem.where(F.col("l_shipdate") >= F.lit(dt.datetime(2000, 1, 1)))
-    return recent.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("members")).where(F.size("members") == 1).select("l_orderkey")
+    ends = t.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("least"), F.max("l_suppkey").alias("most"))
+    return ends.where("least = most").select("l_orderkey")
 
 
 @query("SELECT o_custkey, round(min(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END), 2) AS low FROM orders GROUP BY 1 ORDER BY low ASC NULLS FIRST, o_custkey")
@@ -452,11 +455,11 @@ def today_last(t: Tables) -> DataFrame:
     return clicks(t).withColumn("place", long(F.row_number().over(w)))
 
 
-@query("SELECT p_brand, CAST(d AS BIGINT) AS place FROM (SELECT p_brand, min(CASE p_type WHEN 'PROMO' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'SMALL' THEN 2 ELSE 3 END) AS d FROM part WHERE p_size > 48 GROUP BY 1)")
+@query("SELECT p_brand, CAST(p_size AS BIGINT) AS p_size, CAST(d AS BIGINT) AS place FROM (SELECT p_brand, p_size, min(CASE p_type WHEN 'PROMO' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'SMALL' THEN 2 ELSE 3 END) AS d FROM part GROUP BY 1, 2)")
 def declared_order(t: Tables) -> DataFrame:
     order = t.spark.range(3).select(F.get(F.array(F.lit("PROMO"), F.lit("LARGE"), F.lit("SMALL")), F.col("id").cast("int")).alias("p_type"), F.col("id").alias("at"))
-    named = t.part.where("p_size > 48").join(F.broadcast(order), "p_type", "left")
-    return named.groupBy("p_brand").agg(F.min(F.coalesce("at", F.lit(3))).alias("place"))
+    named = t.part.withColumn("p_size", long("p_size")).join(F.broadcast(order), "p_type", "left")
+    return named.groupBy("p_brand", "p_size").agg(F.min(F.coalesce("at", F.lit(3))).alias("place"))
 
 
 @query("SELECT event_id, CAST(CASE WHEN CAST(ts AS DATE) > DATE '2024-01-29' THEN 23 ELSE least(23, greatest(0, hour(ts))) END AS BIGINT) AS effective_hour FROM events WHERE ts >= TIMESTAMP '2024-01-29'")
@@ -484,13 +487,13 @@ def subset_rate(t: Tables) -> DataFrame:
     return days.select("date", F.round(share(F.col("r"), F.col("n")), 4).alias("rate"))
 
 
-@query("SELECT month, round(sum(CASE WHEN p = '1' THEN v END), 4) AS urgent, round(sum(CASE WHEN p = '2' THEN v END), 4) AS high, round(coalesce(sum(CASE WHEN p = '1' THEN v END), 0) + coalesce(sum(CASE WHEN p = '2' THEN v END), 0), 4) AS both_sum FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, substr(o_orderpriority, 1, 1) AS p, o_totalprice AS v FROM orders WHERE o_totalprice > 480000) GROUP BY 1 HAVING sum(CASE WHEN p IN ('1', '2') THEN v END) IS NOT NULL")
+@query("SELECT date, CAST(sum(CASE WHEN p = '1' THEN v END) AS DOUBLE) AS urgent, CAST(sum(CASE WHEN p = '2' THEN v END) AS DOUBLE) AS high, CAST(coalesce(sum(CASE WHEN p = '1' THEN v END), 0) + coalesce(sum(CASE WHEN p = '2' THEN v END), 0) AS DOUBLE) AS both_sum FROM (SELECT CAST(o_orderdate AS DATE) AS date, substr(o_orderpriority, 1, 1) AS p, CAST(o_totalprice AS DECIMAL(18,4)) AS v FROM orders) GROUP BY 1 HAVING sum(CASE WHEN p IN ('1', '2') THEN v END) IS NOT NULL")
 def sum_of_known(t: Tables) -> DataFrame:
     p = F.substring("o_orderpriority", 1, 1)
-    of = lambda x: F.sum(F.when(p == x, F.col("o_totalprice")))
-    months = t.days.where("o_totalprice > 480000").groupBy("month").agg(of("1").alias("urgent"), of("2").alias("high"))
-    months = months.withColumn("both_sum", sum_or_null(F.col("urgent"), F.col("high"))).where("both_sum is not null")
-    return months.select("month", *[F.round(x, 4).alias(x) for x in ("urgent", "high", "both_sum")])
+    of = lambda x: F.sum(F.when(p == x, dec("o_totalprice")))
+    days = t.days.groupBy("date").agg(of("1").alias("urgent"), of("2").alias("high"))
+    days = days.withColumn("both_sum", sum_or_null(F.col("urgent"), F.col("high"))).where("both_sum is not null")
+    return days.select("date", *[F.col(x).cast("double").alias(x) for x in ("urgent", "high", "both_sum")])
 
 
 @query("WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS k, count(*) AS v FROM orders WHERE NOT (o_orderpriority = '5-LOW' AND month(o_orderdate) % 2 = 0) GROUP BY 1, 2) SELECT month, k, v, false AS derived FROM m UNION ALL SELECT month, '5-LOW', CAST(sum(v) AS BIGINT), true FROM m WHERE k IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND month NOT IN (SELECT month FROM m WHERE k = '5-LOW') GROUP BY 1")
@@ -516,10 +519,11 @@ def calendar_month_periods(t: Tables) -> DataFrame:
     return periods.where(c.whole_month(F.col("start_d"), F.col("end_d"))).groupBy("start_d", "end_d").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-03' AND CAST(ts AS DATE) < DATE '2024-01-21' AND day(ts) <> 21 GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS date, count(*) AS n FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-03' AND CAST(ts AS DATE) < (SELECT min(CAST(d AS DATE)) FROM (SELECT unnest(generate_series(DATE '2024-01-04', DATE '2024-02-11', INTERVAL 1 DAY)) AS d) WHERE CAST(d AS DATE) NOT IN (SELECT CAST(ts AS DATE) FROM events)) GROUP BY 1")
 def stop_at_first_gap(t: Tables) -> DataFrame:
-    days = t.readings.where(F.dayofmonth("date") != 21).groupBy("date").agg(F.count("*").alias("n"))
-    return c.first_gap(days, "date", dt.date(2024, 1, 3), AS_OF)
+    # the range ends after the last reading, so that there is a gap
+    days = t.readings.groupBy("date").agg(F.count("*").alias("n"))
+    return c.first_gap(days, "date", dt.date(2024, 1, 3), dt.date(2024, 2, 10))
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE ts < TIMESTAMP '2024-01-29')")

@@ -94,9 +94,9 @@ def word_number_parse(t: Tables) -> DataFrame:
     return words.select("word", x.number_word(F.col("word")).alias("value"))
 
 
-@query("SELECT doc_id, CAST(list_sum(list_transform(list_filter(list_transform(string_split(split_part(text, '.', 1), ','), lambda x: trim(x)), lambda x: length(x) > 0), lambda x: coalesce(TRY_CAST(regexp_extract(x, '([0-9]{1,9})', 1) AS BIGINT), 1))) AS BIGINT) AS total FROM documents")
+@query("SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: length(x) > 0), lambda x: coalesce(TRY_CAST(regexp_extract(x, '([0-9]{1,9})', 1) AS BIGINT), 1))), CASE WHEN text IS NOT NULL THEN 0 END) AS BIGINT) AS total FROM documents")
 def list_item_sum(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", x.list_sum(F.substring_index("text", ".", 1)).alias("total"))
+    return t.documents.select("doc_id", x.list_sum(F.col("text")).alias("total"))
 
 
 @query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS name, CAST(p_size AS BIGINT) AS count FROM part")
@@ -119,10 +119,10 @@ def slug_filter_new(t: Tables) -> DataFrame:
     return new_slugs(t.pages, "url", "page_id", SLUG, t.pages.where("url like 'https://m.%'"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS date FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS date FROM orders")
 def date_from_text(t: Tables) -> DataFrame:
     day = F.to_date("o_orderdate")
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("as of "), F.date_format(day, "dd.MM.yyyy"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("on "), F.date_format(day, "d MMMM yyyy"))).otherwise("no day")
+    text = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("as of "), F.date_format(day, "dd.MM.yyyy"))).when(F.col("o_orderstatus") == "O", F.concat(F.lit("on "), F.date_format(day, "d MMMM yyyy"))).otherwise("no day")
     return t.orders.select("o_orderkey", x.date_in(text).alias("date"))
 
 
