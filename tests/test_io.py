@@ -32,6 +32,45 @@ def test_append_only_what_changed(spark, tmp_path):
     assert store.compact(str(tmp_path / "c")).read().count() == 4
 
 
+def test_snapshots_spare_the_history(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "s"), ("k",))
+    assert not store.snapshot()
+    store.append_changed(spark.createDataFrame([(1, 5), (2, None)], "k int, v int"), at(1))
+    store.append_changed(spark.createDataFrame([(1, 6)], "k int, v int"), at(2))
+    assert store.snapshot() and not store.snapshot()
+    files = store.latest().inputFiles()
+    assert files and all("/_latest-" in f for f in files) and rows(store.latest().select("k", "v")) == [(1, 6), (2, None)]
+    assert store.append_changed(spark.createDataFrame([(2, 7, 1), (3, 1, 2)], "k int, v int, more int"), at(3)) == writers.WriteResult(1, 1, 0)
+    before = rows(store.latest().select("k", "more", "v"))
+    assert before == [(1, None, 6), (2, 1, 7), (3, 2, 1)] and store.read().count() == 5
+    assert store.snapshot() and rows(store.latest().select("k", "more", "v")) == before and store.read().count() == 5
+    store.append_changed(spark.createDataFrame([(3, 4, 2)], "k int, v int, more int"), at(4))
+    store.snapshot()
+    assert len(list((tmp_path / "s").glob("_latest-*"))) == 2 and not list((tmp_path / "s").glob("_staged-*"))
+
+
+def test_a_snapshot_of_a_batch_taken_back_is_passed_over(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "s"), ("k",))
+    store.append_changed(spark.createDataFrame([(1, 5)], "k int, v int"), at(1), batch="batch-a")
+    store.append_changed(spark.createDataFrame([(1, 6)], "k int, v int"), at(2), batch="batch-b")
+    store.snapshot()
+    store._forget("batch-b")
+    assert rows(store.latest().select("k", "v")) == [(1, 5)]
+
+
+def test_ties_give_the_same_row_with_and_without_a_snapshot(spark, tmp_path):
+    store = VersionStore(spark, str(tmp_path / "s"), ("k",))
+    for n in range(4):
+        store._write(spark.createDataFrame([(1, n)], "k int, v int"), at(1))
+    found = rows(store.latest().select("k", "v"))
+    store.snapshot()
+    assert rows(store.latest().select("k", "v")) == found
+    store._write(spark.createDataFrame([(None, 9, 2)], "more int, v int, k int"), at(1))
+    with_snapshot = rows(store.latest().select("k", "v"))
+    whole = store.compact(str(tmp_path / "c"))
+    assert rows(whole.latest().where("k = 1").select("k", "v")) == [r for r in with_snapshot if r[0] == 1] == found
+
+
 def test_compare_normalised_text(spark, tmp_path):
     store = VersionStore(spark, str(tmp_path / "s"), ("k",))
     store.append_changed(spark.createDataFrame([(1, "a  b")], "k int, x string"), at(1))
@@ -178,6 +217,8 @@ def test_charts():
     assert metrics.parse_charts(metrics.format_charts([a, b]), cat) == [a, b]
     assert metrics.parse_charts("X:dall:events.click", cat)[0].window == 30
     assert [m.id for m in cat.search("filled ORDERS")] == ["orders.filled"]
+    assert len(cat.metrics) == 31 and cat.find("events.click").views == {"daily", "monthly", "hourly"}
+    assert "hourly" not in cat.find("orders.orders").views and cat.find("lines.returned_quantity").views == {"monthly"}
 
 
 def test_series_of_nothing(spark, data):

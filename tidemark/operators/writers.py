@@ -58,8 +58,39 @@ class VersionStore:
         return self.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(self.path)
 
     def latest(self) -> DataFrame | None:
+        """Each key's newest version: from the newest snapshot and the batches since, else from all batches."""
+        names = _names(self.spark, self.path)
+        batches = {n for n in names if n.startswith("batch-")}
+        for name in sorted((n for n in names if n.startswith("_latest-")), reverse=True):
+            at = f"{self.path}/{name}"
+            covered = {r[0] for r in self.spark.read.parquet(f"{at}/covers").collect()}  # one name a batch
+            if covered <= batches:  # else one of them was taken back
+                paths = [f"{at}/rows", *(f"{self.path}/{n}" for n in sorted(batches - covered))]
+                return self._newest(self.spark.read.option("mergeSchema", "true").parquet(*paths))
         all_rows = self.read()
-        return None if all_rows is None else VersionedTable(all_rows, self.keys, self.version).latest("one", [F.xxhash64(*[c for c in all_rows.columns if c != self.version])])
+        return None if all_rows is None else self._newest(all_rows)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """Ties go by a hash that neither the order of columns nor null ones change, so that snapshots agree with batches."""
+        return VersionedTable(rows, self.keys, self.version).latest("one", [F.xxhash64(*sorted(c for c in rows.columns if c != self.version))])
+
+    def snapshot(self, keep: int = 2) -> bool:
+        """Writes what ``latest`` gives beside the batches, so that later runs read it and newer batches, not the history.
+
+        False if no batch came since the last one.  The ``keep`` newest stay for readers that have begun with them.
+        """
+        names = _names(self.spark, self.path)
+        batches, old = [n for n in names if n.startswith("batch-")], sorted(n for n in names if n.startswith("_latest-"))
+        name = f"_latest-{len(batches):012d}"
+        if not batches or name in old:
+            return False
+        staged = f"_staged-{uuid.uuid4().hex}"
+        self.latest().write.parquet(f"{self.path}/{staged}/rows")
+        self.spark.createDataFrame([(n,) for n in batches], "batch string").coalesce(1).write.parquet(f"{self.path}/{staged}/covers")
+        self._show(staged, name)
+        for gone in [*old, name][:-keep]:
+            self._forget(gone)
+        return True
 
     def _write(self, rows: DataFrame, version: Column, name: str | None = None) -> None:
         rows.withColumn(self.version, version).write.parquet(f"{self.path}/{name or f'batch-{uuid.uuid4().hex}'}")

@@ -19,14 +19,17 @@ def source(spark: SparkSession, path: str, schema: str, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def append_versions(stream: DataFrame, store: VersionStore, checkpoint: str, *, order: str, version: Column | None = None) -> StreamingQuery:
+def append_versions(stream: DataFrame, store: VersionStore, checkpoint: str, *, order: str, version: Column | None = None, snapshot_every: int = 50) -> StreamingQuery:
     """Runs what has arrived through the store's change test; of a batch's rows for a key the last by ``order`` counts.
 
-    A batch that runs again after a failure finds its rows stored and unchanged.
+    A batch that runs again after a failure finds its rows stored and unchanged.  The store is snapshot after every
+    ``snapshot_every`` batches, so that a long stream doesn't read its whole history for each.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, n: int) -> None:
         store.append_changed(best_per_key(batch, store.keys, [F.col(order).desc(), F.xxhash64("*")]), version if version is not None else F.col(order))
+        if (n + 1) % snapshot_every == 0:
+            store.snapshot()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
