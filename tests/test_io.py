@@ -230,11 +230,12 @@ def test_stream_of_versions(spark, tmp_path):
     row = lambda k, v, d: (k, v, dt.datetime(2024, 1, d))
     spark.createDataFrame([row(1, 5, 1), row(1, 6, 2), row(2, 1, 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     store = VersionStore(spark, str(tmp_path / "out"), ("k",), "scraped_at")
-    go = lambda: streams.append_versions(streams.source(spark, str(tmp_path / "in"), schema), store, str(tmp_path / "ck"), order="seen").awaitTermination()
+    go = lambda: streams.append_versions(streams.source(spark, str(tmp_path / "in"), schema), store, str(tmp_path / "ck"), order="seen", snapshot_every=2).awaitTermination()
     go()
     spark.createDataFrame([row(1, 6, 3), row(2, 9, 3)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     go()
     assert rows(store.latest().select("k", "v")) == [(1, 6), (2, 9)]
+    assert [p.name for p in (tmp_path / "out").glob("_latest-*")] == ["_latest-000000000002"]
 
 
 def collected(spark, df, name, mode):
