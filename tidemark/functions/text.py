@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 DROPPED = ("script", "style", "nav", "header", "footer", "svg", "iframe", "noscript")
 #: Named entities as the standard library has them; no-break spaces are read as blanks.
 ENTITIES = {name: " " if code == 0xA0 else chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+#: The entities that are tried first.
+USUAL = ("amp", "lt", "gt", "quot", "nbsp")
 #: Number words of three languages.
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
@@ -21,6 +24,11 @@ NUMBER_WORDS = {
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """White space (no-break spaces too) as single blanks, none at the ends."""
     return F.btrim(F.regexp_replace(text, r"[\s ]+", " "))
@@ -29,23 +37,36 @@ def collapse(text: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Named and numeric entities (``&eacute;``, ``&#233;``, ``&#xE9;``) as characters, once; others stay as they are."""
     named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    usual = lambda name: reduce(lambda c, n: c.when(name == n, ENTITIES[n]), USUAL[1:], F.when(name == USUAL[0], ENTITIES[USUAL[0]]))
 
     def read(piece: Column, i: Column) -> Column:
         name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
         code = F.coalesce(F.regexp_extract(name, r"^#([0-9]+)$", 1).try_cast("long"), F.conv(F.nullif(F.regexp_extract(name, r"^#[xX](.+)$", 1), F.lit("")), 16, 10).cast("long"))
         number = F.when(code == 160, " ").when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        char = F.coalesce(F.try_element_at(named, name), number)
+        char = F.coalesce(usual(name), F.try_element_at(named, name), number)
         return F.when(i == 0, piece).when((name != "") & char.isNotNull(), F.concat(char, F.substr(piece, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), piece))
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&", -1), read), "")).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&", -1), read), "")).otherwise(t))
+
+
+def without(text: Column, start: str, end: str) -> Column:
+    """``text`` with a blank for each stretch from a match of ``start`` to the next one of ``end``; an unclosed start stays.
+
+    Only what stands before the last end is searched, where every start is closed: the search goes over the text once.
+    """
+
+    def searched(t: Column, head: Column) -> Column:
+        return F.concat(F.regexp_replace(head, f"(?is){start}.*?{end}", " "), F.substr(t, F.length(head) + 1))
+
+    return let(text, lambda t: let(F.regexp_extract(t, f"(?is)^.*{end}", 0), lambda head: F.when(head == "", t).otherwise(searched(t, head))))
 
 
 def html_to_text(html: Column) -> Column:
-    """The text of a page without dropped elements, comments and tags."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    """The text of a page without dropped elements, comments and tags, in time that grows in proportion to the page."""
+    text = without(html, "<!--", "-->")
     for name in DROPPED:
-        text = F.regexp_replace(text, rf"(?is)<{name}[ >].*?</{name}>|<{name}>.*?</{name}>", " ")
-    return collapse(unescape(F.regexp_replace(text, r"<[^>]*>", " ")))
+        text = without(text, f"<{name}[ >]", f"</{name}>")
+    return collapse(unescape(without(text, "<", ">")))
 
 
 def strip_markdown(text: Column) -> Column:
