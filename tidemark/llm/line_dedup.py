@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, cut, remove, scratch
+from tidemark.llm.common import ascii_lower, cut, let, remove, scratch
 
 BLANK = " \t\n\x0b\x0c\r"
 KEYS = ["h1", "h2"]
@@ -129,22 +129,27 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     path = scratch(spark, "lines")
     lines.write.partitionBy("batch").parquet(path)
     lines = spark.read.schema("id long, t long, pos int, h1 long, h2 long, batch int").parquet(path)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).groupBy(*KEYS).agg(F.count_distinct("id").alias("n"), F.max("id").alias("owner")))
-    # as a table, so that a join on frequent lines can be split; it grows with the input
-    often = cut(runs.totals().where(F.col("n") >= min_docs).select(*KEYS, "owner"), f"{path}-often")
-    runs.close()
+    try:
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).groupBy(*KEYS).agg(F.count_distinct("id").alias("n"), F.max("id").alias("owner")))
+        # as a table, so that a join on frequent lines can be split; it grows with the input
+        often = cut(runs.totals().where(F.col("n") >= min_docs).select(*KEYS, "owner"), f"{path}-often")
+    finally:
+        runs.close()
     hits = lines.select("id", "t", "pos", *KEYS).join(often.hint("merge"), KEYS).where("id <> owner")
     gone = cut(hits.groupBy("id", "t").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
     remove(spark, path, f"{path}-often")
     rows = rows.join(gone.hint("merge"), ["id", "t"], "left")
     parts, dropped = F.split("text", "\n", -1), F.size("gone")
 
-    def between(k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get("gone", k - 1) + 1)
-        return F.slice(parts, start + 1, F.coalesce(F.get("gone", k), F.size(parts)) - start)
+    def pieces(lines: Column) -> Column:
+        def between(k: Column) -> Column:
+            start = F.when(k == 0, F.lit(0)).otherwise(F.get("gone", k - 1) + 1)
+            return F.slice(lines, start + 1, F.coalesce(F.get("gone", k), F.size(lines)) - start)
 
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), dropped), between)), "\n")
+        return F.flatten(F.transform(F.sequence(F.lit(0), dropped), between))
+
+    kept = F.array_join(let(parts, pieces), "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     counts = {"n_lines": F.size(parts).cast("long"), "n_dropped": F.coalesce(dropped, F.lit(0)).cast("long")}
     own = [(kept if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in counts]
