@@ -23,7 +23,7 @@ RULES = [
 ]
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 #: A tag whose attribute says that its target is an alias.
-ALIAS = r"""(?i)(?<![\w-])(?:rel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)|http-equiv\s*=\s*["']?\s*refresh\b)"""
+ALIAS = r"""(?i)(?<![\w-])(?:rel\s*+=\s*+(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)|http-equiv\s*+=\s*+["']?\s*+refresh\b)"""
 #: Query parameters that don't change what is shown.
 TRACKING = r"[?&](utm_[^=&#]*|ref|fbclid|gclid)(=[^&#]*)?(?=[&#]|$)"
 
@@ -78,18 +78,25 @@ def page_links(html: Column, url: Column) -> Column:
     """Targets of canonical links and refresh redirects as absolute URLs, whatever the order of a tag's attributes.
 
     Relative targets are seen from the page's ``base``, else from its URL; ``&amp;`` in them is ``&``.  They count only where the attribute says
-    canonical or refresh, so that a style sheet ``/canonical.css`` does not join all pages of a site.
+    canonical or refresh, so that a style sheet ``/canonical.css`` does not join all pages of a site.  A tag ends at the
+    next ``>``; one that meets another ``<`` before is none, so that each pattern passes over the html once.
     """
     html = F.coalesce(html, F.lit(""))
-    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*\b(?:canonical|refresh)\b[^>]*>"), F.lit(0))
-    named = F.regexp_extract(html, r"(?i)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'>\s]+)", 1)
 
-    def absolute(tag: Column) -> Column:
-        target = F.regexp_extract(F.regexp_replace(tag, "(?i)&amp;|&#38;|&#x26;", "&"), r"(?i)(?:href\s*=\s*[\"']?|url\s*=\s*['\"]?)([^\"'>\s]+)", 1)
-        seen = let(F.coalesce(resolved(named, url), url), lambda base: let(target, lambda t: resolved(t, base)))
-        return F.when(target.rlike(SCHEME + "//"), target).when(tag.rlike(ALIAS), seen)
+    def tags(names: str, holding: str) -> Column:
+        return F.filter(F.regexp_extract_all(html, F.lit(rf"(?i)<(?:{names})\b[^<>]*+>"), F.lit(0)), lambda tag: tag.rlike(rf"(?i)\b(?:{holding})"))
 
-    return F.filter(F.transform(tags, absolute), lambda t: t.isNotNull())
+    named = F.regexp_extract(F.get(tags("base", r"href\s*="), F.lit(0)), r"(?i)\bhref\s*+=\s*+[\"']?([^\"'>\s]+)", 1)
+
+    def absolute(base: Column, tag: Column) -> Column:
+        target = F.regexp_extract(F.regexp_replace(tag, "(?i)&amp;|&#38;|&#x26;", "&"), r"(?i)(?:href\s*+=\s*+[\"']?|url\s*+=\s*+['\"]?)([^\"'>\s]+)", 1)
+        return let(target, lambda t: F.when(t.rlike(SCHEME + "//"), t).when(tag.rlike(ALIAS), resolved(t, base)))
+
+    def found(seen: Column) -> Column:
+        return F.filter(F.transform(seen["tags"], lambda tag: absolute(seen["base"], tag)), lambda t: t.isNotNull())
+
+    base = let(F.coalesce(named, F.lit("")), lambda b: F.coalesce(resolved(b, url), url))
+    return let(F.struct(tags("link|meta", r"canonical\b|refresh\b").alias("tags"), base.alias("base")), found)
 
 
 def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -97,8 +104,8 @@ def filter_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
 
     Without a fitting rule the verdict is the aliases', pages or mere targets of links: allow if any alias is allowed
     by a rule, else block if any is blocked, else allow.  Null URLs and such without ``://`` have empty host and path, no aliases and are allowed.
-    Repeated rows are kept; other columns are ignored; null html has no links, html of any length is read by patterns
-    that don't go back; an empty table gives no rows.
+    Repeated rows are kept; other columns are ignored; null html has no links; html of any length takes time in
+    proportion, unclosed tags too; an empty table gives no rows.
     """
     host, path = url_parts(F.col(url_col))
     links = page_links(F.col(html_col), F.col(url_col)) if html_col in pages.columns else F.array().cast("array<string>")
