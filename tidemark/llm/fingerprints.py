@@ -123,17 +123,15 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).otherwise(F.coalesce(same / samples, F.lit(0.0)))
 
 
-def next_ids(ids: DataFrame, rows: int = 20_000) -> DataFrame:
+def next_ids(ids: DataFrame) -> DataFrame:
     """``(id, next)`` for unique ids: the next lower id, or for the lowest the highest.
 
-    Ids are ordered within cells of about ``rows`` ids, whose bounds are approximate quantiles, and not in one task.
+    Ids are ordered within the partitions of one sort by range, whose bounds Spark samples and the plan does not hold.
+    They are written once with the number of their partition, so that no later attempt of a task draws other bounds.
     """
-    n = ids.count()
-    if not n:
+    cells = cut(ids.repartitionByRange("id").withColumn("cell", F.spark_partition_id()))
+    if cells.isEmpty():
         return ids.select("id", F.col("id").alias("next"))
-    parts = max(1, n // rows)
-    bounds = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], max(10_000, 10 * parts))).first()[0] if parts > 1 else []
-    cells = ids.withColumn("cell", sum(((F.col("id") > b).cast("int") for b in bounds), F.lit(0)) if parts < 50 else F.size(F.filter(F.lit(bounds), lambda b: b < F.col("id"))))
     tops = cells.groupBy("cell").agg(F.max("id").alias("top"), F.max(F.lit(1)).alias("one"))
     highest = ids.agg(F.max("id")).first()[0]
     tops = tops.select("cell", F.coalesce(F.lag("top").over(Window.partitionBy("one").orderBy("cell")), F.lit(highest)).alias("below"))  # one row a cell
