@@ -3,7 +3,8 @@
 Documents that share a link key are neighbours.  Linked documents start on shards drawn by a hash of their id, which
 knows nothing of keys.  Each round joins the documents with their keys' bytes per shard: a key wants its members on
 the shard that holds most of it, or on as many as it needs if it is larger than a shard; a document follows the keys
-that weigh most, and where more bytes want in than the quota allows, lots decide, one for all members of a small key.
+that weigh most.  The quota bounds a shard's net flow: full shards swap, and small keys that lie on one shard make way as wholes for
+those who gain by coming.  Where more wants in than may, lots decide, one for all members of a small key.
 After the rounds whole keys leave shards above the quota; they and the documents without links fill all shards up.
 """
 
@@ -54,11 +55,66 @@ def lot(*what: Column) -> Column:
     return F.pmod(F.xxhash64(*what), F.lit(LOTS))
 
 
-def wants(votes: DataFrame, shards: int, quota: int, room: list[bool]) -> DataFrame:
-    """Per (key, shard) of ``votes``: bytes ``here``, whether members ``stay``, the ``goals`` of those that don't, ``small``.
+def flows(load: list[int], cap: int, wished: dict[tuple[int, int], int], spare: list[int]) -> tuple[dict, dict]:
+    """How many of each (from, to)'s ``wished`` bytes may move, and how many ``spare`` bytes make way, by (from, to).
+
+    No shard's net flow takes it above ``cap``.  Circles of wishes go first, from swaps to longer ones; then what free room
+    takes in, from the shards nothing leads on from to those behind them; then wishes for whose bytes as many spare ones, which
+    lose nothing by it, go the other way.  Every circle uses up a wish, of which there are less than one a pair of shards.
+    """
+    left: dict[int, dict[int, int]] = {s: {} for s in range(len(load))}
+    for (a, b), w in sorted(wished.items()):
+        left[a][b] = w
+    granted, ways, done = dict.fromkeys(wished, 0), {}, []
+
+    def grant(a: int, b: int, n: int) -> None:
+        granted[a, b] += n
+        left[a][b] -= n
+        if not left[a][b]:
+            del left[a][b]
+
+    def circle(nodes: list[int]) -> None:
+        steps = list(zip(nodes, [*nodes[1:], nodes[0]], strict=True))
+        n = min(left[a][b] for a, b in steps)
+        for a, b in steps:
+            grant(a, b, n)
+
+    for a, b in sorted(wished):
+        if a < b and b in left[a] and a in left[b]:
+            circle([a, b])
+    for start in left:
+        path = [start] if start not in done else []
+        while path:
+            ahead = {b: n for b, n in left[path[-1]].items() if b not in done}
+            if not ahead:
+                done.append(path.pop())
+            elif (to := max(ahead, key=lambda b: (ahead[b], -b))) in path:
+                at = path.index(to)
+                circle(path[at:])
+                path = path[: at + 1]
+            else:
+                path.append(to)
+    room = [cap - x for x in load]
+    for b in done:  # all wishes left lead to shards that come before in this order
+        for a in sorted(left, key=lambda a: (-left[a].get(b, 0), a)):
+            if (n := min(left[a].get(b, 0), room[b])) > 0:
+                grant(a, b, n)
+                room[a] += n
+                room[b] -= n
+    spare = list(spare)
+    for n, a, b in sorted(((n, a, b) for a, to in left.items() for b, n in to.items()), reverse=True):
+        if (n := min(n, spare[b])) > 0:
+            grant(a, b, n)
+            ways[b, a] = n
+            spare[b] -= n
+    return granted, ways
+
+
+def wants(votes: DataFrame, shards: int, quota: int) -> DataFrame:
+    """Per (key, shard) of ``votes``: bytes ``here``, whether members ``stay``, the ``goals`` of those that don't, ``small``, and ``alone`` for small keys that have no other shard.
 
     A key's shards are ranked by its bytes on them.  Members stay on the first ones that it needs; the others may go to
-    the first ones with room that rank above their own.  At most ``shards`` entries a key are gathered.
+    the first ones that rank above their own.  At most ``shards`` entries a key are gathered.
     """
     entry = F.struct((-F.col("bytes")).alias("less"), F.xxhash64("key", F.col("shard").cast("long")).alias("tie"), "shard")
     ranked = votes.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("ranked"), F.sum("bytes").alias("whole"))
@@ -66,9 +122,8 @@ def wants(votes: DataFrame, shards: int, quota: int, room: list[bool]) -> DataFr
     need = F.least(F.lit(shards), F.floor((F.col("whole") + cap - 1) / cap).cast("int"))
     ranked = ranked.select("key", "ranked", need.alias("need"), (F.col("whole") * SMALL <= quota).alias("small"))
     places = ranked.select("key", "ranked", "need", "small", F.posexplode("ranked").alias("place", "own"))
-    above = F.filter(F.slice("ranked", 1, F.col("place")), lambda x: _pick(room, x["shard"]))
-    goals = F.transform(F.slice(above, 1, F.col("need")), lambda x: F.struct(x["shard"].alias("shard"), (-x["less"]).alias("bytes")))
-    return places.select("key", F.col("own.shard").alias("shard"), (-F.col("own.less")).alias("here"), (F.col("place") < F.col("need")).alias("stay"), goals.alias("goals"), "small")
+    goals = F.transform(F.slice("ranked", 1, F.least("place", "need")), lambda x: F.struct(x["shard"].alias("shard"), (-x["less"]).alias("bytes")))
+    return places.select("key", F.col("own.shard").alias("shard"), (-F.col("own.less")).alias("here"), (F.col("place") < F.col("need")).alias("stay"), goals.alias("goals"), "small", (F.col("small") & (F.size("ranked") == 1)).alias("alone"))
 
 
 def propagate(state: DataFrame, links: DataFrame, shards: int, quota: int, rounds: int, log: list | None = None) -> DataFrame:
@@ -77,23 +132,32 @@ def propagate(state: DataFrame, links: DataFrame, shards: int, quota: int, round
     ``log`` gets for each round the cut (over all keys, shards beyond the first) before it, and the documents moved.
     """
     spark, root = state.sparkSession, scratch(state.sparkSession, "rounds")
+    cap = quota + quota // SLACK
     for step in range(rounds):
         at = f"{root}/{step}"
-        free = [max(0, quota + quota // SLACK - load) for load in _loads(state, shards)]
+        load = _loads(state, shards)
         member = links.join(state, "rid")
         votes = cut(member.groupBy("key", "shard").agg(F.sum("size").alias("bytes")), f"{at}/votes")
-        plan = cut(wants(votes, shards, quota, [x > 0 for x in free]), f"{at}/plan")  # as a table, so that a join on large keys can be split
+        plan = cut(wants(votes, shards, quota), f"{at}/plan")  # as a table, so that a join on large keys can be split
         goal = F.get("goals", F.pmod(F.xxhash64(F.lit(step).cast("long"), F.col("rid")), F.size("goals")).cast("int"))
         goal = F.when(~F.col("stay") & (F.size("goals") > 0), goal)
         ticket = lot(F.lit(step).cast("long"), F.when(F.col("small"), F.col("key")).otherwise(F.col("rid")))
-        said = member.join(plan, ["key", "shard"]).select("rid", "size", "shard", ticket.alias("ticket"), F.coalesce(goal, F.struct("shard", (F.col("here") - F.col("size")).alias("bytes"))).alias("goal"))
-        sums = said.groupBy("rid", F.col("goal.shard").alias("to")).agg(F.sum("goal.bytes").alias("bytes"), F.first("size").alias("size"), F.first("shard").alias("shard"), F.min("ticket").alias("ticket"))
-        best = F.max(F.struct("bytes", (F.col("to") == F.col("shard")).alias("same"), (-F.col("to")).alias("less"), "ticket", "size"))
-        wish = sums.groupBy("rid").agg(best.alias("b")).where("not b.same").select("rid", (-F.col("b.less")).alias("to"), "b.ticket", "b.size")
-        wish = cut(wish, f"{at}/wish")
-        asked = {r[0]: r[1] for r in wish.groupBy("to").agg(F.sum("size")).collect()}  # one row a shard
-        below = [min(LOTS, free[s] * LOTS // asked[s]) if asked.get(s) else 0 for s in range(shards)]
-        goes = wish.where(F.col("ticket") < _pick(below, F.col("to"))).select("rid", "to")
+        said = member.join(plan, ["key", "shard"]).select("rid", "size", "shard", "alone", ticket.alias("ticket"), F.coalesce(goal, F.struct("shard", (F.col("here") - F.col("size")).alias("bytes"))).alias("goal"))
+        sums = said.groupBy("rid", F.col("goal.shard").alias("to")).agg(F.sum("goal.bytes").alias("bytes"), F.first("size").alias("size"), F.first("shard").alias("shard"), F.min("ticket").alias("ticket"), F.min("alone").alias("alone"), F.count("*").alias("n"))
+        best = F.max(F.struct("bytes", (F.col("to") == F.col("shard")).alias("same"), (-F.col("to")).alias("less"), "ticket", "size", "shard"))
+        wish = sums.groupBy("rid").agg(best.alias("b"), (F.min("alone") & (F.sum("n") == 1)).alias("spare")).where("spare or not b.same")
+        wish = cut(wish.select("rid", (-F.col("b.less")).alias("to"), "b.ticket", "b.size", "b.shard"), f"{at}/wish")  # a spare one wishes to stay
+        asked = {(r[0], r[1]): r[2] for r in wish.groupBy("shard", "to").agg(F.sum("size")).collect()}  # one row a pair of shards
+        spare = [asked.pop((s, s), 0) for s in range(shards)]
+        granted, ways = flows(load, cap, asked, spare)
+        below = [granted[a, b] * LOTS // asked[a, b] if (a, b) in asked else 0 for a in range(shards) for b in range(shards)]
+        to = F.when(F.col("to") != F.col("shard"), F.when(F.col("ticket") < _pick(below, F.col("shard") * shards + F.col("to")), F.col("to")))
+        for s in range(shards):  # tickets below the first sum go to the first shard that spare ones make way to, and so on
+            first, given = 0, sorted((b, n) for (a, b), n in ways.items() if a == s)
+            for b, n in given:
+                first += n
+                to = to.when((F.col("shard") == s) & (F.col("ticket") < first * LOTS // spare[s]), F.lit(b))
+        goes = wish.select("rid", to.alias("to")).where("to is not null")
         moved = cut(state.join(goes, "rid", "left").select("rid", "size", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("moved")), f"{root}/state{step}")
         n = moved.where("moved").count() if asked else 0
         if log is not None:
@@ -139,8 +203,8 @@ def shard_documents(docs: DataFrame, links: DataFrame | None = None, *, id_col:
         main = keyed.join(cut(weight), "key").groupBy("rid").agg(F.min(F.struct("small", "key")).alias("m"))
         crowd = state.where(_pick([x > quota for x in load], F.col("shard"))).join(main, "rid")
         crowd = crowd.select("rid", "size", "shard", F.when(F.col("m.small"), F.col("m.key")).otherwise(F.xxhash64("rid")).alias("unit"), F.col("m.small").alias("small"))
-        # members of keys that span shards anyway come last, hence leave first; small keys stay or leave as one, but for one a shard
-        bucket = F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int") + F.when(F.col("small"), 0).otherwise(buckets)
+        # small keys come last, hence leave first; they stay or leave as one, but for one a shard
+        bucket = F.pmod(F.xxhash64("unit"), F.lit(buckets)).cast("int") + F.when(F.col("small"), buckets).otherwise(0)
         leaving = running(crowd, ["shard"], bucket, F.col("size"), ["unit", "rid"], "place").where(F.col("place") + F.col("size") > quota)
         leaving = cut(leaving.select("rid", "unit"))
         state = cut(state.join(leaving, "rid", "left_anti"))
