@@ -31,7 +31,7 @@ PYTHON = re.compile("Python|Pandas|Arrow")
 @pytest.mark.parametrize("name", sorted(q.ORACLE))
 def test_query_matches_sql(name, spark, data):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         path = f"{data}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     df = q.QUERIES[name](spark, data)
