@@ -334,10 +334,3 @@ def test_limits_of_reports(spark):
     assert sane(50, [1, 2, 30, 4, None], None) == (50, True) and sane(20, [1, 2, 30, 4, 5], 40) == (40, True) and sane(20, [1, 2, 30, 4, 5], 10) == (None, True)
     assert sane(50, [1, 2], None) == (50, False) and sane(900, [1, 2, 3, 4, 5], None) == (900, False) and sane(800, [1, 2, 3, 4, 501], None) == (800, False)
     assert one(spark, guards.within(F.lit(5), 1, 4)) is None and one(spark, guards.within(F.lit(4), 1, 4)) == 4
-
-
-def test_long_tables_need_a_key(spark, monkeypatch):
-    monkeypatch.setattr(projection, "ONE_SERIES", 5)
-    with pytest.raises(ValueError):
-        projection.running_total(spark.range(6), "id", "id")
-    assert projection.running_total(spark.range(6).withColumn("k", F.col("id") % 2), "id", "id", ["k"]).count() == 6

@@ -1,33 +1,57 @@
-"""Ordered folds over one bounded series: cumulative readings and run-length codes."""
+"""Ordered folds over series: cumulative readings and run-length codes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A reading is suspect if the last good one was above this and it falls below this part of it.
 SUSPECT_FROM, SUSPECT_PART = 100.0, 0.5
 
 
+class LastGood:
+    """The fold over one series of cumulative readings: the last good one, and whether any has been."""
+
+    def __init__(self, last: float | None = None, seen: bool = False):
+        self.last, self.seen = last, seen
+
+    def step(self, value: float | None) -> float | None:
+        """The increment that ``value`` (None if unknown) brings."""
+        last, first = self.last, not self.seen
+        self.seen = True
+        if value is None or value != value or last is not None and last > SUSPECT_FROM and value < last * SUSPECT_PART:
+            return None
+        self.last = value
+        return value - last if last is not None else value if first else None
+
+
 def hold_last_good(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """Increments of cumulative readings: per key and ``order`` the difference from the last good reading.
 
-    A null reading gives null; the first known one gives itself on the series' first row and null later; a suspect
-    drop gives null and the last good reading stays.  A key's readings are a daily series, hence few.
+    A null reading (or NaN) gives null; the first known one gives itself on the series' first row and null later; a suspect
+    drop gives null and the last good reading stays.  Equal places of a key are taken by value, the unknown first.
+    Keys are dealt and sorted by Spark, and a task folds the rows as they come: of a series of any length it holds a batch.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(value).cast("double").alias("v"))))
-    start = F.struct(F.lit(None).cast("double").alias("prev"), F.lit(0).alias("n"), F.array().cast(f"array<struct<k:{df.schema[order].dataType.simpleString()},inc:double>>").alias("out"))
+    marks = [F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)]
+    rows = df.select(*keys, order, F.col(value).cast("double").alias("_v"), *[m.alias(f"_m{i}") for i, m in enumerate(marks)])
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, order, "_v")
 
-    def step(acc: Column, x: Column) -> Column:
-        suspect = (acc["prev"] > SUSPECT_FROM) & (x["v"] < acc["prev"] * SUSPECT_PART)
-        bad = x["v"].isNull() | F.coalesce(suspect, F.lit(False))
-        inc = F.when(bad, None).when(acc["prev"].isNull(), F.when(acc["n"] == 0, x["v"])).otherwise(x["v"] - acc["prev"])
-        return F.struct(F.when(bad, acc["prev"]).otherwise(x["v"]).alias("prev"), (acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), inc.alias("inc")))).alias("out"))
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, fold = None, LastGood()
+        for b in batches:
+            out = []
+            for v, *key in zip(*(b.column(c).to_pylist() for c in ("_v", "_m0", "_m1")), strict=True):
+                if key != at:
+                    at, fold = key, LastGood()
+                out.append(fold.step(v))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*keys, order)), pa.array(out, pa.float64())], [*keys, order, "increment"])
 
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, start, step)["out"].alias("o"))
-    return folded.select(*keys, F.explode("o").alias("o")).select(*keys, F.col("o.k").alias(order), F.col("o.inc").alias("increment"))
+    kinds = T.StructType([*(df.schema[c] for c in (*keys, order)), T.StructField("increment", T.DoubleType())])
+    return rows.mapInArrow(folded, kinds)
 
 
 def rle_decode(codes: Column) -> Column:

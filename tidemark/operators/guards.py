@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.operators.calendar import spine
 
 
-#: The longest list of totals that is sent to every task.
-MOST_TOTALS = 100_000
-
-
 class GuardError(ValueError):
     """A batch that must not be written."""
 
@@ -79,12 +76,30 @@ def gap_days(df: DataFrame, day: str, start: dt.date, end: dt.date, audited: Dat
     return gaps if audited is None else gaps.join(audited.select(day), day, "left_anti")
 
 
+def _band(x: Column, least: float, part: float) -> Column:
+    """The band of a number: bands grow with it as the tolerance does.
+
+    Two numbers of one band are within the tolerance, and two within the tolerance are at most three bands apart: up to
+    where ``part`` outgrows ``least`` a band is half of ``least`` wide, from there on half of the logarithm of the widest ratio.
+    """
+    turn = least / part
+    grown = F.log(x / turn) / -math.log1p(-part)
+    return F.floor(2 * F.when(x <= turn, x / least).otherwise(1 / part + grown)).cast("long")
+
+
 def unmatched_within(values: DataFrame, totals: DataFrame, value: str, total: str, least: float = 10.0, part: float = 0.1) -> DataFrame:
-    """Values that match no total within ``max(least, part of the greater)``; totals are a short list of names, at most MOST_TOTALS."""
-    if totals.limit(MOST_TOTALS + 1).count() > MOST_TOTALS:
-        raise GuardError(f"more than {MOST_TOTALS} totals; such a list isn't broadcast")
-    near = F.abs(F.col(value) - F.col(total)) <= F.greatest(F.lit(least), part * F.greatest(F.col(value), F.col(total)))
-    return values.join(F.broadcast(totals.select(total)), near, "left_anti")
+    """Values that match no total within ``max(least, part of the greater)``, each row by itself; null, NaN and infinity match nothing.
+
+    Both are sorted into bands, of which few exist, and of a band's totals only the least and the greatest can be the nearest to
+    a value of another one.  Values are joined by their band with those of the seven bands around it, so neither many values
+    nor many totals of one size meet as pairs.
+    """
+    t = F.col(total).cast("double")
+    ends = totals.where(t.isNotNull() & ~F.isnan(t)).groupBy(_band(t, least, part).alias("_at")).agg(F.min(t).alias("_low"), F.max(t).alias("_high"))
+    ends = ends.select(F.explode(F.sequence(F.col("_at") - 3, F.col("_at") + 3)).alias("_band"), "_low", "_high")
+    x = F.col(value).cast("double")
+    near = lambda y: F.abs(x - y) <= F.greatest(F.lit(least), part * F.greatest(x, y))
+    return values.join(ends, (F.when(~F.isnan(x), _band(x, least, part)) == F.col("_band")) & (near(F.col("_low")) | near(F.col("_high"))), "left_anti")
 
 
 def plausible(count: Column, most: int = 5000) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.numbers import round_half_up
+from tidemark.operators import scan
+from tidemark.operators.scan import places
 
 MIN_SAMPLES, DONE = 5, 0.98
 
@@ -37,44 +39,41 @@ def month_projection(total: Column, month: Column, as_of: dt.date) -> Column:
     return F.when(month == F.lit(f"{as_of:%Y-%m}"), round_half_up(total * days / as_of.day))
 
 
-#: Rows of a table without a key that are taken as one series, in one task.
-ONE_SERIES = 1_000_000
-
-
-def _series(df: DataFrame, by: Sequence[str]):
-    """The window of each series; a table without a key must be short enough for one task."""
-    if not by and df.limit(ONE_SERIES + 1).count() > ONE_SERIES:
-        raise ValueError(f"more than {ONE_SERIES} rows: name the key whose values are the series")
-    return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-
-
-def row_index(order: Sequence[str]) -> Column:
-    return F.row_number().over(Window.orderBy(*order)) - 1
-
-
 def trend(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``trend``: the regression line over row numbers (null rows count as places), rounded and not below 0.
 
-    Fewer than two values give the values themselves.  Series are daily, so a key's rows are few.
+    Fewer than two values give the values themselves.  With ``by`` a key's rows are one window; without it the table is
+    one series of any length.
     """
-    w = _series(df, by)
-    df = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1)
-    line = F.regr_slope(F.col(value), F.col("_i")).over(w) * F.col("_i") + F.regr_intercept(F.col(value), F.col("_i")).over(w)
-    fitted = F.greatest(F.lit(0), round_half_up(F.round(line, 6)))
-    return df.withColumn("trend", F.when(F.col(value).isNull(), None).when(F.count(value).over(w) < 2, F.col(value)).otherwise(fitted)).drop("_i")
+    y, x = F.col(value), F.col("_i")
+    if by:
+        w = Window.partitionBy(*by)
+        df = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1)
+        known, slope, intercept = (f.over(w) for f in (F.count(value), F.regr_slope(y, x), F.regr_intercept(y, x)))
+    else:
+        df = places(df, [order], "_i").withColumn("_i", F.col("_i") - 1).drop("_i_all")
+        line = df.agg(F.count(value).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+        known, slope, intercept = (line.select(c).scalar() for c in line.columns)
+    fitted = F.greatest(F.lit(0), round_half_up(F.round(slope * x + intercept, 6)))
+    return df.withColumn("trend", F.when(y.isNull(), None).when(known < 2, y).otherwise(fitted)).drop("_i")
 
 
 def running_total(df: DataFrame, order: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``running``: nulls inside keep the total, leading ones give 0, trailing ones stay null."""
-    w = _series(df, by)
-    last = F.max(F.when(F.col(value).isNotNull(), F.col(order))).over(w)
-    total = F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", F.when(F.col(order) <= last, F.coalesce(total, F.lit(0))))
+    """Adds ``running``: nulls inside keep the total, leading ones give 0, trailing ones stay null; ``by`` as in ``trend``."""
+    y = F.col(value)
+    if by:
+        w = Window.partitionBy(*by)
+        last = F.max(F.when(y.isNotNull(), F.col(order))).over(w)
+        total = F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn("running", F.when(F.col(order) <= last, F.coalesce(total, F.lit(0))))
+    out = scan.scan(df, [order], {"running": scan.total(y), "_known": scan.count(y)})
+    more = y.isNotNull() | (F.coalesce("_known", F.lit(0)) < F.col("_known_all"))
+    return out.select(*df.columns, F.when(more, F.coalesce("running", F.lit(0))).alias("running"))
 
 
 def normalized(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``normalized``: parts of the series' greatest value; null where that is 0."""
-    top = F.max(value).over(_series(df, by))
+    top = F.max(value).over(Window.partitionBy(*by)) if by else df.agg(F.max(value)).scalar()
     return df.withColumn("normalized", F.when(top != 0, F.col(value) / top))
 
 
@@ -84,6 +83,7 @@ def increments(df: DataFrame, order: str, value: str, by: Sequence[str]) -> Data
 
 
 def tail_flag(df: DataFrame, order: str, rows: int, by: Sequence[str] = (), name: str = "provisional") -> DataFrame:
-    """Marks the last ``rows`` rows of each series."""
-    w = _series(df, by)
-    return df.withColumn(name, F.row_number().over(w.orderBy(F.col(order).desc())) <= rows)
+    """Marks the last ``rows`` rows of each series; ``by`` as in ``trend``."""
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.col(order).desc())) <= rows)
+    return places(df, [order], "_at").withColumn(name, F.col("_at_all") - F.col("_at") < rows).drop("_at", "_at_all")

@@ -6,20 +6,54 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def _cell(x: Column) -> Column:
+    """A whole number that grows with ``x``: its sign and size, in sixteenths of a doubling; NaN comes last, as in sorting."""
+    far = 1 << 20
+    size = lambda a: F.when(a == float("inf"), far).otherwise(F.floor(F.log2(a) * 16).cast("int") + (1 << 16))
+    return F.when(F.isnan(x), far + 1).when(x > 0, size(x)).when(x < 0, -size(-x)).otherwise(0)
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """A row for each key and value, with ``n`` and the ``cell`` of values of near size; null values are counted too."""
+    return df.groupBy(*by, value).agg(F.count("*").alias("n")).withColumn("cell", F.when(F.col(value).isNotNull(), _cell(F.col(value))))
+
+
+def upper_medians(counts: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """Per key of ``value_counts`` the upper-middle median of the known values: the first, from the greatest down, that half of them reach.
+
+    Selection by counting: the cell that holds the place is found from the cells' counts, of which a key has some thousand at
+    most, then the place in that cell alone.  Values stay rows throughout, so that no buffer grows with their number.
+    """
+    known = counts.where(F.col(value).isNotNull())
+    series = Window.partitionBy(*by)
+
+    def at_middle(rows: DataFrame, order: str) -> DataFrame:
+        """The row of each key at which the values up to it outnumber the others."""
+        upto = F.sum("n").over(series.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
+        return rows.withColumn("upto", upto).where((2 * (F.col("upto") - F.col("n")) <= F.col("whole")) & (F.col("whole") < 2 * F.col("upto")))
+
+    cells = known.groupBy(*by, "cell").agg(F.sum("n").alias("n")).withColumns({"whole": F.sum("n").over(series), "below": F.lit(0)})
+    middle = at_middle(cells, "cell").select(*[F.col(k).alias(f"_{k}") for k in by], F.col("cell").alias("_cell"), "whole", (F.col("upto") - F.col("n")).alias("below"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by] + [F.col("cell") == F.col("_cell")]
+    return at_middle(known.join(middle, same), value).select(*by, F.col(value).alias(name))
 
 
 def stat_bundle(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), nulls: str = "skip") -> DataFrame:
     """Per metric (and key) the greatest value, the upper-middle median and the total, 0 where there is none.
 
-    The metrics are unpivoted first, so that one aggregation serves them all.  ``nulls='zero'`` counts nulls as 0.
+    The metrics are unpivoted and their values counted first, so that one aggregation serves them all.  ``nulls='zero'``
+    counts nulls as 0.
     """
-    value = "coalesce(value, 0D)" if nulls == "zero" else "value"
-    long = df.select(*by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(list(by), list(metrics), "metric", "value")
-    return long.groupBy(*by, "metric").agg(
-        F.coalesce(F.expr(f"max({value})"), F.lit(0.0)).alias("max_value"),
-        F.coalesce(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)").cast("double"), F.lit(0.0)).alias("median_value"),
-        F.round(F.coalesce(F.expr(f"sum({value})"), F.lit(0.0)), 4).alias("total_value"),
-    )
+    number = lambda m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) if nulls == "zero" else F.col(m).cast("double")
+    keys = [*by, "metric"]
+    counts = value_counts(df.select(*by, *[number(m).alias(m) for m in metrics]).unpivot(list(by), list(metrics), "metric", "value"), keys, "value")
+    whole = counts.groupBy(*keys).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("max_value"), F.round(F.coalesce(F.sum(F.col("value") * F.col("n")), F.lit(0.0)), 4).alias("total_value"))
+    medians = upper_medians(counts, keys, "value").select(*[F.col(k).alias(f"_{k}") for k in keys], "median")
+    out = whole.join(medians, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    return out.select(*keys, "max_value", F.coalesce("median", F.lit(0.0)).alias("median_value"), "total_value")
 
 
 def data_window(df: DataFrame, day: str, newest: Column | None = None) -> DataFrame:

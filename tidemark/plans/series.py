@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.numbers import log_or_null, round_half_up, share, sum_or_null
 from tidemark.operators import calendar as c
 from tidemark.operators import disclosure, folds, intervals, projection, stats
+from tidemark.operators.scan import places
 from tidemark.operators.versioned import best_per_key
 from tidemark.plans.registry import AS_OF, Tables, dec, long, query, total
 
@@ -255,6 +256,18 @@ def interval_overlap(t: Tables) -> DataFrame:
     return order_windows(t).where("prev_end is not null and s < prev_end").select("grp", "id", F.to_date("s").alias("start_d"), F.to_date("prev_end").alias("prev_end_d"))
 
 
+@query(
+    "SELECT id, prev_id, epoch_us(prev_end) AS prev_end_us FROM (SELECT event_id AS id, ts, max(e) OVER w AS prev_end, arg_max(event_id, (e, -place)) OVER w AS prev_id"
+    " FROM (SELECT event_id, ts, ts + to_minutes(CAST(floor(value) AS BIGINT)) AS e, row_number() OVER (ORDER BY ts, event_id) AS place FROM events)"
+    " WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE ts < prev_end"
+)
+def overlapping_events(t: Tables) -> DataFrame:
+    # an event takes as many minutes as its value says; all events are one series
+    begin = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = t.events.select(F.col("event_id").alias("id"), begin.alias("s"), (begin + F.floor("value").cast("long") * 60_000_000).alias("e"))
+    return intervals.overlaps(w, [], "s", "e", "id").where("s < prev_end").select("id", "prev_id", F.col("prev_end").alias("prev_end_us"))
+
+
 @query(f"{OVERLAP} SELECT id, CASE WHEN s < prev_end THEN 'overlaps a window that ends ' || strftime(prev_end, '%Y-%m-%d') END AS notes FROM p")
 def overlap_notes_recomputed(t: Tables) -> DataFrame:
     note = F.when(F.col("s") < F.col("prev_end"), F.concat(F.lit("overlaps a window that ends "), F.date_format("prev_end", "yyyy-MM-dd")))
@@ -451,8 +464,7 @@ def nulls_order(t: Tables) -> DataFrame:
 
 @query(f"SELECT date, n, row_number() OVER (ORDER BY date = DATE '2024-01-15', date) AS place FROM ({CLICKS})")
 def today_last(t: Tables) -> DataFrame:
-    w = Window.orderBy(F.col("date") == F.lit(dt.date(2024, 1, 15)), "date")  # one row a day
-    return clicks(t).withColumn("place", long(F.row_number().over(w)))
+    return places(clicks(t), [F.col("date") == F.lit(dt.date(2024, 1, 15)), "date"]).drop("place_all")
 
 
 @query("SELECT p_brand, CAST(p_size AS BIGINT) AS p_size, CAST(d AS BIGINT) AS place FROM (SELECT p_brand, p_size, min(CASE p_type WHEN 'PROMO' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'SMALL' THEN 2 ELSE 3 END) AS d FROM part GROUP BY 1, 2)")
