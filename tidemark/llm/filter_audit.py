@@ -27,6 +27,8 @@ UPPER = bytes(range(65, 91))
 COPY = 1 << FILTERS.index("E")
 #: Bytes of text that a reading task holds back at most to meet copies; a longer text is held alone.
 HELD = 32 << 20
+#: Bytes of text that a task which meets copies gets, about, before copies are left out.
+ROUTED = 64 << 20
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 COUNTS = ["kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
 RESULT = "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS)
@@ -120,12 +122,15 @@ def masks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pa
     """(doc_id, part, mask, n): ``n`` rows of that id and part fail the filters whose bits the mask holds.
 
     Null text is empty and a null part ''.  Copies are rows of equal texts: all but those of the least id fail E, in
-    whatever part; rows that repeat the least id stay, and rows without an id are nobody's copy.  Texts of any length;
+    whatever part; rows that repeat the least id stay, and rows without an id are nobody's copy.  The bytes of all texts,
+    summed up first, say how many tasks meet them: as many as the session shuffles to, or more.  Texts of any length;
     other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(part_col).alias("part"), F.col(text_col).alias("text")).rdd
-    routed: RDD = rows.mapPartitions(_read).repartitionAndSortWithinPartitions(int(spark.conf.get("spark.sql.shuffle.partitions")), lambda key: key)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(part_col).alias("part"), F.col(text_col).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED))
+    routed: RDD = rows.rdd.mapPartitions(_read).repartitionAndSortWithinPartitions(parts, lambda key: key)
     counted = routed.mapPartitions(_meet).flatMap(lambda r: [(r[0], part, r[1], n) for part, n in r[2].items()])
     kind = docs.schema[id_col].dataType.simpleString()
     return spark.createDataFrame(counted, f"doc_id {kind}, part string, mask int, n long", verifySchema=False)
