@@ -14,6 +14,8 @@ from tidemark.operators import disclosure, folds, intervals, projection, stats
 from tidemark.operators.scan import places
 from tidemark.operators.versioned import best_per_key
 from tidemark.plans.registry import AS_OF, Tables, dec, long, query, total
+from tidemark.sources.saved import post_parts, register
+from tidemark.tables import scratch
 
 #: The order tables end in 2001; their queries run on this day.
 ORDERS_AS_OF = dt.date(2001, 7, 20)
@@ -559,3 +561,16 @@ def data_window(t: Tables) -> DataFrame:
 def rolled_up(t: Tables) -> DataFrame:
     out = stats.rolled_up(t.part, ["p_brand", "p_type"], [F.count("*").alias("n"), F.sum("p_size").cast("long").alias("total")])
     return out.withColumn("level", long("level"))
+
+
+@query("SELECT page_id AS post_id, CAST(DATE '2024-01-01' + CAST(page_id % 300 AS INTEGER) AS DATE) AS posted_on, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS text FROM pages")
+def saved_timeline_posts(t: Tables) -> DataFrame:
+    # the pages' addresses as posts of saved timeline pages, fifty ids each, read back by the data source
+    register(t.spark)
+    low = F.floor(F.col("page_id") / 50) * 50
+    text = F.replace(F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")).cast("string")
+    post = F.format_string('<div class="m" data-post="pages/%d"><div class="text">%s</div><time datetime="%sT00:00:00Z"></time></div>', "page_id", text, at)
+    path = scratch(t.spark, "timeline")
+    t.pages.select(post.alias("value"), F.concat_ws("-", low, low + 49).alias("ids")).write.partitionBy("ids").text(path)
+    return post_parts(t.spark.read.format("saved_timeline").load(path)).select("post_id", F.to_date("posted_at").alias("posted_on"), "text")

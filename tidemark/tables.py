@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and checkpointed, so that whoever reads it, or reads it again after a loss, finds the same rows.
-
-    The folder is the one that spark.checkpoint.dir names; only a local session without one gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.match(r"local($|\[)", sc.master):
+def _shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session without one gets a folder of its own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not re.match(r"local($|\[)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        named = tempfile.mkdtemp(prefix="spark-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed, so that whoever reads it, or reads it again after a loss, finds the same rows."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path below the shared folder."""
+    return f"{_shared(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
