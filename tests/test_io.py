@@ -13,7 +13,7 @@ from tidemark.operators.writers import VersionStore
 from tidemark.plans import metrics
 from tidemark.plans.registry import Tables
 from tidemark.sources import readers
-from tidemark.streaming import streams
+from tidemark.streaming import held, streams
 
 
 def at(n):
@@ -259,14 +259,14 @@ def test_stream_windows_and_duplicates(spark, tmp_path):
 def test_stream_holds_the_last_good(spark, tmp_path):
     schema = "k string, i int, v double"
     spark.createDataFrame([("a", 1, 110827.0), ("a", 2, 11257.0), ("a", 3, 111720.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = collected(spark, streams.held_increments(streams.source(spark, str(tmp_path / "in"), schema), "k", "i", "v"), "held", "append")
+    out = collected(spark, held.held_increments(streams.source(spark, str(tmp_path / "in"), schema), "k", "i", "v"), "held", "append")
     assert [(r[0], r[1]) for r in out] == [(1, 110827.0), (2, None), (3, 893.0)]
 
 
 def test_stream_gives_null_after_a_null_start(spark, tmp_path):
     schema = "k string, i int, v double"
     spark.createDataFrame([("a", 1, None), ("a", 2, 500.0), ("a", 3, 510.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = collected(spark, streams.held_increments(streams.source(spark, str(tmp_path / "in"), schema), "k", "i", "v"), "null_start", "append")
+    out = collected(spark, held.held_increments(streams.source(spark, str(tmp_path / "in"), schema), "k", "i", "v"), "null_start", "append")
     assert [(r[0], r[1]) for r in out] == [(1, None), (2, None), (3, 10.0)]
 
 

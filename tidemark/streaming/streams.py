@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.versioned import best_per_key
 from tidemark.operators.writers import VersionStore
@@ -52,24 +48,3 @@ def sessions(stream: DataFrame, time: str, gap: str | Column, aggs: list[Column]
 def report_days(stream: DataFrame, time: str, aggs: list[Column], **kw: object) -> DataFrame:
     """Days that begin at 17:00 UTC."""
     return windowed(stream, time, "1 day", aggs, start="17 hours", **kw)
-
-
-def held_increments(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Increments of cumulative readings per key, the last good reading held as state over suspect drops.
-
-    As in the batch fold a first known reading that isn't the key's first gives null.  Within a trigger a key's readings are taken in order; rows come out as (key, order, increment).
-    """
-
-    def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, seen = state.get if state.exists else (None, False)
-        rows = []
-        for x in pd.concat(list(batches)).sort_values(order).itertuples():
-            now = getattr(x, value)
-            bad = pd.isna(now) or last is not None and last > 100 and now < last * 0.5
-            rows.append((k[0], getattr(x, order), None if bad or last is None and seen else now if last is None else now - last))
-            last, seen = last if bad else float(now), True
-        state.update((last, seen))
-        yield pd.DataFrame(rows, columns=[key, order, "increment"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, increment double", "last double, seen boolean", "append", GroupStateTimeout.NoTimeout)
