@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as x
+from tidemark.functions.rules import Rule, chain, match_rows, recovered, unclaimed
 from tidemark.operators import classify as k
 from tidemark.plans.registry import Tables, long, query
 from tidemark.sources.readers import new_slugs
@@ -145,3 +146,39 @@ STAGES = [("gate", "[0-9]"), ("headline", "(?i)licen[sc]ed"), ("window", "Versio
 @query("SELECT doc_id, CASE " + " ".join(f"WHEN NOT regexp_matches(text, '{p}') THEN '{n}'" for n, p in STAGES) + " END AS stage FROM documents")
 def first_failing_stage(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", x.first_failing(F.col("text"), STAGES).alias("stage"))
+
+
+CLAIMS = {"address": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "phone": r"\+[0-9][0-9 ]*[0-9]", "mail": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"}
+
+
+def matches(patterns: dict[str, str]) -> str:
+    """SQL for the places of all matches."""
+    one = "SELECT doc_id, '{0}' AS name, unnest(regexp_split_to_array(t, '{1}')) AS gap, unnest(list_append(regexp_extract_all(t, '{1}'), NULL)) AS item, unnest(range(0, len(regexp_extract_all(t, '{1}')) + 1)) AS i FROM d"
+    upto = "CAST(sum(length(gap) + length(item)) OVER (PARTITION BY doc_id, name ORDER BY i) AS BIGINT)"
+    return f"SELECT doc_id, {upto} - length(item) AS s, {upto} AS e, item FROM ({' UNION ALL '.join(one.format(n, p) for n, p in patterns.items())}) WHERE item IS NOT NULL"
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({matches({'number': '[0-9]{2,}'})}), c AS ({matches(CLAIMS)}), r AS (SELECT doc_id, min(s) AS low, max(e) AS high FROM c GROUP BY 1)"
+    " SELECT f.doc_id, s AS start, e AS \"end\", item FROM f JOIN r ON r.doc_id = f.doc_id AND s >= low AND e <= high WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = f.doc_id AND c.s < f.e AND f.s < c.e)"
+)
+def unclaimed_items(t: Tables) -> DataFrame:
+    # numbers that belong to no address, phone or mail, among those that do
+    found = match_rows(t.documents, "doc_id", "text", {"number": "[0-9]{2,}"}).drop("name")
+    return unclaimed(found, match_rows(t.documents, "doc_id", "text", CLAIMS), "doc_id").select("doc_id", long("start").alias("start"), long("end").alias("end"), "item")
+
+
+#: Where a document's number stands, the best place first.
+PLACES = [Rule("number", "address", r"([0-9]{1,3})\.[0-9]+\.[0-9]+\.[0-9]+"), Rule("number", "phone", r"\+([0-9]{1,3})"), Rule("number", "mail", "([0-9]{1,9})@"), Rule("number", "any", "([0-9]{2,9})")]
+PLACED = ", ".join(f"{{'branch': '{r.branch}', 'value': nullif(TRY_CAST(regexp_extract(text, '{r.pattern}', 1) AS BIGINT), 0)}}" for r in PLACES)
+
+
+@query(
+    f"WITH c AS (SELECT doc_id, list_filter([{PLACED}], lambda x: x.value IS NOT NULL) AS found FROM documents), g AS (SELECT doc_id, found, list_filter(found, lambda x: x.value BETWEEN 10 AND 200)[1] AS good FROM c)"
+    " SELECT doc_id, found[1].branch AS first_branch, found[1].value AS first_value, good.branch AS branch, good.value AS value,"
+    " array_to_string(list_transform(CASE WHEN good IS NULL THEN found ELSE found[1:list_position(found, good) - 1] END, lambda x: x.branch), ',') AS passed FROM g"
+)
+def recovered_numbers(t: Tables) -> DataFrame:
+    # a number must lie between 10 and 200; where a branch gives another one, the chain goes on without it
+    got = t.documents.select("doc_id", chain(F.col("text"), PLACES).alias("first"), recovered(F.col("text"), PLACES, lambda v: v.between(10, 200)).alias("r"))
+    return got.select("doc_id", F.col("first.branch").alias("first_branch"), F.col("first.value").alias("first_value"), "r.branch", "r.value", F.array_join("r.passed", ",").alias("passed"))
