@@ -239,10 +239,13 @@ def test_report_numbers(spark):
     from tidemark.functions import reports as r
 
     assert one(spark, r.spelt_number(F.lit("сорок чотири"))) == 44 and one(spark, r.spelt_number(F.lit("1 234"))) == 1234
+    assert one(spark, r.spelt_number(F.lit("двести сорок пять"))) == 245 and one(spark, r.spelt_number(F.lit("сто одиннадцать"))) == 111
+    assert one(spark, r.spelt_number(F.lit("три п'ять"))) == 5 and one(spark, r.spelt_number(F.lit("двадцать двести пять"))) == 205
     assert one(spark, r.spelt_number(F.lit("окупанти шість"))) == 6 and one(spark, r.spelt_number(F.lit("шість разом"))) is None
     assert one(spark, r.first_known(F.lit("a 0 b 7"), [r"a (\d)", r"b (\d)"])) == 7 and one(spark, r.first_known(F.lit("x"), [r"a (\d)"])) is None
     assert one(spark, r.tally(F.lit("Сили оборони уразили 12 районів, дві гармати, склад боєприпасів та озброєння."))) == 15
     assert one(spark, r.tally(F.lit("тихо"))) is None
+    assert one(spark, r.tally(F.lit("Сили оборони уразили дві гармати, озброєння, 5 одиниць та озброєння 3 одиниці."))) == 10
     s = one(spark, r.parse_summary(F.lit("відбулося 94 боєзіткнення"), {"fights": [r"(\d+) боєзіткнен"]}))
     assert (s.fights, s.part) == (94, None)
     assert one(spark, r.parse_summary(F.lit("Частина 2. 94 боєзіткнення"), {"fights": [r"(\d+) боєзіткнен"]})).fights is None
