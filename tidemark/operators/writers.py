@@ -243,8 +243,20 @@ def corrections(stored: DataFrame, fetched: DataFrame, day: str, hour: str, valu
 
 
 def replace_lookup(df: DataFrame, path: str) -> None:
-    """A small table replaced as a whole."""
-    df.coalesce(1).write.mode("overwrite").parquet(path)
+    """A small table replaced as a whole: the new one is written beside it and takes its name, so that a failed write loses nothing.
+
+    Between the two renames there is no table of that name for a moment; where readers must not see that, or several
+    tables change together, ``editions`` swap them at once.
+    """
+    at, files = _path(df.sparkSession, path)
+    new, old = (at.suffix(f"-{what}-{uuid.uuid4().hex}") for what in ("new", "old"))
+    df.coalesce(1).write.parquet(new.toString())
+    had = files.exists(at)
+    if had and not files.rename(at, old) or not files.rename(new, at):
+        if had and not files.exists(at):
+            files.rename(old, at)
+        raise OSError(f"{path} can't be replaced")
+    files.delete(old, True)
 
 
 def blank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
