@@ -143,3 +143,11 @@ def test_many_totals_of_one_size_are_no_pairs(spark):
     totals = spark.range(300_000).select((F.col("id") / 1e5 + 1000).alias("t"))
     values = spark.range(300_000).select((F.col("id") / 1e5 + F.when(F.col("id") % 2 == 0, 1000).otherwise(2000)).alias("v"))
     assert guards.unmatched_within(values, totals, "v", "t").count() == 150_000
+
+
+def test_run_length_codes_there_and_back(spark):
+    rnd = random.Random(7)
+    data = [(i, [rnd.choice([0, 0, 0, 3, 1]) for _ in range(rnd.randint(0, 12))]) for i in range(200)]
+    df = spark.createDataFrame(data, "i int, v array<int>").withColumn("codes", folds.rle_encode(F.col("v")))
+    for r in df.withColumn("back", folds.rle_decode(F.col("codes"))).collect():
+        assert r.back == r.v and all(c != 0 for c in r.codes) and not any(a < 0 and b < 0 for a, b in zip(r.codes, r.codes[1:]))

@@ -59,6 +59,14 @@ def rle_decode(codes: Column) -> Column:
     return F.flatten(F.transform(codes, lambda x: F.when(x < 0, F.array_repeat(F.lit(0), (-x).cast("int"))).otherwise(F.array(x.cast("int")))))
 
 
+def rle_encode(values: Column) -> Column:
+    """Values without negative ones as run-length codes: each run of zeros is one negative number, its length."""
+    value = lambda k: F.get(values, k)
+    ends = F.filter(F.transform(values, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda c: (c["x"] != 0) | F.coalesce(value(c["i"] + 1) != 0, F.lit(True)))
+    # a run of zeros ends at its last one; it began after the end before
+    return F.transform(ends, lambda c, k: F.when(c["x"] != 0, c["x"].cast("int")).otherwise(-(c["i"] - F.coalesce(F.get(ends, k - 1)["i"], F.lit(-1)))))
+
+
 def checked_rle(codes: Column, days: Column) -> Column:
     """Decoded values; an error if there aren't ``days`` of them."""
     values = rle_decode(codes)

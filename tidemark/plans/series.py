@@ -302,11 +302,14 @@ def hold_last_good(t: Tables) -> DataFrame:
     return folds.hold_last_good(cumulative(t).withColumn("v", v.cast("double")), ["k"], "d", "v").withColumn("increment", F.round("increment", 4))
 
 
-@query("SELECT CAST(i AS BIGINT) AS day, CAST(a + b AS BIGINT) AS total FROM (SELECT unnest([3,0,0,0,0,1,0,0]) AS a, unnest([0,0,5,1,0,0,0,2]) AS b, unnest(range(0, 8)) AS i)")
+@query("SELECT CAST(h AS BIGINT) AS hour, count(event_id) AS total FROM (SELECT unnest(range(0, 24)) AS h) LEFT JOIN events ON hour(ts) = h GROUP BY 1")
 def rle_decode_sum(t: Tables) -> DataFrame:
-    rows = t.spark.range(2).select(F.when(F.col("id") == 0, F.array(*map(F.lit, [3, -4, 1, -2]))).otherwise(F.array(*map(F.lit, [-2, 5, 1, -3, 2]))).alias("codes"))
-    values = rows.select(F.posexplode(folds.checked_rle(F.col("codes"), F.lit(8))).alias("day", "v"))
-    return values.groupBy(long("day").alias("day")).agg(long(F.sum("v")).alias("total"))
+    # each user's day as 24 counts, packed into run-length codes and unpacked again
+    hours = t.readings.groupBy("user_id", "date", "hour").agg(F.count("*").alias("n")).groupBy("user_id", "date").agg(F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("m"))
+    counts = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long")), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0)))
+    codes = hours.select(folds.rle_encode(counts).alias("codes"))
+    values = codes.select(F.posexplode(folds.checked_rle(F.col("codes"), F.lit(24))).alias("hour", "v"))
+    return values.groupBy(long("hour").alias("hour")).agg(long(F.sum("v")).alias("total"))
 
 
 @query("SELECT CAST(CAST(o_orderdate AS DATE) - CAST(((CAST(o_orderdate AS DATE) - DATE '1970-01-01') % 7) AS INTEGER) AS DATE) AS week, count(*) AS n FROM orders GROUP BY 1")

@@ -89,10 +89,15 @@ def unmatched_items(t: Tables) -> DataFrame:
 WORD_ROWS = ", ".join("('{}', {})".format(w.replace("'", "''"), n) for w, n in x.NUMBER_WORDS.items())
 
 
-@query(f"SELECT word, CAST(value AS BIGINT) AS value FROM (VALUES {WORD_ROWS}, ('17', 17), ('many', NULL)) v(word, value)")
+@query(
+    f"WITH v(name, value) AS (VALUES {WORD_ROWS}), w AS (SELECT unnest(regexp_split_to_array(coalesce(text, ''), '[^0-9A-Za-z]+')) AS word FROM documents)"
+    " SELECT word, CAST(CASE WHEN regexp_full_match(word, '[0-9]{1,9}') THEN TRY_CAST(word AS BIGINT) ELSE value END AS BIGINT) AS value, count(*) AS n FROM w LEFT JOIN v ON name = lower(word)"
+    " WHERE value IS NOT NULL OR regexp_full_match(word, '[0-9]{1,9}') GROUP BY 1, 2"
+)
 def word_number_parse(t: Tables) -> DataFrame:
-    words = t.spark.range(1).select(F.explode(F.array(*map(F.lit, [*x.NUMBER_WORDS, "17", "many"]))).alias("word"))
-    return words.select("word", x.number_word(F.col("word")).alias("value"))
+    # all words of the documents that are numbers, in digits or letters
+    words = t.documents.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^0-9A-Za-z]+", -1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.select("word", x.number_word(F.col("word")).alias("value"), "n").where("value is not null")
 
 
 @query("SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: length(x) > 0), lambda x: coalesce(TRY_CAST(regexp_extract(x, '([0-9]{1,9})', 1) AS BIGINT), 1))), CASE WHEN text IS NOT NULL THEN 0 END) AS BIGINT) AS total FROM documents")
