@@ -153,7 +153,8 @@ def first_failing_stage(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", x.first_failing(F.col("text"), STAGES).alias("stage"))
 
 
-CLAIMS = {"address": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "phone": r"\+[0-9][0-9 ]*[0-9]", "mail": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+"}
+#: Capital words that begin a sentence or a line, and all of them.
+CLAIMS, CAPITALS = {"sentence": "[.!?] [A-Z][a-z]+", "line": "\\n[A-Z][a-z]+"}, {"capital": "[A-Z][a-z]+"}
 
 
 def matches(patterns: dict[str, str]) -> str:
@@ -164,12 +165,12 @@ def matches(patterns: dict[str, str]) -> str:
 
 
 @query(
-    f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({matches({'number': '[0-9]{2,}'})}), c AS ({matches(CLAIMS)}), r AS (SELECT doc_id, min(s) AS low, max(e) AS high FROM c GROUP BY 1)"
+    f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({matches(CAPITALS)}), c AS ({matches(CLAIMS)}), r AS (SELECT doc_id, min(s) AS low, max(e) AS high FROM c GROUP BY 1)"
     " SELECT f.doc_id, s AS start, e AS \"end\", item FROM f JOIN r ON r.doc_id = f.doc_id AND s >= low AND e <= high WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = f.doc_id AND c.s < f.e AND f.s < c.e)"
 )
 def unclaimed_items(t: Tables) -> DataFrame:
-    # numbers that belong to no address, phone or mail, among those that do
-    found = match_rows(t.documents, "doc_id", "text", {"number": "[0-9]{2,}"}).drop("name")
+    # capital words inside of sentences, between the first and the last that begins one
+    found = match_rows(t.documents, "doc_id", "text", CAPITALS).drop("name")
     return unclaimed(found, match_rows(t.documents, "doc_id", "text", CLAIMS), "doc_id").select("doc_id", long("start").alias("start"), long("end").alias("end"), "item")
 
 
