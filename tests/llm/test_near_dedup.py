@@ -66,3 +66,11 @@ def test_components_of_chains_and_stars(spark):
     proper = [e for e in edges if e[0] != e[1]]
     assert got == union_find({n for e in proper for n in e}, proper)
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(9)
+    long = words(rnd, 150_000)
+    other = [w if k % 100 else "changed" for k, w in enumerate(long)]
+    got = {r.doc_id: r for r in near_duplicates(frame(spark, [(1, " ".join(long)), (2, " ".join(other)), (3, "x" * 2_000_000), (4, " ".join(words(rnd, 150_000)))])).collect()}
+    assert [got[i].component_id for i in (1, 2, 3, 4)] == [1, 1, 3, 4] and got[1].n_shingles == len(shingles(" ".join(long), 3)) and got[3].n_shingles == 1

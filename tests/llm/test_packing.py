@@ -79,3 +79,11 @@ def test_odd_tables(spark):
     assert packing.pack(frame(spark, [])).count() == 0
     rows = packing.pack(frame(spark, [(1, "a b"), (1, "a b"), (None, "c")])).collect()
     assert len(rows) == 3 and len({r.sequence_id for r in rows}) == 1
+
+
+def test_a_very_long_text_is_packed_whole(spark):
+    docs = [(1, " ".join(words(random.Random(6), 300_000))), (2, "short")]
+    rows = sorted(packing.pack(frame(spark, docs)).collect(), key=lambda r: (r.doc_id, r.start))
+    mine = [r for r in rows if r.doc_id == 1]
+    assert mine[0].start == 0 and all(a.start + a.length == b.start for a, b in zip(mine, mine[1:], strict=False)) and mine[-1].start + mine[-1].length == mine[0].doc_tokens > 300_000
+    assert max(r.offset + r.length for r in rows) <= 2048

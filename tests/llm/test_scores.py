@@ -169,3 +169,18 @@ def test_queries_on_held_out_labels(spark, data):
     for query, column, least in ((q.op1_quality, "quality", 0.95), (q.op2_toxicity, "toxic", 0.9)):
         out = [r for r in query(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in labels]
         assert np.mean([r.predicted == labels[r.doc_id][column] for r in out]) >= least
+
+
+def test_quality_of_odd_tables(spark):
+    """Repeated labels count once, extra columns are ignored, an empty table has no scores."""
+    rnd = random.Random(7)
+    docs = [(i, (" ".join(words(rnd, 60)) + ".") if i % 2 else "!!! " * rnd.randint(1, 30)) for i in range(120)]
+    labels = [(i, i % 2) for i in range(120)]
+    table = frame(spark, docs)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    once = quality.fit_quality(table, marks)
+    twice = quality.fit_quality(table, marks.unionByName(marks.where("doc_id < 40")))
+    x = np.array([quality.statistics(t) for _, t in docs])
+    assert np.allclose(once.score(x), twice.score(x)) and ((once.score(x) >= 0.5) == [y for _, y in labels]).mean() > 0.95
+    assert quality.score_quality(table.limit(0), once).count() == 0 and quality.fit_quality(table.limit(0), marks) is None
+    assert quality.score_quality(table, once).columns == ["doc_id", "score", "predicted"]

@@ -155,8 +155,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Documents are linked whose sets of ``size``-word shingles have at least ``percent`` hundredths of their union in
     common.  Texts with fewer words are one shingle; null texts and those without words are linked with nothing.
-    Rows that share an id count as the one with the greatest text; rows without an id are left out.  Other columns
-    are ignored; an empty table gives no rows.
+    Rows that share an id count as the one with the greatest text; rows without an id are left out.  Texts of any
+    length: a task holds the hashes of one text's words, and a row holds its whole set.  Other columns are ignored; an
+    empty table gives no rows.
     """
     if not 60 <= percent <= 100:
         raise ValueError("buckets for similarities below 0.6 would hold unrelated texts")

@@ -149,7 +149,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
 
     A document is its text's ids and then id 1; null or empty text is id 1 alone.  Pieces of a document cover it once,
     pieces of a sequence cover it from 0 without gaps.  Rows that repeat an id, or have none, are documents like any
-    other.  Other columns are ignored; an empty table gives no rows.
+    other.  Texts of any length: a task holds the ids of one text.  Other columns are ignored; an empty table gives no rows.
     """
     json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
