@@ -77,13 +77,11 @@ def _sample(k: int) -> tuple[Column, Column]:
     uv = _unit(one, 0, 32) * _unit(one, 32, 32)
     p, q, b = _unit(two, 0, 21), _unit(two, 21, 21), _unit(two, 42, 22)
     # c >= 2 - p - q.  For weight 1 exp of the race value is c (u v) ** (1 - b), hence at least c u v; and nearer, as
-    # -ln x <= 8 (x ** -1/8 - 1) bounds r from above, at least c (1 - s) ** 8
+    # -ln x <= 8 (x ** -1/8 - 1) bounds r from above, at least c (1 - s) ** 8; roots are taken for the few that pass the first bound
     least = 2.0 - p - q
-    s = (1.0 / F.sqrt(F.sqrt(F.sqrt(uv))) - 1.0) * (1.0 - b)
-    near = 1.0 - s
-    square = near * near
-    fourth = square * square
-    runs = (F.col("wa") > 1) | (F.col("wb") > 1) | ((least * uv < F.col("bound")) & ((s >= 1.0) | (least * fourth * fourth < F.col("bound"))))
+    eighth = lambda x: F.sqrt(F.sqrt(F.sqrt(x)))
+    near = F.when(least * uv < F.col("bound"), (1.0 / eighth(uv) - 1.0) * (1.0 - b) > 1.0 - eighth(F.col("bound") / least)).otherwise(False)
+    runs = (F.col("wa") > 1) | (F.col("wb") > 1) | near
     r, c = -F.log(uv), -F.log(p * q)
 
     def race(weight: str) -> Column:
