@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as x
 from tidemark.functions.rules import Rule, chain, match_rows, recovered, unclaimed
 from tidemark.operators import classify as k
+from tidemark.operators.shapes import drift, json_paths
 from tidemark.plans.registry import Tables, long, query
 from tidemark.sources.readers import new_slugs
 
@@ -188,3 +189,50 @@ def recovered_numbers(t: Tables) -> DataFrame:
     # a number must lie between 10 and 200; where a branch gives another one, the chain goes on without it
     got = t.documents.select("doc_id", chain(F.col("text"), PLACES).alias("first"), recovered(F.col("text"), PLACES, lambda v: v.between(10, 200)).alias("r"))
     return got.select("doc_id", F.col("first.branch").alias("first_branch"), F.col("first.value").alias("first_value"), "r.branch", "r.value", F.array_join("r.passed", ",").alias("passed"))
+
+
+WORDS = "regexp_extract_all({}, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+OPENINGS = " UNION ALL ".join(f"SELECT item_id, array_to_string(({WORDS.format('lower(text)')})[1:{n}], ' ') AS name, {n} AS n FROM benchmark WHERE len({WORDS.format('text')}) >= {n}" for n in (2, 4))
+
+
+@query(f"WITH o AS (SELECT name, n, min(item_id) AS item_id FROM ({OPENINGS}) GROUP BY 1, 2), d AS (SELECT doc_id, ' ' || array_to_string({WORDS.format('lower(text)')}, ' ') || ' ' AS t FROM documents) SELECT d.doc_id, (SELECT arg_min(o.item_id, (-o.n, -length(o.name), o.name)) FROM o WHERE contains(d.t, ' ' || o.name || ' ')) AS item_id FROM d")
+def longest_opening(t: Tables) -> DataFrame:
+    # the first two and four words of all benchmark items as names to find in all documents
+    found = k.words(F.lower("text"))
+    names = None
+    for n in (2, 4):
+        part = t.benchmark.where(F.size(k.words(F.col("text"))) >= n).select(F.array_join(F.slice(found, 1, n), " ").alias("name"), "item_id")
+        names = part if names is None else names.unionByName(part)
+    return k.longest_name(t.documents.select("doc_id", "text"), ["doc_id"], "text", names, "name", "item_id").select("doc_id", "item_id")
+
+
+def _answers(t: Tables) -> DataFrame:
+    """Orders as nested answers: those that are open (O) give their price as text, name no priority and have an array of notes."""
+    is_open = F.col("o_orderstatus") == "O"
+    price = F.format_string("%.2f", "o_totalprice")
+    body = F.format_string('{"id": %d, "price": {"total": %s}, %s}', "o_orderkey", F.when(is_open, F.concat(F.lit('"'), price, F.lit('"'))).otherwise(price), F.when(is_open, F.format_string('"notes": [{"by": null}, "%s"]', "o_orderpriority")).otherwise(F.format_string('"priority": "%s"', "o_orderpriority")))
+    return t.orders.select(F.when(is_open, "open").otherwise("other").alias("status"), body.alias("body"))
+
+
+@query(
+    "WITH c AS (SELECT CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END AS status, count(*) AS n FROM orders GROUP BY 1), "
+    "p AS (SELECT * FROM (VALUES ('other', '$', 'object', 1), ('other', '$.id', 'whole', 1), ('other', '$.price', 'object', 1), ('other', '$.price.total', 'number', 1), ('other', '$.priority', 'text', 1), "
+    "('open', '$', 'object', 1), ('open', '$.id', 'whole', 1), ('open', '$.price', 'object', 1), ('open', '$.price.total', 'text', 1), ('open', '$.notes', 'array', 1), ('open', '$.notes[]', 'object,text', 2), ('open', '$.notes[].by', 'null', 1)) v(status, path, kinds, times)) "
+    "SELECT status, path, kinds, CAST(n * times AS BIGINT) AS n FROM c JOIN p USING (status)"
+)
+def answer_paths(t: Tables) -> DataFrame:
+    return json_paths(_answers(t), "body", ["status"]).withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query(
+    "WITH s AS (SELECT bool_or(o_orderstatus = 'O') AS a, bool_or(o_orderstatus <> 'O') AS b FROM orders) "
+    "SELECT path, change FROM s, (VALUES ('$.priority', 'gone'), ('$.notes', 'new'), ('$.notes[]', 'new'), ('$.notes[].by', 'new'), ('$.price.total', 'retyped')) v(path, change) WHERE s.a AND s.b"
+)
+def answer_drift(t: Tables) -> DataFrame:
+    paths = json_paths(_answers(t), "body", ["status"])
+    return drift(*[paths.where(F.col("status") == s).drop("status") for s in ("other", "open")]).select("path", "change")
+
+
+@query("SELECT event_type, v.path, v.kinds, CAST(count(*) AS BIGINT) AS n FROM events, (VALUES ('$', 'object'), ('$.k', 'whole')) v(path, kinds) GROUP BY 1, 2, 3")
+def props_paths(t: Tables) -> DataFrame:
+    return json_paths(t.events, "props", ["event_type"]).withColumn("kinds", F.array_join("kinds", ","))
