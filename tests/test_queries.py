@@ -55,3 +55,18 @@ def test_day_windows_reach_the_scan(spark, data):
 def test_latest_version_takes_one_shuffle(spark, data):
     plan = QUERIES["latest_version_keep_ties"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_longest_opening_tells_letters_apart_as_its_sql_does(spark, tmp_path):
+    texts = {
+        1: "GROSSE STRASSE. eine Große Straße", 2: "grosse strasse", 3: "straße am, strasze am", 4: "ΟΔΟΣ ΜΟΥ und οδος μου", 5: "οδοσ μου", 6: "οδος μου", 7: "İzmir von hier", 8: "izmir von", 9: "maß ab mass ab", 10: "mass abc maß ab", 11: None, 12: "ohne wert und eine große",
+    }
+    rows = [*texts.items(), (None, "GROSSE STRASSE"), (None, "maß ab"), (13, "maß ab"), (13, "izmir von")]
+    items = [(1, "Große Straße"), (2, "grosse strasse!"), (3, "strasze am"), (4, "Straße am"), (5, "ΟΔΟΣ ΜΟΥ"), (6, "izmir von"), (7, "İzmir von hier an"), (8, "maß ab"), (9, "mass ab"), (10, "mass abc"), (11, "eine große"), (None, "und eine große Straße"), (None, "ohne wert und eine"), (12, None), (13, "maß")]
+    con = duckdb.connect()
+    for name, key, made in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        spark.createDataFrame(made, f"{key} bigint, text string").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["longest_opening"](spark, str(tmp_path)).collect()
+    assert normal(got) == normal(con.execute(ORACLE["longest_opening"]).fetchall())
+    assert len(got) == 16 and sum(r["item_id"] is not None for r in got) >= 12

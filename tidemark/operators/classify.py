@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,16 +52,21 @@ def fold(text: Column) -> Column:
     return F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS"))
 
 
-def longest_name(df: DataFrame, keys: Sequence[str], text: str, names: DataFrame, name: str, value: str) -> DataFrame:
+def lower(text: Column) -> Column:
+    """Text in small letters, each character by itself: no Σ depends on its place, İ is one i; ß and SS are told apart."""
+    return F.lower(F.translate(text, "Σİ", "σi"))
+
+
+def longest_name(df: DataFrame, keys: Sequence[str], text: str, names: DataFrame, name: str, value: str, same: Callable[[Column], Column] = fold) -> DataFrame:
     """``df`` with ``value`` of the longest of many names that stands in its text as whole words; null without any.
 
-    ``names`` is a table of any length.  Words are compared after ``fold``, accents told apart; what stands between words says
-    nothing.  More words win, then more letters, then the first name, then the least value.  Each run of as many words as some
+    ``names`` is a table of any length.  Words are compared after ``same``, accents told apart; what stands between words says
+    nothing.  More words win, then more letters, then the first name, all as ``same`` spells them, then the least value.  Each run of as many words as some
     name has is looked up in one equi-join, which Spark broadcasts if its estimate of the names is small, and then only hits are
     shuffled.  Names without words match nothing; rows with equal ``keys`` share what is found in any of their texts, rows
     with a null key find nothing.
     """
-    parts = words(fold(F.col(name)))
+    parts = words(same(F.col(name)))
     known = names.select(F.array_join(parts, " ").alias("_name"), F.size(parts).alias("_words"), F.col(value).alias("_value")).where("_words > 0")
     sizes = sorted(r["_words"] for r in known.select("_words").distinct().collect())  # numbers of words that names have: few
     if not sizes:
@@ -69,7 +74,7 @@ def longest_name(df: DataFrame, keys: Sequence[str], text: str, names: DataFrame
     known = known.groupBy("_name", "_words").agg(F.min("_value").alias("_value"))
     run = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
     # the array of one array binds the words, so that a text is split once and not for each run
-    runs = F.flatten(F.transform(F.array(words(fold(F.col(text)))), lambda w: F.concat(*[run(w, n) for n in sizes])))
+    runs = F.flatten(F.transform(F.array(words(same(F.col(text)))), lambda w: F.concat(*[run(w, n) for n in sizes])))
     grams = df.where(F.col(text).isNotNull()).select(*keys, F.explode(runs).alias("_name"))
     rank = F.struct((-F.col("_words")).alias("a"), (-F.length("_name")).alias("b"), F.col("_name").alias("c"), F.col("_value").alias("d"))
     best = grams.join(known, "_name").groupBy(*keys).agg(F.min(rank)["d"].alias(value))
