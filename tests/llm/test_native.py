@@ -434,6 +434,14 @@ def test_prints_match_a_plain_version(spark):
         assert (r.print_a, r.print_b) == (plain_print(rows[r.id][1], 16), plain_print(rows[r.id][2], 16))
 
 
+def test_terms_that_run_in_no_sample_are_not_grouped(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h", "a b c d e f g")], "id long, a string, b string")
+    lines = fingerprint_pairs(df, ["id"], "a", "b")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    inner = lines[max(i for i, x in enumerate(lines) if "Aggregate" in x) :]
+    (kept,) = [x for x in inner[: next(i for i, x in enumerate(inner) if "Generate" in x)] if re.search(r"\bFilter\b", x)]
+    assert "runs0" in kept and "xxhash64" not in kept  # the hashes are made once, below
+
+
 def test_next_ids_of_clustered_ids(spark):
     ids = [*range(100, 400), -9 * 10**18, 9 * 10**18, 7 * 10**17]
     got = {r.id: r.next for r in next_ids(spark.createDataFrame([(i,) for i in ids], "id long")).collect()}

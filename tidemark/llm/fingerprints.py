@@ -13,6 +13,9 @@ sample then is named 0.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,23 +74,36 @@ def _unit(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND((1 << bits) - 1) + 1) * (1.0 / ((1 << bits) + 1))
 
 
-def _sample(k: int) -> tuple[Column, Column]:
-    """For sample ``k`` of this row's block the race values of its term in both texts, with the winner's name, each as one long."""
-    one, two = (F.xxhash64(F.lit(2 * k + j), F.col("draw")) for j in range(2))
-    uv = _unit(one, 0, 32) * _unit(one, 32, 32)
-    p, q, b = _unit(two, 0, 21), _unit(two, 21, 21), _unit(two, 42, 22)
+def _hashes(k: int) -> tuple[Column, Column]:
+    """The two hashes of sample ``k`` of this row's block."""
+    return tuple(F.xxhash64(F.lit(2 * k + j), F.col("draw")) for j in range(2))
+
+
+def _draws(one: Column, two: Column) -> tuple[Column, Column, Column, Column]:
+    """u v, p, q and b of two hashes."""
+    return _unit(one, 0, 32) * _unit(one, 32, 32), _unit(two, 0, 21), _unit(two, 21, 21), _unit(two, 42, 22)
+
+
+def _runs_for(k: int) -> Column:
+    """Whether this row's term need run for sample ``k``."""
+    uv, p, q, b = _draws(F.col(f"one{k}"), F.col(f"two{k}"))
+    least = 2.0 - p - q
     # c >= 2 - p - q.  For weight 1 exp of the race value is c (u v) ** (1 - b), hence at least c u v; and nearer, as
     # -ln x <= 8 (x ** -1/8 - 1) bounds r from above, at least c (1 - s) ** 8; roots are taken for the few that pass the first bound
-    least = 2.0 - p - q
     eighth = lambda x: F.sqrt(F.sqrt(F.sqrt(x)))
     near = F.when(least * uv < F.col("bound"), (1.0 / eighth(uv) - 1.0) * (1.0 - b) > 1.0 - eighth(F.col("bound") / least)).otherwise(False)
-    runs = (F.col("wa") > 1) | (F.col("wb") > 1) | near
+    return (F.col("wa") > 1) | (F.col("wb") > 1) | near
+
+
+def _sample(k: int) -> tuple[Column, Column]:
+    """For sample ``k`` of this row's block the race values of its term in both texts, with the winner's name, each as one long."""
+    uv, p, q, b = _draws(*_hashes(k))  # made again for those that run: carried along, they cost more
     r, c = -F.log(uv), -F.log(p * q)
 
     def race(weight: str) -> Column:
         t = F.floor(F.log(F.col(weight).cast("double")) / r + b)
         name = F.xxhash64(F.col("term"), t).bitwiseAND((1 << NAME) - 1)
-        return F.when(runs & (F.col(weight) > 0), F.shiftleft(F.floor((F.log(c) - r * (t - b + 1)) * STEP), NAME).bitwiseOR(name))
+        return F.when(F.col(f"runs{k}") & (F.col(weight) > 0), F.shiftleft(F.floor((F.log(c) - r * (t - b + 1)) * STEP), NAME).bitwiseOR(name))
 
     return race("wa"), race("wb")
 
@@ -96,18 +112,26 @@ def fingerprint_pairs(df: DataFrame, keys: list[str], a: str, b: str, samples: i
     """Per row of ``df``, whose ``keys`` are unique: ``print_a`` and ``print_b`` of the texts ``a`` and ``b``, arrays of winners' names.
 
     Texts without words have null.  A document's terms are reduced to its winners where they are made, so long texts
-    and frequent terms meet in no task; if ``df`` is dealt by ``keys``, nothing moves.
+    and frequent terms meet in no task; if ``df`` is dealt by ``keys``, nothing moves.  Of the terms that run in no
+    sample of a block only a text's first is grouped, so that no block is missing.
     ``samples`` is a multiple of BLOCK.
     """
     cells = let(F.struct(shingles(F.col(a)).alias("a"), shingles(F.col(b)).alias("b")), lambda g: F.struct(F.size(g["a"]).alias("na"), F.size(g["b"]).alias("nb"), both_terms(g["a"], g["b"]).alias("terms")))
-    rows = df.select(*keys, cells.alias("c")).select(*keys, (MARGIN / F.least(F.when(F.col("c.na") > 0, F.col("c.na")), F.when(F.col("c.nb") > 0, F.col("c.nb")))).alias("bound"), F.explode_outer("c.terms").alias("t"))
-    rows = rows.select(*keys, "bound", "t.term", "t.wa", "t.wb", F.explode(F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))).alias("block"))
+    na, nb = (F.when(F.col(f"c.n{s}") > 0, F.col(f"c.n{s}")) for s in "ab")
+    sides = F.when(na.isNotNull(), 1).otherwise(0) + F.when(nb.isNotNull(), 2).otherwise(0)
+    rows = df.select(*keys, cells.alias("c")).select(*keys, sides.alias("sides"), (MARGIN / F.least(na, nb)).alias("bound"), F.posexplode_outer("c.terms").alias("at", "t"))
+    rows = rows.select(*keys, "sides", "bound", "at", "t.term", "t.wa", "t.wb", F.explode(F.sequence(F.lit(0), F.lit(samples // BLOCK - 1))).alias("block"))
     rows = rows.withColumn("draw", F.xxhash64("block", "term"))
+    rows = rows.select("*", *[h.alias(f"{name}{k}") for k in range(BLOCK) for name, h in zip(("one", "two"), _hashes(k), strict=True)])
+    # a column that is not deterministic holds the filter here: below, it would compute the hashes at each of their places
+    rows = rows.select("*", F.spark_partition_id().alias("held"), *[_runs_for(k).alias(f"runs{k}") for k in range(BLOCK)])
+    first = F.coalesce(F.col("at") == 0, F.lit(True))
+    rows = rows.where((F.col("held") >= 0) & reduce(or_, [F.col(f"runs{k}") for k in range(BLOCK)], first))
     races = {f"{side}{k}": F.min(race) for k in range(BLOCK) for side, race in zip("ab", _sample(k), strict=True)}
-    best = rows.groupBy(*keys, "block").agg(*[v.alias(c) for c, v in races.items()], F.max("wa").alias("wa"), F.max("wb").alias("wb"))
+    best = rows.groupBy(*keys, "sides", "block").agg(*[v.alias(c) for c, v in races.items()])
     names = {s: F.array(*[F.coalesce(F.col(f"{s}{k}").bitwiseAND((1 << NAME) - 1), F.lit(0)).cast("int") for k in range(BLOCK)]) for s in "ab"}
-    whole = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", names["a"].alias("a"), names["b"].alias("b")))).alias("blocks"), F.max("wa").alias("wa"), F.max("wb").alias("wb"))
-    return whole.select(*keys, *[F.when(F.col(f"w{s}") > 0, F.flatten(F.transform("blocks", lambda x: x[s]))).alias(f"print_{s}") for s in "ab"])  # noqa: B023
+    whole = best.groupBy(*keys, "sides").agg(F.array_sort(F.collect_list(F.struct("block", names["a"].alias("a"), names["b"].alias("b")))).alias("blocks"))
+    return whole.select(*keys, *[F.when(F.col("sides").bitwiseAND(bit) > 0, F.flatten(F.transform("blocks", lambda x: x[s]))).alias(f"print_{s}") for s, bit in (("a", 1), ("b", 2))])  # noqa: B023
 
 
 def as_text(prints: Column) -> Column:
